@@ -28,6 +28,8 @@ def with_views(body: str) -> str:
             visit(VIEWS[word])
 
     visit(body)
+    if body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     if not needed:
         return body
     parts = []

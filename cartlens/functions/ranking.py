@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RADIX_BITS = 16
+from cartlens.session import stage
+
+_PLACE_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its lower 33 bits
 # Above this limit Spark no longer trims groups ahead of the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 _GROUP_LIMIT_THRESHOLD = 1000
 _SALTS = 64
@@ -62,59 +64,52 @@ def positions_in_time(
 
 
 def dense_index(ids: DataFrame, key: str, index: str = "idx") -> DataFrame:
-    """0-based dense index of distinct long ids in ascending order, without a single-task sort.
+    """0-based dense index of distinct ids in ascending order.
 
-    Ids are ranked inside runs of 2^16 neighbouring values; the offset of a run is the count of all smaller ids,
-    added up level by level (2^16 children per parent), so no window ever sees more than 65,536 rows.
+    A range sort spreads the ids evenly whatever their values; each row keeps its partition and its place there. The
+    result is written, so partition and place are settled, and the index adds the sizes of the earlier partitions:
+    a running sum over one row per partition.
     """
-    runs = ids.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(
-        "_run", F.shiftright(F.col(key), _RADIX_BITS)
-    )
-    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = _run_offsets(sizes, levels=2)
-    inside = Window.partitionBy("_run").orderBy(key)
-    return (
-        runs.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(offsets, "_run")
-        .select(key, (F.col("_place") + F.col("_off")).cast("long").alias(index))
-    )
-
+    ordered = ids.select(key).filter(F.col(key).isNotNull()).distinct().sort(key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_MASK))
+    placed = stage(ordered.select(key, F.spark_partition_id().alias("_part"), place.alias("_place")), f"index-{key}")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_part").select(key, (F.col("_place") + F.col("_off")).alias(index))
 
-def _run_offsets(sizes: DataFrame, levels: int) -> DataFrame:
-    """(_run, _size) to (_run, _off): total size of all smaller runs. The top level has at most 2^16 runs."""
-    parent = F.shiftright(F.col("_run"), _RADIX_BITS) if levels else F.lit(0)
-    parents = sizes.withColumn("_parent", parent)
-    before = Window.partitionBy("_parent").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    local = parents.withColumn("_inner", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    if levels == 0:
-        return local.select("_run", F.col("_inner").alias("_off"))
-    totals = parents.groupBy(F.col("_parent").alias("_run")).agg(F.sum("_size").alias("_size"))
-    outer = _run_offsets(totals, levels - 1).select(F.col("_run").alias("_parent"), F.col("_off").alias("_outer"))
-    return local.join(outer, "_parent").select("_run", (F.col("_inner") + F.col("_outer")).alias("_off"))
 
+def value_at_position(df: DataFrame, column: str, position: Column, width: int = 3_600_000) -> DataFrame:
+    """At most one row ``value``: the element of a long column at a 0-based position of its sorted order.
 
-def value_at_position(df: DataFrame, column: str, position: Column, widths: Sequence[int] = (86_400_000, 10_000, 1)) -> DataFrame:
-    """One-row frame ``value``: the element of a long column at a 0-based position of its sorted order.
-
-    ``position`` is a column over ``n``, the count of non-null values. Counts per bucket locate the bucket holding
-    the position, then narrower buckets inside it, down to width 1. Each level's bucket list is short (days of the
-    range, then 8,640, then 10,000), so nothing proportional to the data is ever sorted in one place.
+    ``position`` is a column over ``n``, the count of non-null values. Counts per bucket of ``width`` find the bucket
+    holding the position, then counts per value inside that bucket find the value. Both ladders are short: hours of
+    the time range, and milliseconds of one hour.
     """
     values = df.select(F.col(column).cast("long").alias("_v")).filter(F.col("_v").isNotNull())
-    total = values.agg(F.count(F.lit(1)).alias("n"))
-    rest = total.select(position.cast("long").alias("_k"))
-    scope = values
-    for width in widths:
-        buckets = scope.groupBy(F.floor(F.col("_v") / F.lit(width)).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        # The only row set of this window is the bucket list of one level.
-        upto = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = buckets.withColumn("_end", F.sum("_c").over(upto))
-        found = placed.filter(
-            (F.col("_end") > rest.scalar()) & (F.col("_end") - F.col("_c") <= rest.scalar())
-        ).select("_b", (F.lit(rest.scalar()) - (F.col("_end") - F.col("_c"))).alias("_k"))
-        scope = values.filter(F.floor(F.col("_v") / F.lit(width)) == found.select("_b").scalar())
-        rest = found.select("_k")
-    return found.select((F.col("_b") * F.lit(widths[-1])).alias("value"))
+    bucket = F.floor(F.col("_v") / F.lit(width))
+    everything = Window.partitionBy(F.lit(0))
+    running = everything.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = values.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    home = (
+        buckets.withColumn("_end", F.sum("_c").over(running))
+        .withColumn("n", F.sum("_c").over(everything))
+        .withColumn("_k", position.cast("long"))
+        .filter((F.col("_end") > F.col("_k")) & (F.col("_end") - F.col("_c") <= F.col("_k")))
+        .select("_b", (F.col("_k") - F.col("_end") + F.col("_c")).alias("_k"))
+    )
+    inside = (
+        values.withColumn("_b", bucket)
+        .join(F.broadcast(home), "_b")  # one row
+        .groupBy("_v", "_k")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    upto = everything.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        inside.withColumn("_end", F.sum("_c").over(upto))
+        .filter((F.col("_end") > F.col("_k")) & (F.col("_end") - F.col("_c") <= F.col("_k")))
+        .select(F.col("_v").alias("value"))
+    )
 
 
 def nearest_rank_quantiles(counts: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:

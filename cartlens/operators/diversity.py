@@ -44,8 +44,9 @@ def apply_diversity_constraint(
     else:
         needed = F.col("_size") - F.size("_kept")
         present = F.transform("_kept", lambda e: e["item_id"])
+        lists = lists.withColumn("_pool", _replacement_pool(popular, 2 * list_size))
         fresh = F.filter(
-            _replacement_pool(popular, 2 * list_size),
+            "_pool",
             lambda e: ~F.array_contains(F.col("_shown"), e["category_id"]) & ~F.array_contains(present, e["item_id"]),
         )
         fills = F.slice(F.array_distinct(F.transform(fresh, lambda e: e["item_id"])), F.lit(1), needed.cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartlens.config import TARGET_EVENTS, EventWeights, InteractionConfig
 from cartlens.functions.columns import event_weight, require_columns
+from cartlens.session import stage
 
 MAX_TREE_ROUNDS = 20
 
@@ -25,11 +26,12 @@ def user_item_pairs(events: DataFrame, weights: EventWeights = EventWeights()) -
 def build_interactions(events: DataFrame, config: InteractionConfig = InteractionConfig()) -> DataFrame:
     """Pairs whose user and item both have enough pairs, counted once on the unfiltered pairs.
 
-    The counts come from partial aggregation and return as semi joins, so a user or item that owns a large share of
-    the pairs never has them gathered in one window.
+    The pairs are written once: left lazy, each of their three readers would aggregate the events again, since they
+    need different columns. The counts then read one key column each and return as semi joins, so a user or item that
+    owns a large share of the pairs never has them gathered in one window.
     """
     require_columns(events, ["user_id", "item_id", "event", "timestamp"], "events")
-    pairs = user_item_pairs(events, config.weights)
+    pairs = stage(user_item_pairs(events, config.weights), "pairs")
     kept = pairs
     for key, least in (("user_id", config.min_user_interactions), ("item_id", config.min_item_interactions)):
         if least > 1:

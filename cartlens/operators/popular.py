@@ -92,15 +92,15 @@ def popular_by_user_categories(
         .groupBy("user_id")
         .agg(F.collect_set("category_id").alias("_cats"))
     )
-    entries = popular_array(listed, "category_id")
+    people = people.join(seen, "user_id", "left").withColumn("_list", popular_array(listed, "category_id"))
 
     def matches(entry: Column) -> Column:
         return F.coalesce(
             (entry["pop_rank"] <= n) & F.array_contains(F.col("_cats"), entry["category_id"]), F.lit(False)
         )
 
-    chosen = F.concat(F.filter(entries, matches), F.filter(entries, lambda entry: ~matches(entry)))
-    return _explode_ranked(people.join(seen, "user_id", "left"), F.slice(chosen, 1, n))
+    chosen = F.concat(F.filter("_list", matches), F.filter("_list", lambda entry: ~matches(entry)))
+    return _explode_ranked(people, F.slice(chosen, 1, n))
 
 
 def popular_unseen(users: DataFrame, popular: DataFrame, train: DataFrame, n: int) -> DataFrame:
@@ -112,7 +112,8 @@ def popular_unseen(users: DataFrame, popular: DataFrame, train: DataFrame, n: in
         .agg(F.collect_set("item_id").alias("_seen"))
     )
     fresh = F.filter(
-        popular_array(popular), lambda entry: ~F.coalesce(F.array_contains(F.col("_seen"), entry["item_id"]), F.lit(False))
+        "_list", lambda entry: ~F.coalesce(F.array_contains(F.col("_seen"), entry["item_id"]), F.lit(False))
     )
     people = users.select("user_id").distinct().join(seen, "user_id", "left")
+    people = people.withColumn("_list", popular_array(popular))
     return _explode_ranked(people, F.slice(fresh, 1, n))

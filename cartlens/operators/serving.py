@@ -57,10 +57,10 @@ def route_requests(requests: DataFrame, known_users: DataFrame, rerank_enabled:
     )
 
 
-def popular_answer(popular: DataFrame) -> Column:
-    """The first top_k popular items with score 0; a slice of one small array, no join."""
+def popular_answer() -> Column:
+    """The first top_k items of the ``_popular`` array with score 0; a slice, no join."""
     return F.transform(
-        F.slice(popular_array(popular), F.lit(1), F.col("top_k")),
+        F.slice(F.col("_popular"), F.lit(1), F.greatest(F.col("top_k"), F.lit(0))),
         lambda e: F.struct(e["item_id"].alias("item_id"), F.lit(0.0).alias("score")),
     )
 
@@ -137,10 +137,10 @@ def answer_requests(routed: DataFrame, lists: DataFrame, popular: DataFrame) ->
         F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("_ranked")
     ).select(*_LIST, F.transform("_ranked", lambda e: F.struct(e["item_id"].alias("item_id"), e["score"].alias("score"))).alias("_personal"))
     is_popular = F.col("model_type").isin("baseline", "fallback")
-    keyed = routed.withColumn("reranked", F.col("model_type") == "rerank")
+    keyed = routed.withColumn("reranked", F.col("model_type") == "rerank").withColumn("_popular", popular_array(popular))
     return (
         keyed.join(nested, list(_LIST), "left")
-        .withColumn("recommendations", F.when(is_popular, popular_answer(popular)).otherwise(F.col("_personal")))
+        .withColumn("recommendations", F.when(is_popular, popular_answer()).otherwise(F.col("_personal")))
         .withColumn("cold", F.when(F.col("model_type").isNotNull(), is_popular))
         .select("request_id", "user_id", "top_k", "status", "recommendations", "cold", "model_type", "ab_test_group")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartlens.config import PRODUCTION, InteractionConfig
 from cartlens.operators import features, popular, splits
 from cartlens.operators.validation import clean_rows, tag_category_tree, tag_events, tag_item_properties
-from cartlens.session import configure
+from cartlens.session import configure, stage
 
 # Fixed values of the mapping, the same as in the SQL twins of these views.
 SHIFT_MS = 456_624_000_000  # moves 1995-2001 ship dates to 2009-2016
@@ -118,7 +118,10 @@ class ShopViews:
 
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
-        return splits.temporal_split_per_user(self.interactions(), PRODUCTION.test_size)
+        """Both sides of the per-user split, read from one written frame: lists, metrics and stats use them repeatedly."""
+        marked = stage(splits.mark_split_per_user(self.interactions(), PRODUCTION.test_size), "split")
+        train, test = marked.filter("is_train"), marked.filter("NOT is_train")
+        return train.drop("is_train"), test.drop("is_train")
 
     @cached_property
     def train(self) -> DataFrame:
