@@ -1,7 +1,7 @@
 """Category re-ranking and the diversity constraint."""
 
 from cartlens.catalog.registry import query
-from cartlens.operators import diversity, popular, rerank
+from cartlens.operators import diversity, features, popular, rerank
 
 _TOP_CATEGORIES = """
 SELECT user_id, category_id, n, CAST(r AS INTEGER) AS pos FROM (
@@ -49,10 +49,12 @@ def _(s):
     return rerank.normalised_popularity(s.category_stats)
 
 
-def rerank_sql(top_k: int, alpha: float, beta: float, adaptive: bool = True, tree: bool = True, recs: str = "recs") -> str:
+def rerank_sql(
+    top_k: int, alpha: float, beta: float, adaptive: bool = True, tree: bool = True, mixed: bool = False
+) -> str:
     near = "EXISTS (SELECT 1 FROM top3 JOIN near ON near.neighbour_id = top3.category_id WHERE top3.user_id = r.user_id AND near.category_id = c.category_id)"
     weights = _weights(alpha, beta) if adaptive else f"{alpha}::DOUBLE AS w_rank, {beta}::DOUBLE AS w_category"
-    return f"""
+    sql = f"""
 WITH top3 AS ({_TOP_CATEGORIES}), near AS ({_NEIGHBOURS}),
 pop AS (SELECT category_id, n_events / (SELECT max(n_events)::DOUBLE FROM cat_stats) AS popularity FROM cat_stats),
 scored AS (
@@ -62,12 +64,16 @@ scored AS (
               WHEN EXISTS (SELECT 1 FROM top3 WHERE top3.user_id = r.user_id AND top3.category_id = c.category_id) THEN 1.0::DOUBLE
               WHEN {near if tree else "false"} THEN 0.5::DOUBLE
               ELSE 0.2::DOUBLE * coalesce(p.popularity, 0.0::DOUBLE) END AS category_score
-  FROM {recs} r LEFT JOIN item_categories c ON c.item_id = r.item_id LEFT JOIN pop p ON p.category_id = c.category_id
+  FROM recs r LEFT JOIN item_categories c ON c.item_id = r.item_id LEFT JOIN pop p ON p.category_id = c.category_id
   LEFT JOIN (SELECT user_id, count(*) AS n FROM history GROUP BY 1) h ON h.user_id = r.user_id)
 SELECT user_id, item_id, CAST(new AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id
             ORDER BY w_rank * rank_score + w_category * category_score DESC, rank, item_id) AS new FROM scored)
 WHERE new <= {top_k}"""
+    if mixed:
+        for name in ("item_categories", "history", "cat_stats"):
+            sql = sql.replace(name, f"mixed_{name}")
+    return sql
 
 
 @query("category_rerank", rerank_sql(5, 0.7, 0.3))
@@ -94,6 +100,15 @@ def _(s):
     )
 
 
+@query("category_rerank_mixed_levels", rerank_sql(10, 0.7, 0.3, mixed=True))
+def _(s):
+    """A third of the items sit in middle categories, so list items and liked categories can be tree neighbours."""
+    mixed = s.mixed_categories
+    stats = features.category_stats(s.events, mixed)
+    history = features.user_history(s.train, mixed)
+    return rerank.category_rerank(s.recs, history, mixed, stats, s.tree, top_k=10)
+
+
 def diversity_sql(cap: int, fill: bool) -> str:
     fills = f"""
 UNION ALL

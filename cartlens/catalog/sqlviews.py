@@ -122,6 +122,19 @@ VIEWS["history"] = """
   SELECT t.user_id, t.item_id, c.category_id FROM train t JOIN item_categories c USING (item_id)
   WHERE c.category_id IS NOT NULL
 """
+VIEWS["mixed_item_categories"] = """
+  SELECT item_id, CASE WHEN item_id % 3 = 0 AND (category_id - 100) % 6 <> 0 THEN 10 + (category_id - 100) % 6
+                       WHEN item_id % 17 = 0 THEN NULL ELSE category_id END AS category_id
+  FROM item_categories
+"""
+VIEWS["mixed_history"] = """
+  SELECT t.user_id, t.item_id, c.category_id FROM train t JOIN mixed_item_categories c USING (item_id)
+  WHERE c.category_id IS NOT NULL
+"""
+VIEWS["mixed_cat_stats"] = """
+  SELECT category_id, count(*) AS n_events FROM clean_events JOIN mixed_item_categories USING (item_id)
+  WHERE category_id IS NOT NULL GROUP BY category_id
+"""
 VIEWS["popular"] = """
   SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS pop_rank
   FROM (SELECT item_id, sum(rating) AS score FROM train GROUP BY 1 ORDER BY score DESC, item_id LIMIT 100)
@@ -134,6 +147,9 @@ VIEWS["recs"] = """
     WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = p.item_id))
   WHERE r <= 20
 """
+VIEWS["full_history"] = """
+  SELECT t.user_id, t.item_id, c.category_id FROM train t LEFT JOIN item_categories c USING (item_id)
+"""
 VIEWS["rec_log"] = """
   SELECT ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
          CASE event_type WHEN 'view' THEN 'impression' WHEN 'signup' THEN 'addtocart'
@@ -156,3 +172,59 @@ VIEWS["requests"] = """
          CASE event_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'als' WHEN 2 THEN 'baseline' END AS ab_test_group
   FROM events WHERE event_type = 'view'
 """
+VIEWS["routed"] = """
+  SELECT request_id, user_id, top_k, status, arm, coalesce(drawn, arm) AS ab_test_group,
+         CASE WHEN status <> 200 THEN NULL WHEN arm = 'baseline' THEN 'baseline'
+              WHEN user_id NOT IN (SELECT user_id FROM train) THEN 'fallback'
+              WHEN coalesce(use_rerank, true) THEN 'rerank' ELSE 'als' END AS model_type
+  FROM (
+    SELECT *, CASE WHEN drawn = 'baseline' OR use_baseline THEN 'baseline' ELSE 'als' END AS arm
+    FROM (
+      SELECT *, CAST(CASE WHEN top_k NOT BETWEEN 1 AND 500 THEN 400 WHEN user_id < 0 THEN 404 ELSE 200 END AS INTEGER) AS status,
+             CASE WHEN ab_test_group = 'auto'
+                  THEN CASE WHEN CAST('0x' || substr(md5(CAST(request_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0
+                            THEN 'baseline' ELSE 'als' END
+                  ELSE ab_test_group END AS drawn
+      FROM requests))
+"""
+VIEWS["candidates"] = """
+  SELECT u.user_id, p.item_id, p.score, row_number() OVER (PARTITION BY u.user_id ORDER BY p.pop_rank) AS cand_rank
+  FROM (SELECT DISTINCT user_id FROM routed WHERE model_type IN ('als', 'rerank')) u CROSS JOIN popular p
+  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)
+"""
+VIEWS["personal"] = """
+  SELECT user_id, top_k, reranked, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, top_k, reranked ORDER BY cand_rank) AS rank,
+           CASE WHEN first < (SELECT count(DISTINCT item_id) FROM train)
+                THEN first + 2 * greatest(top_k - got, 0) ELSE first END AS depth
+    FROM (
+      SELECT l.*, c.item_id, c.score, c.cand_rank, l.top_k * 3 AS first, b.item_id IS NOT NULL AS bought,
+             count(*) FILTER (b.item_id IS NULL AND c.cand_rank <= l.top_k * 3)
+               OVER (PARTITION BY l.user_id, l.top_k, l.reranked) AS got
+      FROM (SELECT DISTINCT user_id, top_k, model_type = 'rerank' AS reranked FROM routed WHERE model_type IN ('als', 'rerank')) l
+      JOIN candidates c ON c.user_id = l.user_id
+      LEFT JOIN purchased b ON b.user_id = c.user_id AND b.item_id = c.item_id)
+    WHERE NOT bought)
+  WHERE cand_rank <= depth AND (cand_rank <= first OR rank <= top_k)
+"""
+VIEWS["serving_lists"] = """
+  SELECT user_id, top_k, reranked, item_id, score, rank FROM personal WHERE NOT reranked AND rank <= top_k
+  UNION ALL
+  SELECT user_id, top_k, reranked, item_id, score, CAST(new AS INTEGER) FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, top_k ORDER BY w_rank * (1.0::DOUBLE / rank) + w_category * category_score DESC, rank) AS new
+    FROM (
+      SELECT p.*,
+        CASE WHEN coalesce(h.n, 0) < 5 THEN 0.3::DOUBLE WHEN coalesce(h.n, 0) < 20 THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS w_rank,
+        CASE WHEN coalesce(h.n, 0) < 5 THEN 0.7::DOUBLE WHEN coalesce(h.n, 0) < 20 THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS w_category,
+        CASE WHEN c.category_id IS NULL THEN 0.0::DOUBLE
+             WHEN t.category_id IS NOT NULL THEN 1.0::DOUBLE
+             ELSE 0.2::DOUBLE * coalesce(s.n_events / (SELECT max(n_events)::DOUBLE FROM cat_stats), 0.0::DOUBLE) END AS category_score
+      FROM personal p LEFT JOIN item_categories c ON c.item_id = p.item_id
+      LEFT JOIN cat_stats s ON s.category_id = c.category_id
+      LEFT JOIN (SELECT user_id, count(*) AS n FROM full_history GROUP BY 1) h ON h.user_id = p.user_id
+      LEFT JOIN (SELECT user_id, category_id FROM (
+                   SELECT user_id, category_id, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category_id) AS r
+                   FROM full_history WHERE category_id IS NOT NULL GROUP BY 1, 2) WHERE r <= 3) t
+        ON t.user_id = p.user_id AND t.category_id = c.category_id
+      WHERE p.reranked)) WHERE new <= top_k
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.config import PRODUCTION, InteractionConfig
-from cartlens.operators import features, popular, splits
+from cartlens.operators import features, popular, serving, splits
 from cartlens.operators.validation import clean_rows, tag_category_tree, tag_events, tag_item_properties
 from cartlens.session import configure, stage
 
@@ -109,6 +109,16 @@ class ShopViews:
     def categories(self) -> DataFrame:
         return features.latest_categories(self.properties)
 
+    @cached_property
+    def mixed_categories(self) -> DataFrame:
+        """Categories with a third of the items moved up to a middle category, and some left without one."""
+        category, item = F.col("category_id"), F.col("item_id")
+        slot = (category - CATEGORY_BASE) % 6
+        return self.categories.select(
+            "item_id",
+            F.when((item % 3 == 0) & (slot != 0), F.lit(10) + slot).when(item % 17 != 0, category).alias("category_id"),
+        )
+
     @cached_property
     def category_stats(self) -> DataFrame:
         return features.category_stats(self.events, self.categories)
@@ -171,6 +181,35 @@ class ShopViews:
         )
 
 
+    @cached_property
+    def routed(self) -> DataFrame:
+        return stage(serving.route_requests(self.requests, self.train.select("user_id")), "routed")
+
+    @cached_property
+    def serving_lists(self) -> DataFrame:
+        """Personal lists from deterministic candidates: unseen popular items, scored by popularity."""
+        people = self.routed.filter(F.col("model_type").isin("als", "rerank"))
+        scores = F.broadcast(self.popular.select("item_id", "score"))  # k rows
+        candidates = popular.popular_unseen(people, self.popular, self.train, serving.candidate_depth(20)).join(
+            scores, "item_id"
+        )
+        history = self.train.join(self.categories, "item_id", "left").select("user_id", "item_id", "category_id")
+        return serving.personal_lists(
+            self.routed,
+            candidates.withColumnRenamed("rank", "cand_rank"),
+            features.purchases(self.events),
+            F.lit(self.train.agg(F.count_distinct("item_id")).scalar()),
+            history,
+            self.categories,
+            self.category_stats,
+            self.tree,
+        )
+
+    @cached_property
+    def served(self) -> DataFrame:
+        return serving.answer_requests(self.routed, self.serving_lists, self.popular)
+
+
 def request_log(events: DataFrame) -> DataFrame:
     """The monitoring log from an ``events`` table, batch or streaming."""
     kind, user = F.col("event_type"), F.col("user_id")
