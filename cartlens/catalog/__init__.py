@@ -6,7 +6,22 @@ import importlib
 
 from cartlens.catalog.registry import ORACLES, QUERIES
 
-for _area in ("cleaning", "features", "splits", "popularity", "ranking", "serving", "quality", "abtest", "monitoring", "exploration", "models"):
+_AREAS = (
+    "cleaning",
+    "features",
+    "splits",
+    "popularity",
+    "ranking",
+    "serving",
+    "quality",
+    "abtest",
+    "monitoring",
+    "streams",
+    "exploration",
+    "files",
+    "models",
+)
+for _area in _AREAS:
     importlib.import_module(f"cartlens.catalog.{_area}")
 
 __all__ = ["ORACLES", "QUERIES"]

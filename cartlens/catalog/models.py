@@ -1 +1,189 @@
-"""Pending."""
+"""ALS: training, lists, re-ranking, serving and metrics. Factors differ between solvers, so what has a SQL twin is
+the part that must not: who gets a list, how long it is, and that nothing seen or bought is in it."""
+
+from functools import cached_property
+
+from pyspark.sql import functions as F
+
+from cartlens.catalog.quality import _catalogue
+from cartlens.catalog.registry import query
+from cartlens.config import AlsConfig
+from cartlens.operators import features, metrics, recommend, rerank, serving
+from cartlens.operators.als import top_unseen, train_als
+from cartlens.operators.matrix import build_user_item_matrix
+from cartlens.session import stage
+from cartlens.sources import artifacts
+from cartlens.catalog.files import new_folder
+
+QUERY_ALS = AlsConfig(factors=16, iterations=5, regularization=0.1, alpha=4.0)
+
+
+class Trained:
+    """A model fitted on the training side of one folder."""
+
+    def __init__(self, s) -> None:
+        self.s = s
+        built = build_user_item_matrix(s.train)
+        self.matrix = type(built)(stage(built.coordinates, "coordinates"), built.users, built.items)
+        self.model = train_als(self.matrix.coordinates, QUERY_ALS)
+
+    @cached_property
+    def lists(self):
+        return stage(recommend.als_recommendations(self.model, self.matrix, self.s.test, 5), "als-lists")
+
+
+@query("als_top_n")
+def _(s):
+    return Trained(s).lists
+
+
+_LENGTHS = """
+SELECT user_id, least({n}, (SELECT count(DISTINCT item_id) FROM train) - count(*)) AS n_items, 0 AS n_seen, 0 AS n_gaps
+FROM train WHERE user_id IN (SELECT user_id FROM test) GROUP BY 1"""
+
+
+def _shape(lists, train):
+    seen = train.select("user_id", "item_id", F.lit(1).alias("_seen"))
+    return (
+        lists.join(seen, ["user_id", "item_id"], "left")
+        .groupBy("user_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_items"),
+            F.count("_seen").cast("int").alias("n_seen"),
+            (F.max("rank") - F.count_distinct("rank")).cast("int").alias("n_gaps"),
+        )
+    )
+
+
+@query("als_list_shape", _LENGTHS.format(n=20))
+def _(s):
+    return _shape(Trained(s).lists, s.train)
+
+
+@query("als_trainer_list_shape", _LENGTHS.format(n=10))
+def _(s):
+    t = Trained(s)
+    lists = recommend.als_recommendations(t.model, t.matrix, s.test, 5, least=recommend.MIN_TRAINER_LIST)
+    return _shape(lists, s.train)
+
+
+@query(
+    "generated_recommendation_counts",
+    """
+SELECT count(*) FILTER (user_id IN (SELECT user_id FROM train)) AS warm_users,
+       count(*) FILTER (user_id NOT IN (SELECT user_id FROM train)) AS cold_users
+FROM (SELECT DISTINCT user_id FROM clean_events)""",
+)
+def _(s):
+    t = Trained(s)
+    _, counts = recommend.generate_recommendations(t.model, t.matrix, s.events, s.popular, 5)
+    return counts
+
+
+@query("generated_recommendations")
+def _(s):
+    """Lists for every user with valid events: ALS for known users, category fallback for the others."""
+    t = Trained(s)
+    recs, _ = recommend.generate_recommendations(t.model, t.matrix, s.events, s.popular, 5, s.categories, s.events)
+    return recs
+
+
+def _reranked(s):
+    return rerank.category_rerank(
+        Trained(s).lists, s.history, s.categories, s.category_stats, s.tree, top_k=20, alpha=0.6, beta=0.4
+    )
+
+
+@query("als_reranked")
+def _(s):
+    return _reranked(s)
+
+
+@query("als_metrics")
+def _(s):
+    return metrics.compute_all_metrics(
+        s.test, Trained(s).lists, s.train, _catalogue(s), 5, s.categories, s.targets, s.test_events
+    )
+
+
+@query("als_reranked_metrics")
+def _(s):
+    """Train, recommend, re-rank and score."""
+    recs = stage(_reranked(s), "reranked")
+    return metrics.compute_all_metrics(
+        s.test, recs, s.train, _catalogue(s), 5, s.categories, s.targets, s.test_events
+    )
+
+
+def _als_served(s):
+    t = Trained(s)
+    people = s.routed.filter(F.col("model_type").isin("als", "rerank")).select("user_id")
+    candidates = stage(top_unseen(t.model, t.matrix, people, serving.candidate_depth(20)), "candidates")
+    history = s.train.join(s.categories, "item_id", "left").select("user_id", "item_id", "category_id")
+    lists = serving.personal_lists(
+        s.routed,
+        candidates.withColumnRenamed("rank", "cand_rank"),
+        features.purchases(s.events),
+        F.lit(_catalogue(s).scalar()),
+        history,
+        s.categories,
+        s.category_stats,
+        s.tree,
+    )
+    return serving.answer_requests(s.routed, lists, s.popular)
+
+
+@query("als_served_requests")
+def _(s):
+    return _als_served(s).select("request_id", "model_type", "cold", F.size("recommendations").alias("n_recs"))
+
+
+@query(
+    "als_served_bought_items",
+    """
+SELECT model_type, count(*) AS requests, 0::BIGINT AS bought_items FROM routed
+WHERE model_type IN ('als', 'rerank') GROUP BY 1""",
+)
+def _(s):
+    """Personal answers hold nothing the user bought."""
+    served = _als_served(s).filter(F.col("model_type").isin("als", "rerank"))
+    flat = served.select("request_id", "user_id", "model_type", F.explode("recommendations").alias("r"))
+    bought = features.purchases(s.events).withColumn("_b", F.lit(1))
+    return (
+        flat.select("request_id", "user_id", "model_type", F.col("r.item_id").alias("item_id"))
+        .join(bought, ["user_id", "item_id"], "left")
+        .groupBy("model_type")
+        .agg(F.count_distinct("request_id").alias("requests"), F.count("_b").alias("bought_items"))
+    )
+
+
+@query(
+    "model_artifacts_roundtrip",
+    """
+SELECT 'user_index' AS part, count(DISTINCT user_id) AS n FROM train
+UNION ALL SELECT 'item_index', count(DISTINCT item_id) FROM train
+UNION ALL SELECT 'user_item', count(*) FROM train
+UNION ALL SELECT 'popular', 100
+UNION ALL SELECT 'purchases', count(*) FROM purchased
+UNION ALL SELECT 'user_factors', count(DISTINCT user_id) FROM train
+UNION ALL SELECT 'item_factors', count(DISTINCT item_id) FROM train""",
+)
+def _(s):
+    t = Trained(s)
+    folder = new_folder(s, "model")
+    artifacts.save_model_artifacts(folder, t.model, t.matrix, s.popular, {"k": 5}, features.purchases(s.events))
+    saved = artifacts.load_model_artifacts(s.spark, folder)
+    parts = {
+        "user_index": saved.matrix.users,
+        "item_index": saved.matrix.items,
+        "user_item": saved.matrix.coordinates,
+        "popular": saved.popular,
+        "purchases": saved.purchases,
+        "user_factors": saved.model.userFactors,
+        "item_factors": saved.model.itemFactors,
+    }
+    out = None
+    for name, part in parts.items():
+        one = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

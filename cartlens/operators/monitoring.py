@@ -210,17 +210,27 @@ def event_counters(log: DataFrame) -> DataFrame:
     )
 
 
-def minute_counts(log: DataFrame) -> DataFrame:
-    """Counts per minute: the only state alerts need, whatever the log's size."""
-    minute = F.floor(F.unix_millis("ts") / F.lit(_MINUTE_MS)).alias("minute")
-    return log.groupBy(minute).agg(
+def _minute_sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("requests"),
         _n(_event("click")).alias("clicks"),
         _n(_event("transaction")).alias("transactions"),
         F.coalesce(F.sum(F.when(_event("transaction"), F.col("revenue"))), F.lit(0.0)).alias("revenue"),
         _n(F.col("status") >= 500).alias("errors"),
         *_bucket_counts(F.col("latency_s"), LATENCY_BOUNDS),
-    )
+    ]
+
+
+def minute_counts(log: DataFrame) -> DataFrame:
+    """Counts per minute: the only state alerts need, whatever the log's size."""
+    return log.groupBy(F.floor(F.unix_millis("ts") / F.lit(_MINUTE_MS)).alias("minute")).agg(*_minute_sums())
+
+
+def minute_windows(log: DataFrame) -> DataFrame:
+    """The same over time windows, which a watermark can close."""
+    counts = _windowed(log, 60).agg(*_minute_sums())
+    minute = F.floor(F.unix_millis("w.start") / F.lit(_MINUTE_MS)).alias("minute")
+    return counts.select(minute, *[c for c in counts.columns if c != "w"])
 
 
 def alerts(minutes: DataFrame) -> DataFrame:

@@ -167,6 +167,13 @@ class ShopViews:
     def log(self) -> DataFrame:
         return request_log(self.table("events"))
 
+    @cached_property
+    def log_stream(self) -> DataFrame:
+        """The same log read as a stream of files."""
+        source = self.spark.read.parquet(f"{self.folder}/events.parquet").schema
+        files = self.spark.readStream.schema(source).option("pathGlobFilter", "events.parquet")
+        return request_log(files.parquet(self.folder))
+
     @cached_property
     def requests(self) -> DataFrame:
         """One request per view of the log; every seventh has a bad size, odd ones ask for their own side."""
