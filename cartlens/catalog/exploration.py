@@ -163,4 +163,4 @@ def _(s):
     "SELECT category_id, n_events, n_users, n_items FROM cat_stats ORDER BY n_events DESC, category_id LIMIT 10",
 )
 def _(s):
-    return eda.top_categories(s.category_stats)
+    return eda.top_categories(features.category_stats(s.events, s.categories))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartlens.catalog.registry import query
-from cartlens.config import InteractionConfig
+from cartlens.config import PRODUCTION, InteractionConfig
 from cartlens.operators import features as f
 
 
@@ -14,7 +14,7 @@ def _(s):
 
 @query("interactions_production", "SELECT user_id, item_id, rating, timestamp FROM interactions")
 def _(s):
-    return s.interactions()
+    return f.build_interactions(s.events, PRODUCTION.interactions)
 
 
 @query(
@@ -25,7 +25,7 @@ SELECT user_id, item_id, rating, timestamp FROM (
 WHERE u >= 30 AND i >= 25""",
 )
 def _(s):
-    return s.interactions(InteractionConfig(min_user_interactions=30, min_item_interactions=25))
+    return f.build_interactions(s.events, InteractionConfig(min_user_interactions=30, min_item_interactions=25))
 
 
 @query("latest_categories", "SELECT item_id, category_id FROM item_categories")
@@ -63,7 +63,7 @@ def _(s):
 
 @query("category_stats", "SELECT category_id, n_events, n_users, n_items FROM cat_stats")
 def _(s):
-    return s.category_stats
+    return f.category_stats(s.events, s.categories)
 
 
 @query(
@@ -115,7 +115,7 @@ SELECT e.timestamp, e.user_id, e.item_id, e.event, e.transaction_id FROM clean_e
 WHERE EXISTS (SELECT 1 FROM train t WHERE t.user_id = e.user_id AND t.item_id = e.item_id)""",
 )
 def _(s):
-    return f.events_of_pairs(s.events, s.train)
+    return f.events_of_pairs(s.stored_events, s.train)
 
 
 @query(

@@ -76,7 +76,7 @@ FROM (SELECT DISTINCT user_id FROM clean_events)""",
 )
 def _(s):
     t = Trained(s)
-    _, counts = recommend.generate_recommendations(t.model, t.matrix, s.events, s.popular, 5)
+    _, counts = recommend.generate_recommendations(t.model, t.matrix, s.stored_events, s.popular, 5)
     return counts
 
 
@@ -84,7 +84,7 @@ def _(s):
 def _(s):
     """Lists for every user with valid events: ALS for known users, category fallback for the others."""
     t = Trained(s)
-    recs, _ = recommend.generate_recommendations(t.model, t.matrix, s.events, s.popular, 5, s.categories, s.events)
+    recs, _ = recommend.generate_recommendations(t.model, t.matrix, s.stored_events, s.popular, 5, s.categories, s.stored_events)
     return recs
 
 
@@ -123,7 +123,7 @@ def _als_served(s):
     lists = serving.personal_lists(
         s.routed,
         candidates.withColumnRenamed("rank", "cand_rank"),
-        features.purchases(s.events),
+        features.purchases(s.stored_events),
         F.lit(_catalogue(s).scalar()),
         history,
         s.categories,
@@ -148,7 +148,7 @@ def _(s):
     """Personal answers hold nothing the user bought."""
     served = _als_served(s).filter(F.col("model_type").isin("als", "rerank"))
     flat = served.select("request_id", "user_id", "model_type", F.explode("recommendations").alias("r"))
-    bought = features.purchases(s.events).withColumn("_b", F.lit(1))
+    bought = features.purchases(s.stored_events).withColumn("_b", F.lit(1))
     return (
         flat.select("request_id", "user_id", "model_type", F.col("r.item_id").alias("item_id"))
         .join(bought, ["user_id", "item_id"], "left")
@@ -171,7 +171,7 @@ UNION ALL SELECT 'item_factors', count(DISTINCT item_id) FROM train""",
 def _(s):
     t = Trained(s)
     folder = new_folder(s, "model")
-    artifacts.save_model_artifacts(folder, t.model, t.matrix, s.popular, {"k": 5}, features.purchases(s.events))
+    artifacts.save_model_artifacts(folder, t.model, t.matrix, s.popular, {"k": 5}, features.purchases(s.stored_events))
     saved = artifacts.load_model_artifacts(s.spark, folder)
     parts = {
         "user_index": saved.matrix.users,

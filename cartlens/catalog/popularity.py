@@ -21,7 +21,7 @@ FROM (SELECT item_id, sum(CASE event WHEN 'addtocart' THEN 10.0::DOUBLE ELSE 8.0
 
 
 def _by_cart(s):
-    return popular.top_popular_items_by_cart(features.events_of_pairs(s.events, s.train), _K)
+    return popular.top_popular_items_by_cart(features.events_of_pairs(s.stored_events, s.train), _K)
 
 
 @query("top_popular_items_by_cart", _BY_CART)
@@ -108,5 +108,5 @@ def _(s):
     from pyspark.sql import functions as F
 
     _, cold = recommend.warm_cold_users(s.test, _strict_users(s))
-    recent = s.events.filter(F.col("event") != "view")
+    recent = s.stored_events.filter(F.col("event") != "view")
     return recommend.cold_recommendations(cold, s.popular, 20, s.categories, recent)

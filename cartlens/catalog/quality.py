@@ -149,7 +149,7 @@ baseline_recs AS (
 
 
 def _baseline(s):
-    best = popular.top_popular_items_by_cart(features.events_of_pairs(s.events, s.train), 100)
+    best = popular.top_popular_items_by_cart(features.events_of_pairs(s.stored_events, s.train), 100)
     return popular.popular_for_users(s.test, best, 20)
 
 

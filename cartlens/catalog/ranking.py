@@ -104,7 +104,7 @@ def _(s):
 def _(s):
     """A third of the items sit in middle categories, so list items and liked categories can be tree neighbours."""
     mixed = s.mixed_categories
-    stats = features.category_stats(s.events, mixed)
+    stats = features.category_stats(s.stored_events, mixed)
     history = features.user_history(s.train, mixed)
     return rerank.category_rerank(s.recs, history, mixed, stats, s.tree, top_k=10)
 

@@ -36,7 +36,7 @@ SELECT user_id, item_id, rating, timestamp FROM interactions i
 WHERE NOT EXISTS (SELECT 1 FROM purchased p WHERE p.user_id = i.user_id AND p.item_id = i.item_id)""",
 )
 def _(s):
-    return transforms.filter_purchased_items(s.interactions(), features.purchases(s.events))
+    return transforms.filter_purchased_items(s.interactions(), features.purchases(s.stored_events))
 
 
 @query(
@@ -46,7 +46,7 @@ SELECT user_id, item_id, rating, timestamp FROM interactions i
 WHERE EXISTS (SELECT 1 FROM purchased p WHERE p.user_id = i.user_id AND p.item_id = i.item_id)""",
 )
 def _(s):
-    return transforms.filter_purchased_items(s.interactions(), features.purchases(s.events), "keep")
+    return transforms.filter_purchased_items(s.interactions(), features.purchases(s.stored_events), "keep")
 
 
 def _sampled(order: str) -> str:
@@ -86,12 +86,12 @@ WHERE NOT EXISTS (
 
 @query("recs_without_bought_categories", _without_bought(""))
 def _(s):
-    return transforms.filter_purchased_categories(s.recs, features.purchases(s.events), s.categories)
+    return transforms.filter_purchased_categories(s.recs, features.purchases(s.stored_events), s.categories)
 
 
 @query("recs_without_bought_heavy_categories", _without_bought("AND k.category_id IN (103, 107, 111)"))
 def _(s):
-    return transforms.filter_purchased_categories(s.recs, features.purchases(s.events), s.categories, [103, 107, 111])
+    return transforms.filter_purchased_categories(s.recs, features.purchases(s.stored_events), s.categories, [103, 107, 111])
 
 
 @query("split_per_user_train", "SELECT user_id, item_id, rating, timestamp FROM train")
@@ -106,7 +106,7 @@ def _(s):
 
 @query("split_per_user_events_test", "SELECT timestamp, user_id, item_id, event, transaction_id FROM test_events")
 def _(s):
-    return s.test_events
+    return s.event_split[1]
 
 
 _GLOBAL_CUT = """
@@ -132,12 +132,12 @@ _SPAN_CUT = """
 
 @query("split_by_span_train", f"SELECT user_id, item_id, rating, timestamp FROM interactions WHERE timestamp < {_SPAN_CUT}")
 def _(s):
-    return splits.global_time_split(s.interactions(), s.events, test_size=_SHARE)[0]
+    return splits.global_time_split(s.interactions(), s.stored_events, test_size=_SHARE)[0]
 
 
 @query("split_by_span_test", f"SELECT user_id, item_id, rating, timestamp FROM interactions WHERE timestamp >= {_SPAN_CUT}")
 def _(s):
-    return splits.global_time_split(s.interactions(), s.events, test_size=_SHARE)[1]
+    return splits.global_time_split(s.interactions(), s.stored_events, test_size=_SHARE)[1]
 
 
 @query(
@@ -145,7 +145,7 @@ def _(s):
     "SELECT user_id, item_id, rating, timestamp FROM interactions WHERE timestamp >= epoch_ms(TIMESTAMP '2014-01-01')",
 )
 def _(s):
-    return splits.global_time_split(s.interactions(), s.events, split_date="2014-01-01")[1]
+    return splits.global_time_split(s.interactions(), s.stored_events, split_date="2014-01-01")[1]
 
 
 _SECONDS_CUT = """
@@ -162,7 +162,7 @@ FROM clean_events GROUP BY 1, 2""",
 def _(s):
     from pyspark.sql import functions as F
 
-    before, after = splits.validation_cutoff_split(s.events, _SHARE)
+    before, after = splits.validation_cutoff_split(s.stored_events, _SHARE)
     sides = before.withColumn("side", F.lit("train")).unionByName(after.withColumn("side", F.lit("validation")))
     return sides.groupBy("side", "event").agg(F.count(F.lit(1)).alias("n"))
 

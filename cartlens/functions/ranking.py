@@ -34,29 +34,43 @@ def top_per_group(
 
 
 def positions_in_time(
-    df: DataFrame, key: str, ts: str, ties: Sequence[str], slice_ms: int = 3_600_000
+    df: DataFrame,
+    key: str,
+    ts: str,
+    ties: Sequence[str],
+    heavy_rows: int = 1_000_000,
+    slice_ms: int = 3_600_000,
 ) -> DataFrame:
     """Adds ``_n`` (rows of the key, null times included) and ``_r`` (1-based place by time) to rows with a time.
 
-    A plain window by key would sort a hot key's whole history in one task. Here rows are ranked inside
-    (key, time slice), and slice counts, few per key and combined on the map side, give the offset to add. The join
-    and the ranking share one shuffle by (key, slice).
+    Keys up to ``heavy_rows`` rows share one window and one shuffle. A heavier key would sort its whole history in
+    one task, so its rows are ranked inside (key, time slice) and the counts of earlier slices are added.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_ms)))
-    counts = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = sizes.filter(F.col("_n") > heavy_rows)
+    light = df.join(heavy.select(key), key, "left_anti")
     by_key = Window.partitionBy(key)
-    before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    place = by_key.orderBy(F.asc_nulls_last(ts), *ties)
+    ranked = (
+        light.withColumn("_r", F.row_number().over(place).cast("bigint"))
+        .withColumn("_n", F.count(F.lit(1)).over(by_key))
+        .filter(F.col(ts).isNotNull())
+    )
+    return ranked.unionByName(_sliced_positions(df.join(heavy, key), key, ts, ties, slice_ms))
+
+
+def _sliced_positions(df: DataFrame, key: str, ts: str, ties: Sequence[str], slice_ms: int) -> DataFrame:
+    """Positions of heavy keys; ``df`` carries ``_n``. The join and the ranking share one shuffle by (key, slice)."""
+    sliced = df.filter(F.col(ts).isNotNull()).withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_ms)))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.withColumn("_n", F.sum("_c").over(by_key))
-        # null slices sort first and must not push the others back
-        .withColumn("_off", F.coalesce(F.sum(F.when(F.col("_slice").isNotNull(), F.col("_c"))).over(before), F.lit(0)))
-        .filter(F.col("_slice").isNotNull())
-        .drop("_c")
+        sliced.groupBy(key, "_slice")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(key, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     )
     local = Window.partitionBy(key, "_slice").orderBy(ts, *ties)
     return (
-        sliced.filter(F.col(ts).isNotNull())
-        .withColumn("_local", F.row_number().over(local))
+        sliced.withColumn("_local", F.row_number().over(local))
         .join(offsets, [key, "_slice"])
         .withColumn("_r", F.col("_local") + F.col("_off"))
         .drop("_slice", "_local", "_off")

@@ -43,13 +43,14 @@ def apply_diversity_constraint(
         merged: Column = kept_entry
     else:
         needed = F.col("_size") - F.size("_kept")
-        present = F.transform("_kept", lambda e: e["item_id"])
         lists = lists.withColumn("_pool", _replacement_pool(popular, 2 * list_size))
-        fresh = F.filter(
-            "_pool",
-            lambda e: ~F.array_contains(F.col("_shown"), e["category_id"]) & ~F.array_contains(present, e["item_id"]),
+        unseen = F.filter("_pool", lambda c: ~F.array_contains(F.col("_shown"), c["category_id"]))
+        present = F.transform("_kept", lambda e: e["item_id"])
+        # array_except keeps the order and drops repeats
+        offered = F.array_except(F.flatten(F.transform(unseen, lambda c: c["items"])), present)
+        fills = F.when(needed > 0, F.slice(offered, F.lit(1), needed.cast("int"))).otherwise(
+            F.array().cast("array<bigint>")
         )
-        fills = F.slice(F.array_distinct(F.transform(fresh, lambda e: e["item_id"])), F.lit(1), needed.cast("int"))
         fill_entry = F.transform(fills, lambda item, j: _entry(F.size("_kept") + j + 1, 1, item))
         merged = F.concat(kept_entry, fill_entry)
     ordered = lists.select("user_id", F.posexplode(F.array_sort(merged)).alias("_pos", "_e"))
@@ -61,14 +62,19 @@ def _entry(rank: Column, is_fill: int, item: Column) -> Column:
 
 
 def _replacement_pool(popular: DataFrame, n_categories: int) -> Column:
-    """One array of (category_id, pos, item_id), long enough for every user.
+    """One array of (category_id, items), long enough for every user.
 
     A user skips at most the shown categories, and at most one category per kept item can be used up by items already
     present; every other category gives at least one item. So the first shown + kept + needed categories always
     suffice, which is at most two list lengths: the pool's size follows the lists, not the catalogue.
     """
     firsts = popular.select("category_id").distinct().orderBy("category_id").limit(n_categories)
-    used = popular.join(F.broadcast(firsts), "category_id", "left_semi")
-    listed = used.agg(F.array_sort(F.collect_list(F.struct("category_id", "pos", "item_id"))).alias("_pool"))
-    empty = F.array().cast("array<struct<category_id: bigint, pos: int, item_id: bigint>>")
+    by_category = (
+        popular.join(F.broadcast(firsts), "category_id", "left_semi")
+        .groupBy("category_id")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("_ranked"))
+        .select("category_id", F.transform("_ranked", lambda e: e["item_id"]).alias("items"))
+    )
+    listed = by_category.agg(F.array_sort(F.collect_list(F.struct("category_id", "items"))).alias("_pool"))
+    empty = F.array().cast("array<struct<category_id: bigint, items: array<bigint>>>")
     return F.coalesce(listed.scalar(), empty)

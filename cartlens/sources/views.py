@@ -62,6 +62,11 @@ class ShopViews:
     def events(self) -> DataFrame:
         return clean_rows(self.tagged_events)
 
+    @cached_property
+    def stored_events(self) -> DataFrame:
+        """Clean events written once, for chains that read them several times."""
+        return stage(self.events, "clean-events")
+
     @cached_property
     def raw_properties(self) -> DataFrame:
         key = F.col("p_partkey")
@@ -103,7 +108,8 @@ class ShopViews:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return clean_rows(tag_category_tree(self.raw_tree))
+        """Written once: the walk down the tree reads it level by level."""
+        return stage(clean_rows(tag_category_tree(self.raw_tree)), "tree")
 
     @cached_property
     def categories(self) -> DataFrame:
@@ -121,10 +127,10 @@ class ShopViews:
 
     @cached_property
     def category_stats(self) -> DataFrame:
-        return features.category_stats(self.events, self.categories)
+        return features.category_stats(self.stored_events, self.categories)
 
     def interactions(self, config: InteractionConfig = PRODUCTION.interactions) -> DataFrame:
-        return features.build_interactions(self.events, config)
+        return features.build_interactions(self.stored_events, config)
 
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
@@ -143,8 +149,12 @@ class ShopViews:
 
     @cached_property
     def test_events(self) -> DataFrame:
+        return stage(self.event_split[1], "test-events")
+
+    @cached_property
+    def event_split(self) -> tuple[DataFrame, DataFrame]:
         ties = ("item_id", "event", "transaction_id")
-        return splits.temporal_split_per_user(self.events, PRODUCTION.test_size, ties)[1]
+        return splits.temporal_split_per_user(self.stored_events, PRODUCTION.test_size, ties)
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -204,7 +214,7 @@ class ShopViews:
         return serving.personal_lists(
             self.routed,
             candidates.withColumnRenamed("rank", "cand_rank"),
-            features.purchases(self.events),
+            features.purchases(self.stored_events),
             F.lit(self.train.agg(F.count_distinct("item_id")).scalar()),
             history,
             self.categories,
