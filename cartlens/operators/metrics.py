@@ -118,6 +118,7 @@ def novelty_at_k(recs: DataFrame, train: DataFrame, k: int) -> DataFrame:
 
 def diversity_at_k(recs: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
     """Mean number of distinct categories per user with a categorised item."""
+    _check_k(k)
     known = metadata.select("item_id", "category_id").filter(F.col("category_id").isNotNull())
     per_user = (
         _at_k(recs, k).join(known, "item_id").select("user_id", "category_id").distinct().groupBy("user_id").count()
