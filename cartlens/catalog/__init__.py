@@ -20,6 +20,7 @@ _AREAS = (
     "exploration",
     "files",
     "models",
+    "jobs",
 )
 for _area in _AREAS:
     importlib.import_module(f"cartlens.catalog.{_area}")

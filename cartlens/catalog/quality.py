@@ -188,3 +188,18 @@ def _(s):
     rounded = F.round("value", 6).alias("value")
     model, base = _all(s, s.recs).select("metric", rounded), _all(s, _baseline(s)).select("metric", rounded)
     return metrics.check_degradation(model, base)
+
+
+@query(
+    "degradation_gate_status",
+    f"""{_TWO_MODELS}
+SELECT degraded_metrics, target_pairs, degraded_metrics > 0 AND target_pairs >= 100 AS blocked
+FROM (SELECT count(*) AS degraded_metrics, (SELECT count(*) FROM targets) AS target_pairs
+      FROM m JOIN b USING (metric)
+      WHERE metric IN ('precision@5', 'precision@10', 'recall@10', 'recall@20', 'ndcg@10', 'hit_rate@5', 'hit_rate@10')
+        AND b.value > 0 AND (m.value - b.value) / b.value < -0.1::DOUBLE)""",
+)
+def _(s):
+    rounded = F.round("value", 6).alias("value")
+    model, base = _all(s, s.recs).select("metric", rounded), _all(s, _baseline(s)).select("metric", rounded)
+    return metrics.gate_status(metrics.check_degradation(model, base), s.targets)

@@ -47,7 +47,8 @@ def positions_in_time(
     one task, so its rows are ranked inside (key, time slice) and the counts of earlier slices are added.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = sizes.filter(F.col("_n") > heavy_rows)
+    # At most one heavy key per heavy_rows rows of input: a few megabytes even for trillions of rows.
+    heavy = F.broadcast(sizes.filter(F.col("_n") > heavy_rows))
     light = df.join(heavy.select(key), key, "left_anti")
     by_key = Window.partitionBy(key)
     place = by_key.orderBy(F.asc_nulls_last(ts), *ties)

@@ -13,15 +13,18 @@ from cartlens.session import stage
 
 # Users are grouped by how many items they have seen; each group asks the model for n plus its largest history.
 SEEN_GROUPS = (64, 512, 4096)
+SAMPLED_SHARE = 64  # one item in so many sets the score a long-history user's list cannot fall below
 
 
-def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig(), blocks: int = 10) -> ALSModel:
+def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig(), blocks: int | None = None) -> ALSModel:
     """Fit on (user_idx, item_idx, rating).
 
     Spark weighs an observation 1 + alpha * r. The intended weight is alpha * r, so ratings shrink by 1 / alpha,
     which agrees wherever alpha * r >= 1. Spark also scales the regularisation by a row's rating count, so metrics,
-    not factors, are comparable with other solvers.
+    not factors, are comparable with other solvers. Factor blocks follow the cluster's cores unless given.
     """
+    if blocks is None:
+        blocks = min(max(coordinates.sparkSession.sparkContext.defaultParallelism, 10), 1000)
     ratings = coordinates.select(
         F.col("user_idx").cast("int").alias("user_idx"),
         F.col("item_idx").cast("int").alias("item_idx"),
@@ -69,7 +72,7 @@ def top_unseen_by_index(model: ALSModel, coordinates: DataFrame, users: DataFram
             )
             scored = listed.select("user_idx", F.col("r.item_idx").alias("item_idx"), F.col("r.rating").alias("score"))
         else:
-            scored = _score_all(model, members)
+            scored = _score_all(model, members, seen, n)
         parts.append(scored.withColumn("score", F.col("score").cast("double")))
     if not parts:
         return profile.select("user_idx", F.col("user_idx").alias("item_idx"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
@@ -80,18 +83,32 @@ def top_unseen_by_index(model: ALSModel, coordinates: DataFrame, users: DataFram
     return top_per_group(fresh, ["user_idx"], [F.desc("score"), F.asc("item_idx")], n, "rank")
 
 
-def _score_all(model: ALSModel, members: DataFrame) -> DataFrame:
-    """Every item scored for users whose history is too long for over-fetching.
+def _score_all(model: ALSModel, members: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """Candidates of users whose history is too long for over-fetching, from all items.
 
-    The rows stream into a per-task top-n before any shuffle. Such users are few: each owns thousands of coordinates.
+    Such users are few, each owning thousands of coordinates. Pairing each with every item is what exhaustive scoring
+    means, but those pairs must not be shuffled to drop the seen ones. So the n-th best unseen score within one item
+    in SAMPLED_SHARE comes first: the final list cannot reach below it, and only pairs at or above it go on.
     """
     people = model.userFactors.join(members, model.userFactors["id"] == members["user_idx"]).select(
         "user_idx", F.col("features").alias("_u")
     )
     things = model.itemFactors.select(F.col("id").alias("item_idx"), F.col("features").alias("_i"))
     dot = F.aggregate(F.zip_with("_u", "_i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-    # Pairing each of these users with each item is what exhaustive scoring means; nothing is joined on a key.
-    return people.join(things).select("user_idx", "item_idx", dot.alias("score"))
+
+    def score(users: DataFrame, items: DataFrame) -> DataFrame:
+        return users.join(items).withColumn("score", dot)
+
+    sampled = things.filter(F.pmod(F.xxhash64("item_idx"), F.lit(SAMPLED_SHARE)) == 0)
+    fresh = score(people, sampled).select("user_idx", "item_idx", "score").join(seen, ["user_idx", "item_idx"], "left_anti")
+    nth_best = (
+        top_per_group(fresh, ["user_idx"], [F.desc("score")], n, "_place")
+        .filter(F.col("_place") == n)
+        .select("user_idx", F.col("score").alias("_floor"))
+    )
+    bounded = people.join(nth_best, "user_idx", "left")
+    worth = F.col("_floor").isNull() | (F.col("score") >= F.col("_floor"))
+    return score(bounded, things).filter(worth).select("user_idx", "item_idx", "score")
 
 
 def top_unseen(model: ALSModel, matrix: UserItemMatrix, users: DataFrame, n: int) -> DataFrame:

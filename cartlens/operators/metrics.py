@@ -215,6 +215,16 @@ def degradation_gate(degraded: DataFrame, target: DataFrame, least_pairs: int =
     raise ModelDegradation(f"degraded: {names}")
 
 
+def gate_status(degraded: DataFrame, target: DataFrame, least_pairs: int = MIN_TARGET_PAIRS) -> DataFrame:
+    """One row: degraded metrics, target pairs, and whether the gate blocks the release."""
+    pairs = target.agg(F.count(F.lit(1))).scalar()
+    return degraded.agg(F.count(F.lit(1)).alias("degraded_metrics")).select(
+        "degraded_metrics",
+        F.lit(pairs).alias("target_pairs"),
+        ((F.col("degraded_metrics") > 0) & (F.lit(pairs) >= least_pairs)).alias("blocked"),
+    )
+
+
 def compare_experiments(model: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, model, baseline, change_pct) for metrics in both; null change where the baseline is 0."""
     return (

@@ -137,9 +137,10 @@ def answer_requests(routed: DataFrame, lists: DataFrame, popular: DataFrame) ->
         F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("_ranked")
     ).select(*_LIST, F.transform("_ranked", lambda e: F.struct(e["item_id"].alias("item_id"), e["score"].alias("score"))).alias("_personal"))
     is_popular = F.col("model_type").isin("baseline", "fallback")
-    keyed = routed.withColumn("reranked", F.col("model_type") == "rerank").withColumn("_popular", popular_array(popular))
+    keyed = routed.withColumn("reranked", F.col("model_type") == "rerank")
     return (
         keyed.join(nested, list(_LIST), "left")
+        .withColumn("_popular", popular_array(popular))  # after the join, so that no array is shuffled
         .withColumn("recommendations", F.when(is_popular, popular_answer()).otherwise(F.col("_personal")))
         .withColumn("cold", F.when(F.col("model_type").isNotNull(), is_popular))
         .select("request_id", "user_id", "top_k", "status", "recommendations", "cold", "model_type", "ab_test_group")
