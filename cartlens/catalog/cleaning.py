@@ -82,7 +82,7 @@ def _(s):
 
 @query("category_tree_clean", "SELECT category_id, parent_id FROM clean_tree")
 def _(s):
-    return v.clean_rows(v.tag_category_tree(s.raw_tree))
+    return v.clean_category_tree(s.raw_tree)
 
 
 @query(

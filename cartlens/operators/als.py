@@ -12,7 +12,7 @@ from cartlens.operators.matrix import UserItemMatrix
 from cartlens.session import stage
 
 # Users are grouped by how many items they have seen; each group asks the model for n plus its largest history.
-SEEN_GROUPS = (64, 512, 4096)
+SEEN_GROUPS = (32, 128, 1024, 4096)
 SAMPLED_SHARE = 64  # one item in so many sets the score a long-history user's list cannot fall below
 
 

@@ -1,7 +1,7 @@
 """Row validation of the three input tables.
 
-Every row gets the name of the first check it fails (null when it passes all), so clean rows and the rejection
-statistics come from the same scan instead of a filter and a count per check.
+Statistics tag every row with the first check it fails (null when it passes all), so one scan counts every check.
+Clean rows come from the same checks as plain filters, which file scans can use to skip data.
 """
 
 from __future__ import annotations
@@ -43,46 +43,80 @@ def _in_bounds(column: str) -> Column:
     return F.col(column).between(F.lit(MIN_TIMESTAMP_MS), F.lit(MAX_TIMESTAMP_MS))
 
 
-def tag_events(events: DataFrame) -> DataFrame:
-    require_columns(events, ["user_id", "item_id", "timestamp", "event"], "events")
-    return events.withColumn("timestamp", millis(events, "timestamp")).withColumn(
-        REASON,
-        _first_failure(
-            [
-                ("null", _all_present("user_id", "item_id", "timestamp", "event")),
-                ("event", F.col("event").isin(*VALID_EVENTS)),
-                ("timestamp", _in_bounds("timestamp")),
-                ("id", (F.col("user_id") > 0) & (F.col("item_id") > 0)),
-            ]
-        ),
-    )
+def _prepared(df: DataFrame, required: list[str], what: str) -> DataFrame:
+    require_columns(df, required, what)
+    return df.withColumn("timestamp", millis(df, "timestamp")) if "timestamp" in required else df
 
 
-def tag_item_properties(properties: DataFrame) -> DataFrame:
-    require_columns(properties, ["item_id", "property", "timestamp", "value"], "item properties")
-    return properties.withColumn("timestamp", millis(properties, "timestamp")).withColumn(
-        REASON,
-        _first_failure(
-            [
-                ("null", _all_present("item_id", "property", "timestamp")),
-                ("timestamp", _in_bounds("timestamp")),
-                ("id", F.col("item_id") > 0),
-            ]
-        ),
-    )
+def _event_checks(events: DataFrame) -> list[tuple[str, Column]]:
+    return [
+        ("null", _all_present("user_id", "item_id", "timestamp", "event")),
+        ("event", F.col("event").isin(*VALID_EVENTS)),
+        ("timestamp", _in_bounds("timestamp")),
+        ("id", (F.col("user_id") > 0) & (F.col("item_id") > 0)),
+    ]
 
 
-def tag_category_tree(tree: DataFrame) -> DataFrame:
-    require_columns(tree, ["category_id"], "category tree")
+def _property_checks(properties: DataFrame) -> list[tuple[str, Column]]:
+    return [
+        ("null", _all_present("item_id", "property", "timestamp")),
+        ("timestamp", _in_bounds("timestamp")),
+        ("id", F.col("item_id") > 0),
+    ]
+
+
+def _tree_checks(tree: DataFrame) -> list[tuple[str, Column]]:
     positive = F.col("category_id") > 0
     if "parent_id" in tree.columns:
         positive = positive & (F.col("parent_id").isNull() | (F.col("parent_id") > 0))
-    return tree.withColumn(REASON, _first_failure([("null", _all_present("category_id")), ("id", positive)]))
+    return [("null", _all_present("category_id")), ("id", positive)]
+
+
+def _tag(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    return df.withColumn(REASON, _first_failure(checks))
+
+
+def _clean(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Passing rows without whole-row duplicates. Plain conditions, so that file scans can skip what fails them."""
+    for _, passes in checks:
+        df = df.filter(passes)
+    return df.distinct()
+
+
+def _prepared_events(events: DataFrame) -> DataFrame:
+    return _prepared(events, ["user_id", "item_id", "timestamp", "event"], "events")
+
+
+def _prepared_properties(properties: DataFrame) -> DataFrame:
+    return _prepared(properties, ["item_id", "property", "timestamp", "value"], "item properties")
+
+
+def _prepared_tree(tree: DataFrame) -> DataFrame:
+    return _prepared(tree, ["category_id"], "category tree")
+
+
+def tag_events(events: DataFrame) -> DataFrame:
+    return _tag(_prepared_events(events), _event_checks(events))
+
+
+def tag_item_properties(properties: DataFrame) -> DataFrame:
+    return _tag(_prepared_properties(properties), _property_checks(properties))
+
+
+def tag_category_tree(tree: DataFrame) -> DataFrame:
+    return _tag(_prepared_tree(tree), _tree_checks(tree))
+
+
+def clean_events(events: DataFrame) -> DataFrame:
+    return _clean(_prepared_events(events), _event_checks(events))
+
+
+def clean_item_properties(properties: DataFrame) -> DataFrame:
+    return _clean(_prepared_properties(properties), _property_checks(properties))
 
 
-def clean_rows(tagged: DataFrame) -> DataFrame:
-    """Passing rows, whole-row duplicates removed."""
-    return tagged.filter(F.col(REASON).isNull()).drop(REASON).distinct()
+def clean_category_tree(tree: DataFrame) -> DataFrame:
+    return _clean(_prepared_tree(tree), _tree_checks(tree))
 
 
 def reject_stats(tagged: DataFrame, reasons: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -109,18 +143,15 @@ def reject_stats(tagged: DataFrame, reasons: tuple[tuple[str, str], ...]) -> Dat
 
 def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean events with millisecond timestamps, statistics)."""
-    tagged = tag_events(events)
-    return clean_rows(tagged), reject_stats(tagged, _EVENT_STATS)
+    return clean_events(events), reject_stats(tag_events(events), _EVENT_STATS)
 
 
 def validate_item_properties(properties: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tagged = tag_item_properties(properties)
-    return clean_rows(tagged), reject_stats(tagged, _PROPERTY_STATS)
+    return clean_item_properties(properties), reject_stats(tag_item_properties(properties), _PROPERTY_STATS)
 
 
 def validate_category_tree(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tagged = tag_category_tree(tree)
-    return clean_rows(tagged), reject_stats(tagged, _TREE_STATS)
+    return clean_category_tree(tree), reject_stats(tag_category_tree(tree), _TREE_STATS)
 
 
 def pass_percent(stats: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ from cartlens.session import configure, stage
 
 def clean_events(spark: SparkSession, data_dir: str) -> DataFrame:
     """Validated events, written once because every job reads them several times."""
-    tagged = validation.tag_events(readers.load_events(spark, data_dir))
-    return stage(validation.clean_rows(tagged), "clean-events")
+    return stage(validation.clean_events(readers.load_events(spark, data_dir)), "clean-events")
 
 
 def create_artifacts(
@@ -30,9 +29,10 @@ def create_artifacts(
     readers.check_data_folder(spark, data_dir).collect()  # one row per required file
     events = clean_events(spark, data_dir)
     properties = stage(
-        validation.clean_rows(validation.tag_item_properties(readers.load_item_properties(spark, data_dir))), "properties"
+        validation.clean_item_properties(readers.load_item_properties(spark, data_dir)), "properties"
     )
-    tree = validation.clean_rows(validation.tag_category_tree(readers.load_category_tree(spark, data_dir)))
+    # Written once: the walk down the tree reads it level by level.
+    tree = stage(validation.clean_category_tree(readers.load_category_tree(spark, data_dir)), "tree")
     tables = {
         "item_availability": features.item_availability(properties),
         "item_popularity": features.item_popularity(events, weights),
@@ -74,12 +74,12 @@ def train_and_report(
     """Split, train, score and save: the training command."""
     configure(spark)
     events = clean_events(spark, data_dir)
-    interactions = features.build_interactions(events, config.interactions)
+    interactions = stage(features.build_interactions(events, config.interactions), "interactions")
     if split_mode == "user":
         marked = stage(splits.mark_split_per_user(interactions, config.test_size), "split")
         train, test = marked.filter("is_train").drop("is_train"), marked.filter("NOT is_train").drop("is_train")
     else:
-        train, test = splits.temporal_split_global(stage(interactions, "interactions"), config.test_size)
+        train, test = splits.temporal_split_global(interactions, config.test_size)
     matrix = build_user_item_matrix(train)
     model = train_als(matrix.coordinates, config.als)
     k = config.evaluation.k
@@ -141,7 +141,7 @@ def validate_model(
     previous = artifacts.previous_metrics(spark, previous_metrics_path) if previous_metrics_path else None
     events = clean_events(spark, data_dir)
     before, after = splits.validation_cutoff_split(events, validation_size)
-    interactions = features.build_interactions(before, config.interactions)
+    interactions = stage(features.build_interactions(before, config.interactions), "interactions")
     marked = stage(splits.mark_split_per_user(interactions, validation_size), "split")
     train, held_out = marked.filter("is_train").drop("is_train"), marked.filter("NOT is_train").drop("is_train")
     if model_dir:
@@ -203,9 +203,8 @@ def run_experiments(
     """The three compared models on one split: popularity, ALS, and re-ranked ALS; metrics per model."""
     configure(spark)
     events = clean_events(spark, data_dir)
-    marked = stage(
-        splits.mark_split_per_user(features.build_interactions(events, config.interactions), config.test_size), "split"
-    )
+    interactions = stage(features.build_interactions(events, config.interactions), "interactions")
+    marked = stage(splits.mark_split_per_user(interactions, config.test_size), "split")
     train, test = marked.filter("is_train").drop("is_train"), marked.filter("NOT is_train").drop("is_train")
     ties = ("item_id", "event", "transaction_id")
     test_events = stage(splits.temporal_split_per_user(events, config.test_size, ties)[1], "test-events")

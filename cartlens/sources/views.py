@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartlens.config import PRODUCTION, InteractionConfig
 from cartlens.operators import features, popular, serving, splits
-from cartlens.operators.validation import clean_rows, tag_category_tree, tag_events, tag_item_properties
+from cartlens.operators.validation import clean_category_tree, clean_events, clean_item_properties, tag_events
 from cartlens.session import configure, stage
 
 # Fixed values of the mapping, the same as in the SQL twins of these views.
@@ -60,7 +60,7 @@ class ShopViews:
 
     @cached_property
     def events(self) -> DataFrame:
-        return clean_rows(self.tagged_events)
+        return clean_events(self.raw_events)
 
     @cached_property
     def stored_events(self) -> DataFrame:
@@ -88,7 +88,7 @@ class ShopViews:
 
     @cached_property
     def properties(self) -> DataFrame:
-        return clean_rows(tag_item_properties(self.raw_properties))
+        return clean_item_properties(self.raw_properties)
 
     @cached_property
     def raw_tree(self) -> DataFrame:
@@ -109,7 +109,7 @@ class ShopViews:
     @cached_property
     def tree(self) -> DataFrame:
         """Written once: the walk down the tree reads it level by level."""
-        return stage(clean_rows(tag_category_tree(self.raw_tree)), "tree")
+        return stage(clean_category_tree(self.raw_tree), "tree")
 
     @cached_property
     def categories(self) -> DataFrame:
@@ -135,7 +135,8 @@ class ShopViews:
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
         """Both sides of the per-user split, read from one written frame: lists, metrics and stats use them repeatedly."""
-        marked = stage(splits.mark_split_per_user(self.interactions(), PRODUCTION.test_size), "split")
+        interactions = stage(self.interactions(), "interactions")
+        marked = stage(splits.mark_split_per_user(interactions, PRODUCTION.test_size), "split")
         train, test = marked.filter("is_train"), marked.filter("NOT is_train")
         return train.drop("is_train"), test.drop("is_train")
 
