@@ -66,7 +66,7 @@ def _(s):
     f"""WITH {_METRICS}
 SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
   SELECT * FROM (VALUES (0, repeat('=', 80)), (1, 'A/B TEST RESULTS'), (2, repeat('=', 80)), (3, ''),
-                        (16, 'COMPARISON:'), (21, ''), (22, repeat('=', 80))) v(line_no, line)
+                        (10, ''), (17, ''), (18, 'COMPARISON:'), (23, ''), (24, repeat('=', 80))) v(line_no, line)
   UNION ALL
   SELECT o + i, CASE i WHEN 0 THEN model || ' model:'
                        WHEN 1 THEN '  Impressions: ' || format('{{:,}}', impressions)
@@ -74,9 +74,9 @@ SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
                        WHEN 3 THEN printf('  Conversion Rate: %.4f (%.2f%%)', conversion_rate, conversion_rate * 100)
                        WHEN 4 THEN printf('  Add to Cart Rate: %.4f (%.2f%%)', addtocart_rate, addtocart_rate * 100)
                        ELSE printf('  Revenue: %.2f', revenue) END
-  FROM (SELECT *, CASE WHEN model = 'ALS' THEN 4 ELSE 10 END AS o FROM ab), range(6) r(i)
+  FROM (SELECT *, CASE WHEN model = 'ALS' THEN 4 ELSE 11 END AS o FROM ab), range(6) r(i)
   UNION ALL
-  SELECT 16 + list_position(['ctr', 'conversion_rate', 'addtocart_rate', 'revenue'], metric), {_LINE} FROM cmp)""",
+  SELECT 18 + list_position(['ctr', 'conversion_rate', 'addtocart_rate', 'revenue'], metric), {_LINE} FROM cmp)""",
 )
 def _(s):
     totals = abtest.business_metrics(s.log)

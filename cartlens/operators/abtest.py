@@ -92,7 +92,7 @@ def comparison_lines(comparison: DataFrame) -> DataFrame:
 def summary_lines(metrics: DataFrame, comparison: DataFrame) -> DataFrame:
     """(line_no, line): the whole text report. Two arms and four metrics, so it is a handful of rows."""
     rule = "=" * 80
-    blocks = [(0, rule), (1, "A/B TEST RESULTS"), (2, rule), (3, ""), (16, "COMPARISON:"), (21, ""), (22, rule)]
+    blocks = [(0, rule), (1, "A/B TEST RESULTS"), (2, rule), (3, ""), (10, ""), (17, ""), (18, "COMPARISON:"), (23, ""), (24, rule)]
     fixed = metrics.sparkSession.createDataFrame(blocks, "line_no int, line string")
 
     def rate(label: str, column: str):
@@ -106,12 +106,12 @@ def summary_lines(metrics: DataFrame, comparison: DataFrame) -> DataFrame:
         rate("Add to Cart Rate", "addtocart_rate"),
         F.format_string("  Revenue: %.2f", "revenue"),
     )
-    start = F.when(F.col("model") == "ALS", F.lit(4)).otherwise(F.lit(10))
+    start = F.when(F.col("model") == "ALS", F.lit(4)).otherwise(F.lit(11))
     arms = metrics.select(F.posexplode(lines).alias("_p", "line"), start.alias("_s")).select(
         (F.col("_p") + F.col("_s")).alias("line_no"), "line"
     )
     place = F.array_position(F.array(*[F.lit(m) for m in COMPARED]), F.col("metric"))
-    compared = comparison_lines(comparison).select((place + 16).cast("int").alias("line_no"), "line")
+    compared = comparison_lines(comparison).select((place + 18).cast("int").alias("line_no"), "line")
     return fixed.unionByName(arms).unionByName(compared)
 
 

@@ -122,7 +122,7 @@ def test_ab_report(spark, tmp_path):
     path = f"{tmp_path}/log.parquet"
     spark.createDataFrame(rows, "user_id bigint, item_id bigint, event_type string, model_type string, revenue double").write.parquet(path)
     report = jobs.ab_report(spark, path, f"{tmp_path}/report.json")
-    assert report["summary"].count("\n") == 22
+    assert report["summary"].count("\n") == 24
     assert artifacts.load_json(spark, f"{tmp_path}/report.json")["comparison"] == report["comparison"]
 
 

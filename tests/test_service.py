@@ -27,8 +27,8 @@ def test_comparison_rules(frame):
 def test_summary_is_complete(frame):
     totals = abtest.business_metrics(frame([(1, 1, "impression", "als", 0.0)] * 1500, EVENTS))
     text = abtest.summary_text(abtest.summary_lines(totals, abtest.compare_arms(totals))).first()["summary"].split("\n")
-    assert len(text) == 23 and text[5] == "  Impressions: 1,500"
-    assert text[17].startswith("  CTR: ALS 0.0000 vs Baseline 0.0000 (+0.0%)")
+    assert len(text) == 25 and text[5] == "  Impressions: 1,500"
+    assert text[19].startswith("  CTR: ALS 0.0000 vs Baseline 0.0000 (+0.0%)")
 
 
 def test_request_rules(frame):
