@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe
-from cartlens.llm.frames import documents
+from cartlens.llm import bpe, language
+from cartlens.llm.frames import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from the rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
+    model = language.train(docs.filter(~F.col("held_out")))
+    found = language.identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_mix")
