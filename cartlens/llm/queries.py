@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, language
+from cartlens.llm import bpe, language, pii
 from cartlens.llm.frames import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,24 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.filter(~F.col("held_out")))
     found = language.identify(docs.select("doc_id", "text", "held_out"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_mix")
+
+
+def _span_list(spans):
+    """`kind:start:end` by kind as listed, then start, comma-joined."""
+    kinds = F.array(*(F.lit(k) for k in pii.KINDS))
+    keyed = F.transform(spans, lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind")))
+    return F.concat_ws(",", F.transform(F.sort_array(keyed), lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of plain identifiers, and the places of all found ones, disguised ones included."""
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("plain_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in pii.KINDS),
+        F.sha2(_span_list(F.col("plain_spans")), 256).alias("base_sha256"),
+        _span_list(F.concat("plain_spans", "added_spans")).alias("spans"),
+        F.size("added_spans").cast("long").alias("n_added"),
+    )
