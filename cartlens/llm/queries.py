@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, language, pii, urls
+from cartlens.llm import bpe, fingerprint, language, pii, urls
 from cartlens.llm.frames import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ SELECT parts.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_full_match(
   '(.*[.])?(casino-win|free-bets|cheap-pills|ads-track)[.]example[.]com') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND k = 1
 """
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited form, and what they share with each other and the next text."""
+    return fingerprint.with_next(documents(spark, sf_dir).select("doc_id", "text"))
