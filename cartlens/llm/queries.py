@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, fingerprint, language, pii, urls
+from cartlens.llm import bpe, fingerprint, language, pii, urls, windows
 from cartlens.llm.frames import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,10 @@ FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND k = 1
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every text and of its edited form, and what they share with each other and the next text."""
     return fingerprint.with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every text once windows of 20 words that occur earlier are gone."""
+    kept = windows.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
