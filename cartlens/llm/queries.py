@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, fingerprint, language, pii, urls, windows
-from cartlens.llm.frames import documents, held_out
+from cartlens.llm import bpe, fingerprint, language, pii, suffixes, urls, windows
+from cartlens.llm.frames import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,7 +84,7 @@ BLOCKED_HOSTS = ["casino-win.example.com", "free-bets.example.com", "cheap-pills
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by the longest rule, else by the host list."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -115,3 +115,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every text once windows of 20 words that occur earlier are gone."""
     kept = windows.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left in every text once strings of 400 bytes that occur elsewhere are gone."""
+    kept = suffixes.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
