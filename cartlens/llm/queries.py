@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, fingerprint, language, pii, suffixes, urls, windows
+from cartlens.llm import bpe, fingerprint, jaccard, language, pii, suffixes, urls, windows
 from cartlens.llm.frames import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left in every text once strings of 400 bytes that occur elsewhere are gone."""
     kept = suffixes.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under links of similarity 0.75 over five-word shingles."""
+    return jaccard.groups(documents(spark, sf_dir).select("doc_id", "text"))
