@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, fingerprint, jaccard, language, pii, suffixes, urls, windows
+from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, urls, windows
 from cartlens.llm.frames import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under links of similarity 0.75 over five-word shingles."""
     return jaccard.groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it contains."""
+    return decontaminate.find(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
