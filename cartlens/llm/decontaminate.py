@@ -7,8 +7,8 @@ THRESHOLD serves all items. Items stand in blocks of BLOCK; each term keeps its
 
 Query. A document is cut into passages of two strides, one stride apart; a stride is at least MIN_STRIDE words and not
 shorter than the longest item, so every copy of an item lies whole in some passage. As in block-max WAND, a passage's
-terms are ordered by their largest impact. The longest run of weak terms whose impacts stay below the threshold cannot
-lift an item over it alone, so only the lists of the other terms are opened. A block is scored only if its largest impacts
+terms are ordered by their largest impact. The longest run of weak terms whose impacts stay below WEAK_PART of the
+threshold cannot lift an item over it alone, so only the lists of the other terms are opened. A block is scored only if its largest impacts
 for them, plus those of the weak terms, reach the threshold. All items at or above the threshold are retrieved.
 
 Verification. An item's answer is its last sentence, or the last quarter of its words if it has only one; the question
@@ -39,7 +39,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 MIN_OVERLAP = 0.6
 MIN_STRIDE = 64
-BLOCK = 8
+BLOCK = 4
+#: Part of the threshold that the terms whose lists stay closed may reach together.
+WEAK_PART = 0.25
 SHARD_TERMS = 1_000_000
 
 _TERM = np.zeros(256, np.uint8)
@@ -89,8 +91,8 @@ def triples(h: np.ndarray) -> np.ndarray:
 class Index:
     """One shard. Terms are numbered by ascending largest impact."""
 
-    hashes: np.ndarray  # of the terms, ascending
-    number: np.ndarray  # term number of each hash
+    slots: np.ndarray  # open-addressing table of term hashes, 0 where free
+    slot_number: np.ndarray  # term number in each slot
     largest: np.ndarray  # by term number
     list_start: np.ndarray  # by term number, into the block lists
     list_block: np.ndarray
@@ -137,6 +139,37 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_table(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table of at least eight slots a term; a term stands in the first free slot from that of its low bits on."""
+    size = 1 << max(4, (8 * len(hashes)).bit_length())
+    slots, numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+    left = np.arange(len(hashes))
+    at = (hashes & np.uint64(size - 1)).astype(np.int64)
+    while len(left):
+        free = slots[at[left]] == 0
+        _, first = np.unique(at[left[free]], return_index=True)
+        placed = left[free][first]
+        slots[at[placed]], numbers[at[placed]] = hashes[placed], number[placed]
+        left = left[~np.isin(left, placed)]
+        at[left] = np.where(slots[at[left]] != 0, (at[left] + 1) & (size - 1), at[left])
+    return slots, numbers
+
+
+def term_numbers(index: Index, h: np.ndarray) -> np.ndarray:
+    """Number of each term, -1 for those no item has."""
+    mask = len(index.slots) - 1
+    at = (h & np.uint64(mask)).astype(np.int64)
+    there = index.slots[at]
+    out = np.where(there == h, index.slot_number[at], -1)
+    left = np.flatnonzero((there != h) & (there != 0))
+    while len(left):
+        at[left] = (at[left] + 1) & mask
+        there = index.slots[at[left]]
+        out[left] = np.where(there == h[left], index.slot_number[at[left]], -1)
+        left = left[(there != h[left]) & (there != 0)]
+    return out
+
+
 def build_index(rows: pa.Table, df: tuple[np.ndarray, np.ndarray], n_items: int, mean_len: float) -> Index:
     """rows: item rows of one shard; df: (terms, counts) with terms ascending as unsigned."""
     join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
@@ -159,8 +192,7 @@ def build_index(rows: pa.Table, df: tuple[np.ndarray, np.ndarray], n_items: int,
     by = np.argsort(key, kind="stable")
     lists, first = np.unique(key[by], return_index=True)
     return Index(
-        hashes,
-        number,
+        *term_table(hashes, number),
         largest[order],
         np.searchsorted(lists, np.arange(len(hashes) + 1) * n_blocks),
         lists % n_blocks,
@@ -187,27 +219,35 @@ def passages(rows: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.
 def retrieve(index: Index, h: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all pairs whose score reaches the threshold."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if len(h) == 0 or len(index.hashes) == 0 or len(start) == 0:
+    n_terms = len(index.largest)
+    if len(h) == 0 or n_terms == 0 or len(start) == 0:
         return none
-    at = np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)
-    number = np.where(index.hashes[at] == h, index.number[at], -1)
-    n_terms = len(index.hashes)
+    number = term_numbers(index, h)
     passage = np.repeat(np.arange(len(start)), end - start)
     of = number[ranges(start, end - start)]
-    pairs = np.unique(passage[of >= 0] * n_terms + of[of >= 0])
+    known = of >= 0
+    pairs = np.sort(passage[known] * n_terms + of[known])
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     passage, term = pairs // n_terms, pairs % n_terms  # by passage, then ascending largest impact
     edge = np.searchsorted(passage, np.arange(len(start) + 1))
     total = np.concatenate([[0.0], np.cumsum(index.largest[term])])
     so_far = total[1:] - total[edge[:-1]][passage]
-    strong = so_far >= threshold - 1e-9
+    strong = so_far >= WEAK_PART * threshold
     if not strong.any():
         return none
     weak = np.bincount(passage[~strong], index.largest[term[~strong]], len(start))
     s = np.flatnonzero(strong)
     length = index.list_start[term[s] + 1] - index.list_start[term[s]]
     entry = ranges(index.list_start[term[s]], length)
-    key, inverse = np.unique(np.repeat(passage[s], length) * index.n_blocks + index.list_block[entry], return_inverse=True)
-    bound = np.bincount(inverse, index.list_impact[entry], len(key)) + weak[key // index.n_blocks]
+    at = np.repeat(passage[s], length) * index.n_blocks + index.list_block[entry]
+    if len(start) * index.n_blocks <= 4 * len(at):
+        bound = np.bincount(at, index.list_impact[entry], len(start) * index.n_blocks)
+        key = np.flatnonzero(bound)
+        bound = bound[key]
+    else:
+        key, inverse = np.unique(at, return_inverse=True)
+        bound = np.bincount(inverse, index.list_impact[entry], len(key))
+    bound += weak[key // index.n_blocks]
     key = key[bound >= threshold - 1e-9]
     if len(key) == 0:
         return none
