@@ -10,9 +10,11 @@ which is a Jaccard similarity of 3/4. Documents with equal sets are one node.
 2. Elements that at most TILE sets share give all their pairs of fitting size. Sets meet at a marked or larger element
    when most of a text is frequent, as in a family of copies; there each set first meets one pivot, the one with the
    fewest unmarked elements, usually the text the others were made from.
-3. Bitmap bound. Each set has a bitmap of SIGNATURE_BITS parities. Two bitmaps differ in at most as many bits as their
-   sets differ in elements, so a pair with more than (n + m) / 7 differing bits is out.
+3. Bitmap bound. Each set has a bitmap of parities, about as many bits as elements; wider ones fold to the width of
+   narrower ones. Two bitmaps differ in at most as many bits as their sets differ in elements, so a pair with more than
+   (n + m) / 7 differing bits is out.
 4. Exact test by intersection of the sorted hash arrays, computed again from the texts of the sets still in question.
+   Each set is first tested against its smallest partner; pairs that this leaves in different components follow.
 5. What the first links join needs no further test. Sets of one frequent element that are still in different components
    are compared in tiles: the sets outside the element's largest component, ordered by size and cut into bands of TILE,
    against bands of all its sets, by the bitmap bound and then the exact test. So a family that hangs together costs
@@ -38,7 +40,8 @@ from cartlens.llm.packs import CHUNK_BYTES
 from cartlens.llm.windows import window_starts
 from cartlens.session import stage
 
-SIGNATURE_BITS = 1024
+#: Bounds of a bitmap's width; within them it follows the set's size.
+MIN_BITS, MAX_BITS = 256, 1 << 17
 #: Sets that share an element and are compared pair by pair at once; also the width of a band.
 TILE = 256
 #: Documents with an element, as counted below, from which it is marked as frequent.
@@ -72,18 +75,48 @@ def set_ids(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return mix((total[rows[1:]] - total[rows[:-1]]) ^ np.diff(rows).astype(np.uint64)).view(np.int64)
 
 
+def signature_width(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two from its size on, within MIN_BITS..MAX_BITS."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
+
+
 def signatures(values: np.ndarray, rows: np.ndarray) -> list[bytes]:
-    """Parity bitmaps."""
-    n = len(rows) - 1
-    row = np.repeat(np.arange(n), np.diff(rows))
-    bit = (values >> np.uint64(64 - SIGNATURE_BITS.bit_length() + 1)).astype(np.int64)
-    out = []
-    for a in range(0, n, 512):
-        b = min(n, a + 512)
-        x, y = rows[a], rows[b]
-        parity = np.bincount((row[x:y] - a) * SIGNATURE_BITS + bit[x:y], minlength=(b - a) * SIGNATURE_BITS) & 1
-        packed = np.packbits(parity.astype(np.uint8).reshape(b - a, SIGNATURE_BITS), axis=1)
-        out += [r.tobytes() for r in packed]
+    """Bitmaps of the parities of the sets' elements by their low bits."""
+    n = np.diff(rows)
+    width = signature_width(n)
+    out: list[bytes] = [b""] * len(n)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        step = max(1, (1 << 22) // w)
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            at = np.repeat(np.arange(len(part)), n[part])
+            bit = (values[ranges(rows[:-1][part], n[part])] & np.uint64(w - 1)).astype(np.int64)
+            parity = (np.bincount(at * w + bit, minlength=len(part) * w) & 1).astype(np.uint8)
+            for i, row in zip(part.tolist(), np.packbits(parity.reshape(len(part), w), axis=1), strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+def folded(bitmaps: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Bitmaps at a smaller width: parities of bits that fall together."""
+    while bitmaps.shape[1] > n_bytes:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def bits_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Differing bits of each pair of bitmaps, at the smaller width of the two."""
+    widths = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for a, b in np.unique(widths, axis=0).tolist():
+        at = np.flatnonzero((widths[:, 0] == a) & (widths[:, 1] == b))
+        u = np.frombuffer(b"".join([x[i] for i in at]), np.uint8).reshape(len(at), a)
+        v = np.frombuffer(b"".join([y[i] for i in at]), np.uint8).reshape(len(at), b)
+        small = min(a, b)
+        differ = np.ascontiguousarray(folded(u, small) ^ folded(v, small)).view(np.uint64)
+        out[at] = np.bitwise_count(differ).sum(1, dtype=np.int64)
     return out
 
 
@@ -297,9 +330,8 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sig_a", "sig_b")]
             n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-            apart = np.bitwise_count(sig[0] ^ sig[1]).sum(1, dtype=np.int64)
+            apart = bits_apart(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())
             keep = (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
             yield batch.select(["a", "b", "first_a", "first_b"]).filter(pa.array(keep))
 
@@ -307,8 +339,11 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The pairs whose sorted arrays have enough in common. docs: _id and text."""
-    pairs = stage(pairs, "pairs")
+    """The pairs whose sorted arrays have enough in common. docs: _id and text; pairs: a written table.
+
+    Arrays are made for the documents that the bitmap of wanted first documents lets through. The table may repeat a link
+    where rows repeat.
+    """
     wanted = pairs.select(F.explode(F.array("first_a", "first_b")).alias("d"))
     bits = bitmap(wanted, "d", 1 << 22)
     n_bits = len(bits) * 64
@@ -322,9 +357,7 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataF
                 lists = [values[rows[i] : rows[i + 1]].tobytes() for i in range(len(block))]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, rows)), pa.array(lists, pa.binary())], ["sid", "items"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    found = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, items binary")
-    items = stage(found.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "items")
+    items = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, items binary")
     both = pairs.select("a", "b").join(items.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(
         items.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -342,6 +375,21 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataF
     return stage(both.mapInArrow(test, "a long, b long"), "linked")
 
 
+def joined_up(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """Links among the pairs that have the same components as all links among them.
+
+    Each set is first tested against its smallest partner. Then only pairs that are still in different components are.
+    """
+    pairs = stage(pairs, "pairs")
+    first = stage(pairs.groupBy("b").agg(F.min(F.struct("a", "first_a", "first_b")).alias("p")).select("p.a", "b", "p.first_a", "p.first_b"), "pairs")
+    links = linked(first, docs, text_col, size)
+    labels = components(links)
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    open_ = stage(rest.filter("c_a is null or c_b is null or c_a <> c_b").select("a", "b", "first_a", "first_b"), "pairs")
+    return links.union(linked(open_, docs, text_col, size))
+
+
 def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of sets that share a frequent element, lie in different components, and pass the bitmap bound."""
     known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
@@ -363,7 +411,14 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         outside = table.column("outside").to_numpy()
         sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
         n = n.astype(np.int64)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(sid), -1)
+        raw = table.column("sig").to_pylist()
+        width = np.array([len(r) for r in raw])
+        place = np.zeros(len(raw), np.int64)
+        maps = {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            place[own] = np.arange(len(own))
+            maps[w] = np.frombuffer(b"".join([raw[k] for k in own]), np.uint8).reshape(len(own), w)
         rows = np.flatnonzero(~outside)
         rows = rows[np.argsort(n[rows], kind="stable")]
         sizes_ = n[rows]
@@ -372,7 +427,13 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
             a, b = np.searchsorted(sizes_, [(3 * n[i] + 3) // 4, 4 * n[i] // 3 + 1])
             near = rows[a:b]
             near = near[label[near] != label[i]]
-            apart = np.bitwise_count(sig[near] ^ sig[i]).sum(1, dtype=np.int64)
+            apart = np.zeros(len(near), np.int64)
+            for w in np.unique(width[near]).tolist():
+                some = np.flatnonzero(width[near] == w)
+                small = min(w, int(width[i]))
+                one = folded(maps[int(width[i])][place[i]][None], small)
+                differ = np.ascontiguousarray(folded(maps[w][place[near[some]]], small) ^ one).view(np.uint64)
+                apart[some] = np.bitwise_count(differ).sum(1, dtype=np.int64)
             near = near[7 * apart <= n[near] + n[i]]
             low.append(np.minimum(sid[near], sid[i]))
             high.append(np.maximum(sid[near], sid[i]))
@@ -397,11 +458,11 @@ def groups(
     members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n", "rare")
     pivots = members.groupBy("key").agg(F.min(F.struct("rare", "n", "sid")).alias("p")).select("key", F.col("p.sid").alias("p"))
     stars = members.join(pivots, "key").filter("sid <> p").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b"))
-    links = linked(bounded(met.filter("kind = 0").select("a", "b").union(stars), sets), texts, text_col, size)
+    links = joined_up(bounded(met.filter("kind = 0").select("a", "b").union(stars), sets), texts, text_col, size)
     labels = components(links)
     more = stage(across(members, sets, labels), "across")
     if not more.isEmpty():
-        links = links.union(linked(bounded(more, sets), texts, text_col, size))
+        links = links.union(joined_up(bounded(more, sets), texts, text_col, size))
         labels = components(links)
     of_set = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "first", F.coalesce("component", "sid").alias("c"))
     least = of_set.groupBy("c").agg(F.min("first").alias("component_id"))
