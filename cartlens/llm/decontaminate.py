@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.arrays import Block, Words, blocks, gram_hashes, mix, prefix_hash, ranges, span_hash
+from cartlens.llm.lookup import HashTable
 from cartlens.session import stage
 
 K1, B = 1.2, 0.75
@@ -91,8 +92,7 @@ def triples(h: np.ndarray) -> np.ndarray:
 class Index:
     """One shard. Terms are numbered by ascending largest impact."""
 
-    slots: np.ndarray  # open-addressing table of term hashes, 0 where free
-    slot_number: np.ndarray  # term number in each slot
+    numbers: HashTable  # from a term's hash to its number
     largest: np.ndarray  # by term number
     list_start: np.ndarray  # by term number, into the block lists
     list_block: np.ndarray
@@ -139,37 +139,6 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_table(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table of at least eight slots a term; a term stands in the first free slot from that of its low bits on."""
-    size = 1 << max(4, (8 * len(hashes)).bit_length())
-    slots, numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
-    left = np.arange(len(hashes))
-    at = (hashes & np.uint64(size - 1)).astype(np.int64)
-    while len(left):
-        free = slots[at[left]] == 0
-        _, first = np.unique(at[left[free]], return_index=True)
-        placed = left[free][first]
-        slots[at[placed]], numbers[at[placed]] = hashes[placed], number[placed]
-        left = left[~np.isin(left, placed)]
-        at[left] = np.where(slots[at[left]] != 0, (at[left] + 1) & (size - 1), at[left])
-    return slots, numbers
-
-
-def term_numbers(index: Index, h: np.ndarray) -> np.ndarray:
-    """Number of each term, -1 for those no item has."""
-    mask = len(index.slots) - 1
-    at = (h & np.uint64(mask)).astype(np.int64)
-    there = index.slots[at]
-    out = np.where(there == h, index.slot_number[at], -1)
-    left = np.flatnonzero((there != h) & (there != 0))
-    while len(left):
-        at[left] = (at[left] + 1) & mask
-        there = index.slots[at[left]]
-        out[left] = np.where(there == h[left], index.slot_number[at[left]], -1)
-        left = left[(there != h[left]) & (there != 0)]
-    return out
-
-
 def build_index(rows: pa.Table, df: tuple[np.ndarray, np.ndarray], n_items: int, mean_len: float) -> Index:
     """rows: item rows of one shard; df: (terms, counts) with terms ascending as unsigned."""
     join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
@@ -192,7 +161,7 @@ def build_index(rows: pa.Table, df: tuple[np.ndarray, np.ndarray], n_items: int,
     by = np.argsort(key, kind="stable")
     lists, first = np.unique(key[by], return_index=True)
     return Index(
-        *term_table(hashes, number),
+        HashTable(hashes, number),
         largest[order],
         np.searchsorted(lists, np.arange(len(hashes) + 1) * n_blocks),
         lists % n_blocks,
@@ -222,7 +191,7 @@ def retrieve(index: Index, h: np.ndarray, start: np.ndarray, end: np.ndarray, th
     n_terms = len(index.largest)
     if len(h) == 0 or n_terms == 0 or len(start) == 0:
         return none
-    number = term_numbers(index, h)
+    number = index.numbers.get(h)
     passage = np.repeat(np.arange(len(start)), end - start)
     of = number[ranges(start, end - start)]
     known = of >= 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, urls, windows
+from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, toxicity, urls, windows
 from cartlens.llm.frames import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every benchmark item that it contains."""
     return decontaminate.find(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labels of the rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(4, 2))
+    model = toxicity.train(docs, docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, restored_col=None)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
