@@ -1,8 +1,8 @@
 """Toxicity of texts behind noisy-channel deobfuscation.
 
 Channel. A word that mixes letters with digits or signs, repeats a letter three times, or is spaced out letter by letter
-becomes a lattice: a letter stands for itself, a sign for the letters it imitates or for nothing, a repeated letter for
-itself or nothing. Viterbi decoding finds the path with the best sum of channel costs and a character trigram model,
+becomes a lattice: a letter stands for itself, a sign for the letters it imitates or for nothing, a letter of a run
+of three for itself or nothing. Viterbi decoding finds the path with the best sum of channel costs and a character trigram model,
 which is counted over the words of every document. Other words have a single path and are left alone.
 
 Score. Features of the restored text are letter runs and their beginnings of 4 to 7 bytes, each with the number of
@@ -47,8 +47,7 @@ IMITATED = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
     "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y",
 }
-IMITATION_COST, DROP_SIGN_COST, DROP_REPEAT_COST = 0.7, 1.5, 1.2
-DROP_SEPARATOR_COST = 0.2
+IMITATION_COST, DROP_SIGN_COST, DROP_REPEAT_COST, DROP_SEPARATOR_COST = 0.7, 9.0, 3.0, 0.2
 _SEPARATORS = frozenset(" .-_*~'`,:;/\\")
 
 # Character codes of the language model: 0 the word's edge, 1 to 26 the letters, 27 anything else.
@@ -114,8 +113,8 @@ class Channel:
         c = word[i]
         if c.isalpha():
             out = [(c, 0.0)]
-            if i and word[i - 1] == c:
-                out.append(("", DROP_REPEAT_COST if i < 2 or word[i - 2] != c else DROP_REPEAT_COST / 2))
+            if i and word[i - 1] == c and (word[i - 2 : i - 1] == c or word[i + 1 : i + 2] == c):
+                out.append(("", DROP_REPEAT_COST))
             return out
         if c in _SEPARATORS:
             return [("", DROP_SEPARATOR_COST)]
