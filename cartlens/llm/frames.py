@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,15 @@ def schema_with(docs: DataFrame, added: list[tuple[str, T.DataType]]) -> T.Struc
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
     """Whether crc32 of the id as text has the remainder; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def set_aside(docs: DataFrame, *reserved: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with clashing columns under other names, and a function that gives them their names back."""
+    other = {}
+    for name in reserved:
+        if name in docs.columns:
+            away = f"{name}_"
+            while away in docs.columns or away in other.values() or away in reserved:
+                away += "_"
+            other[name] = away
+    return docs.withColumnsRenamed(other), lambda df: df.withColumnsRenamed({away: name for name, away in other.items()})

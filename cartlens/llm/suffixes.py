@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, mix, powers, prefix_hash, ranges, span_hash, with_columns
-from cartlens.llm.frames import schema_with
+from cartlens.llm.frames import schema_with, set_aside
 from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, keyed, packed, rank_pairs, row_runs, with_runs
 from cartlens.llm.windows import _NO_RUNS, sliding_min, window_starts
 
@@ -362,6 +362,7 @@ def without_repeats(
 ) -> DataFrame:
     """Add n_bytes, n_removed, n_spans (maximal removed runs) and the remaining bytes."""
     n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs, restore = set_aside(docs, "_id", "_th", "_runs")
     marked = keyed(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,4 +400,4 @@ def without_repeats(
                 )
 
     added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), (kept_col, T.BinaryType())]
-    return joined.mapInArrow(keep, schema_with(joined, added)).drop("_id", "_th", "_runs")
+    return restore(joined.mapInArrow(keep, schema_with(joined, added)).drop("_id", "_th", "_runs"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.arrays import mix, with_columns
-from cartlens.llm.frames import schema_with
+from cartlens.llm.frames import schema_with, set_aside
 from cartlens.session import stage
 
 #: Bits per key of level 0 and of the later levels.
@@ -160,6 +160,7 @@ def judge(
     bare hosts whose URLs, subdomains included, are blocked where no rule fits.
     """
     spark = pages.sparkSession
+    pages, restore = set_aside(pages, "_keys", "_hashes")
     if any("/" not in r or not r.endswith("/") for r in rules):
         raise ValueError("a rule is a host and a path that ends in a slash")
     depth = max([1, *(r.count("/") for r in rules)])
@@ -193,4 +194,4 @@ def judge(
 
     hashed = keyed.withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
     out = schema_with(hashed, [("rule", T.StringType()), ("verdict", T.StringType())])
-    return hashed.mapInArrow(run, out).drop("_keys", "_hashes")
+    return restore(hashed.mapInArrow(run, out).drop("_keys", "_hashes"))

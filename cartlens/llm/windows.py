@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, ranges, with_columns, word_hashes, words
-from cartlens.llm.frames import schema_with
+from cartlens.llm.frames import schema_with, set_aside
 from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, keyed, packed, rank_pairs, row_runs, with_runs
 
 GROUP = 4
@@ -169,6 +169,7 @@ def without_repeats(
 ) -> DataFrame:
     """Add n_words, n_removed and the kept words joined by one space."""
     n_buckets = n_buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs, restore = set_aside(docs, "_id", "_th", "_runs")
     marked = keyed(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,4 +215,4 @@ def without_repeats(
                 )
 
     out = schema_with(joined, [("n_words", T.LongType()), ("n_removed", T.LongType()), (kept_col, T.StringType())])
-    return joined.mapInArrow(keep, out).drop("_id", "_th", "_runs")
+    return restore(joined.mapInArrow(keep, out).drop("_id", "_th", "_runs"))
