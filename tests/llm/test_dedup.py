@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from samples import docs, empty, rows  # noqa: F401  fixtures
 
 from cartlens.llm import components, jaccard, suffixes, windows
 from cartlens.llm.packs import Strings

@@ -11,8 +11,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from cartlens.llm import bpe, queries
-from tests.llm.conftest import DOC
-from tests.llm.test_dedup import brute_groups, brute_windows
+from samples import DOC, save  # noqa: F401  fixture
+from test_dedup import brute_groups, brute_windows
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -81,7 +81,7 @@ def test_pipeline_stages(spark, save):
     text = dict(duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall())
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{FOLDER}/documents.parquet'").fetchall())
     rows = [(i, text[i], lang[i], "s", len(text[i])) for i in sorted(text)[:120]]
-    item = duckdb.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchone()[0]
+    item = duckdb.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
     long = max((r for r in rows if r[2] == "en"), key=lambda r: len(r[1]))
     rows += [(9000, long[1], "en", "copy", 1), (9001, None, None, None, None), (9002, "", "en", None, 0), (9003, "12 34 !!", "en", None, 8),
              (9004, long[1][:300] + " " + item + " " + long[1][300:600], "en", None, 1), (9005, long[1][600:1200] + " mail q.1@w.com or r [at] t dot org", "en", None, 1),

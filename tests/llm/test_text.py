@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartlens.llm import bpe, decontaminate, fingerprint, language, pii, queries, toxicity, urls
 from cartlens.llm.arrays import block_of
-from tests.llm.conftest import make_words
+from samples import docs, empty, make_words, rows  # noqa: F401  fixtures
 
 RANKS, PATTERN = queries.rank_file(), queries.split_pattern()
 
