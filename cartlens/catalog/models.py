@@ -118,7 +118,7 @@ def _(s):
 def _als_served(s):
     t = Trained(s)
     people = s.routed.filter(F.col("model_type").isin("als", "rerank")).select("user_id")
-    candidates = stage(top_unseen(t.model, t.matrix, people, serving.candidate_depth(20)), "candidates")
+    candidates = stage(top_unseen(t.model, t.matrix, people, serving.batch_depth(s.routed)), "candidates")
     history = s.train.join(s.categories, "item_id", "left").select("user_id", "item_id", "category_id")
     lists = serving.personal_lists(
         s.routed,

@@ -33,6 +33,7 @@ class AlsConfig:
     regularization: float = 0.05
     alpha: float = 2.0
     seed: int = 42
+    blocks: int = 10  # of users and of items; decides the initial factors, so it is not taken from the cluster
 
 
 @dataclass(frozen=True)

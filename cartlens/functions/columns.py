@@ -11,6 +11,15 @@ from pyspark.sql import types as T
 from cartlens.config import EventWeights
 
 
+def distinct_total(df: DataFrame, column: str) -> Column:
+    """How many different values a column has, as a scalar; nulls do not count.
+
+    Each such count is its own grouped aggregate. Two of them in one aggregate would copy every row per count.
+    """
+    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    return F.lit(values.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input") -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

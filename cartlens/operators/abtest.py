@@ -129,7 +129,7 @@ def usage_stats(served: DataFrame) -> DataFrame:
         return F.count(F.when(model.isin(*names), F.lit(1)))
 
     return served.filter(F.col("status") == 200).agg(
-        n("als", "rerank", "baseline", "fallback").alias("total_requests"),
+        F.count(F.lit(1)).alias("total_requests"),
         n("als").alias("personal_recommendations"),
         n("fallback").alias("popular_fallback"),
         n("rerank").alias("rerank_applied"),

@@ -11,24 +11,27 @@ from cartlens.functions.ranking import top_per_group
 from cartlens.operators.matrix import UserItemMatrix
 from cartlens.session import stage
 
-# Users are grouped by how many items they have seen; each group asks the model for n plus its largest history.
-SEEN_GROUPS = (32, 128, 1024, 4096)
-SAMPLED_SHARE = 64  # one item in so many sets the score a long-history user's list cannot fall below
+MIN_RATING = 1e-3  # least rating a positive observation trains with
+_LARGEST_INDEX = 2**31 - 1
 
 
-def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig(), blocks: int | None = None) -> ALSModel:
+def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig()) -> ALSModel:
     """Fit on (user_idx, item_idx, rating).
 
-    Spark weighs an observation 1 + alpha * r. The intended weight is alpha * r, so ratings shrink by 1 / alpha,
-    which agrees wherever alpha * r >= 1. Spark also scales the regularisation by a row's rating count, so metrics,
-    not factors, are comparable with other solvers. Factor blocks follow the cluster's cores unless given.
+    Spark weighs an observation 1 + alpha * r and takes a rating of 0 for no observation. The intended weight is
+    alpha * r, so ratings shrink by 1 / alpha, which agrees wherever alpha * r >= 1; weaker ones keep MIN_RATING and with
+    it a weight just above 1, so that none leaves training. Spark also scales the regularisation by a row's rating count,
+    so metrics, not factors, are comparable with other solvers. Factor blocks, which decide the initial factors, come
+    from the settings. Indexes beyond 32 bits, which Spark ML cannot hold, are refused before training.
     """
-    if blocks is None:
-        blocks = min(max(coordinates.sparkSession.sparkContext.defaultParallelism, 10), 1000)
+    largest = coordinates.agg(F.greatest(F.max("user_idx"), F.max("item_idx")).alias("most")).first()["most"]
+    if largest is not None and largest > _LARGEST_INDEX:
+        raise ValueError(f"index {largest} is beyond what the factor model can hold ({_LARGEST_INDEX})")
+    shifted = F.greatest(F.col("rating") - F.lit(1.0 / config.alpha), F.lit(MIN_RATING))
     ratings = coordinates.select(
         F.col("user_idx").cast("int").alias("user_idx"),
         F.col("item_idx").cast("int").alias("item_idx"),
-        F.greatest(F.col("rating") - F.lit(1.0 / config.alpha), F.lit(0.0)).cast("float").alias("rating"),
+        F.when(F.col("rating") > 0, shifted).otherwise(F.lit(0.0)).cast("float").alias("rating"),
     )
     als = ALS(
         rank=config.factors,
@@ -41,8 +44,8 @@ def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig(), blocks: i
         itemCol="item_idx",
         ratingCol="rating",
         coldStartStrategy="drop",
-        numUserBlocks=blocks,
-        numItemBlocks=blocks,
+        numUserBlocks=config.blocks,
+        numItemBlocks=config.blocks,
         intermediateStorageLevel="MEMORY_AND_DISK",
         finalStorageLevel="MEMORY_AND_DISK",
     )
@@ -50,67 +53,35 @@ def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig(), blocks: i
 
 
 def top_unseen_by_index(model: ALSModel, coordinates: DataFrame, users: DataFrame, n: int) -> DataFrame:
-    """(user_idx, item_idx, score, rank): n best items per user outside the user's coordinates."""
-    seen = coordinates.select("user_idx", "item_idx")
+    """(user_idx, item_idx, score, rank): n best items per user outside the user's coordinates.
+
+    Users whose histories lie between the same powers of two are scored together, for n plus the largest history among
+    them; so a list is asked for at most twice as many seen items as its user has, and all scores come from one path.
+    """
     wanted = users.select("user_idx").distinct()
-    sizes = seen.join(wanted, "user_idx", "left_semi").groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_seen"))
-    group = F.lit(len(SEEN_GROUPS))
-    for i in reversed(range(len(SEEN_GROUPS))):
-        group = F.when(F.col("n_seen") <= SEEN_GROUPS[i], F.lit(i)).otherwise(group)
+    seen = coordinates.select("user_idx", "item_idx").join(wanted, "user_idx", "left_semi")
+    sizes = seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_seen"))
+    group = F.ceil(F.log2(F.greatest(F.col("n_seen"), F.lit(32)))).cast("int")
     profile = stage(
         wanted.join(sizes, "user_idx", "left").fillna({"n_seen": 0}).withColumn("seen_group", group), "seen-sizes"
     )
     largest = {
         row["seen_group"]: row["most"] for row in profile.groupBy("seen_group").agg(F.max("n_seen").alias("most")).collect()
     }
-    parts = []
-    for i, most in sorted(largest.items()):
+    candidates = None
+    for i, most in sorted(largest.items()):  # at most one group per power of two
         members = profile.filter(F.col("seen_group") == i).select(F.col("user_idx").cast("int").alias("user_idx"))
-        if i < len(SEEN_GROUPS):
-            listed = model.recommendForUserSubset(members, n + int(most)).select(
-                "user_idx", F.explode("recommendations").alias("r")
-            )
-            scored = listed.select("user_idx", F.col("r.item_idx").alias("item_idx"), F.col("r.rating").alias("score"))
-        else:
-            scored = _score_all(model, members, seen, n)
-        parts.append(scored.withColumn("score", F.col("score").cast("double")))
-    if not parts:
+        listed = model.recommendForUserSubset(members, n + int(most)).select(
+            "user_idx", F.explode("recommendations").alias("r")
+        )
+        part = listed.select("user_idx", F.col("r.item_idx").alias("item_idx"), F.col("r.rating").cast("double").alias("score"))
+        candidates = part if candidates is None else candidates.unionByName(part)
+    if candidates is None:
         return profile.select("user_idx", F.col("user_idx").alias("item_idx"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
     fresh = candidates.join(seen, ["user_idx", "item_idx"], "left_anti")
     return top_per_group(fresh, ["user_idx"], [F.desc("score"), F.asc("item_idx")], n, "rank")
 
 
-def _score_all(model: ALSModel, members: DataFrame, seen: DataFrame, n: int) -> DataFrame:
-    """Candidates of users whose history is too long for over-fetching, from all items.
-
-    Such users are few, each owning thousands of coordinates. Pairing each with every item is what exhaustive scoring
-    means, but those pairs must not be shuffled to drop the seen ones. So the n-th best unseen score within one item
-    in SAMPLED_SHARE comes first: the final list cannot reach below it, and only pairs at or above it go on.
-    """
-    people = model.userFactors.join(members, model.userFactors["id"] == members["user_idx"]).select(
-        "user_idx", F.col("features").alias("_u")
-    )
-    things = model.itemFactors.select(F.col("id").alias("item_idx"), F.col("features").alias("_i"))
-    dot = F.aggregate(F.zip_with("_u", "_i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-
-    def score(users: DataFrame, items: DataFrame) -> DataFrame:
-        return users.join(items).withColumn("score", dot)
-
-    sampled = things.filter(F.pmod(F.xxhash64("item_idx"), F.lit(SAMPLED_SHARE)) == 0)
-    fresh = score(people, sampled).select("user_idx", "item_idx", "score").join(seen, ["user_idx", "item_idx"], "left_anti")
-    nth_best = (
-        top_per_group(fresh, ["user_idx"], [F.desc("score")], n, "_place")
-        .filter(F.col("_place") == n)
-        .select("user_idx", F.col("score").alias("_floor"))
-    )
-    bounded = people.join(nth_best, "user_idx", "left")
-    worth = F.col("_floor").isNull() | (F.col("score") >= F.col("_floor"))
-    return score(bounded, things).filter(worth).select("user_idx", "item_idx", "score")
-
-
 def top_unseen(model: ALSModel, matrix: UserItemMatrix, users: DataFrame, n: int) -> DataFrame:
     """(user_id, item_id, score, rank) for the given user ids that the model knows."""
     known = matrix.users.join(users.select("user_id").distinct(), "user_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.config import DAY_MS
-from cartlens.functions.columns import millis
+from cartlens.functions.columns import distinct_total, millis
 from cartlens.functions.ranking import nearest_rank_quantiles
 
 # Reported quantiles and the properties with a known meaning.
@@ -20,10 +20,8 @@ def _all() -> Column:
 
 
 def totals(events: DataFrame) -> DataFrame:
-    return events.agg(
-        _all().alias("n_events"),
-        F.count_distinct("user_id").alias("n_users"),
-        F.count_distinct("item_id").alias("n_items"),
+    return events.agg(_all().alias("n_events")).select(
+        "n_events", distinct_total(events, "user_id").alias("n_users"), distinct_total(events, "item_id").alias("n_items")
     ).select(
         "*",
         (F.col("n_events") / F.col("n_users")).alias("events_per_user"),
@@ -53,12 +51,15 @@ def time_span(events: DataFrame) -> DataFrame:
 
 
 def user_stats(events: DataFrame) -> DataFrame:
-    """Events, items and event types per user, over (user, item, event) counts so repeats combine first."""
-    cells = events.groupBy("user_id", "item_id", "event").agg(_all().alias("_c"))
-    return cells.groupBy("user_id").agg(
+    """Events, items and event types per user, over (user, item) counts so repeats combine first.
+
+    A pair carries the set of its event types, which has as many members as there are types.
+    """
+    pairs = events.groupBy("user_id", "item_id").agg(_all().alias("_c"), F.collect_set("event").alias("_e"))
+    return pairs.groupBy("user_id").agg(
         F.sum("_c").alias("n_events"),
-        F.count_distinct("item_id").alias("n_items"),
-        F.count_distinct("event").alias("n_event_types"),
+        F.count("item_id").alias("n_items"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.array_sort("_e"))))).cast("long").alias("n_event_types"),
     )
 
 
@@ -76,10 +77,10 @@ def item_quantiles(events: DataFrame) -> DataFrame:
 
 
 def property_totals(properties: DataFrame) -> DataFrame:
-    return properties.agg(
-        _all().alias("n_rows"),
-        F.count_distinct("item_id").alias("n_items"),
-        F.count_distinct("property").alias("n_properties"),
+    return properties.agg(_all().alias("n_rows")).select(
+        "n_rows",
+        distinct_total(properties, "item_id").alias("n_items"),
+        distinct_total(properties, "property").alias("n_properties"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.config import TARGET_EVENTS, EventWeights, InteractionConfig
-from cartlens.functions.columns import event_weight, require_columns
+from cartlens.functions.columns import distinct_total, event_weight, require_columns
 from cartlens.session import stage
 
 MAX_TREE_ROUNDS = 20
@@ -102,14 +102,21 @@ def category_stats(events: DataFrame, categories: DataFrame, approximate: bool =
     """Events, users and items per category.
 
     Events shrink to (user, item) counts before meeting the categories, so repeated views by one user or of one item
-    are combined before any shuffle by category.
+    are combined before any shuffle by category. Users and items are counted in grouped steps of their own.
     """
     pairs = events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
-    categorised = pairs.join(categories.filter(F.col("category_id").isNotNull()), "item_id")
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return categorised.groupBy("category_id").agg(
-        F.sum("_n").alias("n_events"), distinct("user_id").alias("n_users"), distinct("item_id").alias("n_items")
-    )
+    known = categories.filter(F.col("category_id").isNotNull()).select("item_id", "category_id")
+    categorised = pairs.join(known, "item_id")
+    if approximate:
+        users = categorised.groupBy("category_id").agg(
+            F.sum("_n").alias("n_events"), F.approx_count_distinct("user_id").alias("n_users")
+        )
+    else:
+        per_user = categorised.groupBy("category_id", "user_id").agg(F.sum("_n").alias("_n"))
+        users = per_user.groupBy("category_id").agg(F.sum("_n").alias("n_events"), F.count("user_id").alias("n_users"))
+    seen = events.select("item_id").distinct()
+    items = known.distinct().join(seen, "item_id", "left_semi").groupBy("category_id").agg(F.count("item_id").alias("n_items"))
+    return users.join(items, "category_id").select("category_id", "n_events", "n_users", "n_items")
 
 
 def item_popularity(events: DataFrame, weights: EventWeights = EventWeights()) -> DataFrame:
@@ -165,10 +172,10 @@ def split_stats(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row of sizes for the training report."""
 
     def sizes(side: DataFrame, name: str) -> DataFrame:
-        return side.agg(
-            F.count_distinct("user_id").alias(f"{name}_users"),
-            F.count_distinct("item_id").alias(f"{name}_items"),
-            F.count(F.lit(1)).alias(f"{name}_interactions"),
+        return side.agg(F.count(F.lit(1)).alias(f"{name}_interactions")).select(
+            distinct_total(side, "user_id").alias(f"{name}_users"),
+            distinct_total(side, "item_id").alias(f"{name}_items"),
+            f"{name}_interactions",
         )
 
     trained = train.select("user_id").distinct()
@@ -185,8 +192,8 @@ def split_stats(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def artifact_counts(categories: DataFrame, availability: DataFrame) -> DataFrame:
     """One row: items with a category, distinct categories, items with an availability record."""
-    available = availability.agg(F.count_distinct("item_id").alias("n"))
-    return categories.agg(
-        F.count_distinct("item_id").alias("items_with_category"),
-        F.count_distinct("category_id").alias("n_categories"),
-    ).select("*", F.lit(available.scalar()).alias("items_with_availability"))
+    return categories.sparkSession.range(1).select(
+        distinct_total(categories, "item_id").alias("items_with_category"),
+        distinct_total(categories, "category_id").alias("n_categories"),
+        distinct_total(availability, "item_id").alias("items_with_availability"),
+    )

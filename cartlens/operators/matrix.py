@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.functions.columns import distinct_total
 from cartlens.functions.ranking import dense_index
 
 
@@ -32,10 +33,8 @@ def build_user_item_matrix(interactions: DataFrame) -> UserItemMatrix:
 
 def sparsity(events: DataFrame) -> DataFrame:
     """One row: users, items, events and the empty share of the user-item grid in percent."""
-    return events.agg(
-        F.count_distinct("user_id").alias("n_users"),
-        F.count_distinct("item_id").alias("n_items"),
-        F.count(F.lit(1)).alias("n_events"),
+    return events.agg(F.count(F.lit(1)).alias("n_events")).select(
+        distinct_total(events, "user_id").alias("n_users"), distinct_total(events, "item_id").alias("n_items"), "n_events"
     ).withColumn(
         "sparsity_pct",
         F.when(

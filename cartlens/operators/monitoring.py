@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from cartlens.functions.columns import ratio
 
-# Model labels, histogram bounds and alert rules.
-MODEL_LABELS = ("als", "rerank", "baseline", "fallback", "unknown")
+# Histogram bounds and alert rules.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 COUNT_BOUNDS = (1.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 ITEM_BOUNDS = (100.0, 500.0, 1000.0, 5000.0, 10000.0, 50000.0, 100000.0, 500000.0)
@@ -90,10 +89,14 @@ def requests_by_model(log: DataFrame) -> DataFrame:
 
 
 def errors_by_status(log: DataFrame, width_s: int = RATE_WINDOW_S) -> DataFrame:
-    """Failed requests per second by window, status and endpoint."""
-    failed = log.filter(F.col("status") >= 400)
-    counts = failed.groupBy(F.window("ts", f"{width_s} seconds").alias("w"), "status", "endpoint").agg(
-        F.count(F.lit(1)).alias("errors")
+    """Failed requests per second by window, status and endpoint.
+
+    Every row stays in the aggregate, so on a stream good requests move the watermark too and close the windows.
+    """
+    counts = (
+        log.groupBy(F.window("ts", f"{width_s} seconds").alias("w"), "status", "endpoint")
+        .agg(_n(F.col("status") >= 400).alias("errors"))
+        .filter(F.col("errors") > 0)
     )
     return counts.select(_start(), "status", "endpoint", "errors", (F.col("errors") / width_s).alias("error_rate"))
 
@@ -101,15 +104,17 @@ def errors_by_status(log: DataFrame, width_s: int = RATE_WINDOW_S) -> DataFrame:
 def cold_user_rate(log: DataFrame, width_s: int = COLD_WINDOW_S) -> DataFrame:
     """Cold answers by model in percent of all requests of the window; models without cold answers give no row.
 
-    One aggregate per window holds all models, so a stream needs no second aggregation for the total.
+    Any label counts, a missing one as `unknown`. The second aggregate holds one entry per label and window.
     """
-    cold = F.col("cold")
-    counts = _windowed(log, width_s).agg(
-        F.count(F.lit(1)).alias("requests"), *[_n(cold & (F.col("model_type") == m)).alias(m) for m in MODEL_LABELS]
+    label = F.coalesce("model_type", F.lit("unknown"))
+    by_model = log.groupBy(F.window("ts", f"{width_s} seconds").alias("w"), label.alias("model_type")).agg(
+        F.count(F.lit(1)).alias("n"), _n(F.col("cold")).alias("cold_users")
+    )
+    counts = by_model.groupBy(F.window("w", f"{width_s} seconds").alias("w")).agg(
+        F.sum("n").alias("requests"), F.collect_list(F.struct("model_type", "cold_users")).alias("arms")
     )
-    arms = F.array(*[F.struct(F.lit(m).alias("model_type"), F.col(m).alias("cold_users")) for m in MODEL_LABELS])
     return (
-        counts.select(_start(), "requests", F.inline(arms))
+        counts.select(_start(), "requests", F.inline("arms"))
         .filter(F.col("cold_users") > 0)
         .withColumn("cold_pct", F.col("cold_users") / F.col("requests") * 100.0)
     )
@@ -136,9 +141,7 @@ def histogram_quantile(q: float, bounds: tuple[float, ...], prefix: str = "le_")
 
 def latency_quantiles(log: DataFrame, width_s: int = RATE_WINDOW_S) -> DataFrame:
     """p50, p95 and p99 seconds per window from bucket counts: a fixed-size, mergeable state per window."""
-    counts = _windowed(log.filter(F.col("latency_s").isNotNull()), width_s).agg(
-        *_bucket_counts(F.col("latency_s"), LATENCY_BOUNDS)
-    )
+    counts = _windowed(log, width_s).agg(*_bucket_counts(F.col("latency_s"), LATENCY_BOUNDS)).filter(F.col("le_all") > 0)
     quantiles = [histogram_quantile(q, LATENCY_BOUNDS).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
     return counts.select(_start(), F.col("le_all").alias("requests"), *quantiles)
 
@@ -188,7 +191,7 @@ def recommendation_count_histogram(log: DataFrame) -> DataFrame:
 
 
 def recommendation_count_quantiles(log: DataFrame, width_s: int = RATE_WINDOW_S) -> DataFrame:
-    counts = _windowed(log.filter(F.col("n_recs").isNotNull()), width_s).agg(*_bucket_counts(F.col("n_recs"), COUNT_BOUNDS))
+    counts = _windowed(log, width_s).agg(*_bucket_counts(F.col("n_recs"), COUNT_BOUNDS)).filter(F.col("le_all") > 0)
     return counts.select(
         _start(), F.col("le_all").alias("answers"), *[histogram_quantile(q, COUNT_BOUNDS).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))]
     )

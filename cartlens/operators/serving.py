@@ -70,6 +70,12 @@ def candidate_depth(top_k: int) -> int:
     return 5 * top_k
 
 
+def batch_depth(routed: DataFrame) -> int:
+    """Candidates that the longest personal list of a batch can need."""
+    personal = routed.filter(F.col("model_type").isin("als", "rerank"))
+    return candidate_depth(personal.agg(F.coalesce(F.max("top_k"), F.lit(1)).alias("k")).first()["k"])
+
+
 def personal_lists(
     routed: DataFrame,
     candidates: DataFrame,
@@ -131,15 +137,19 @@ def personal_lists(
 def answer_requests(routed: DataFrame, lists: DataFrame, popular: DataFrame) -> DataFrame:
     """One row per request: recommendations, cold, model_type, ab_test_group, status.
 
-    Popular answers need no join. Personal answers meet their requests as one array per distinct list.
+    Popular and rejected answers need no join. Personal answers meet their requests as one array per distinct list.
     """
     nested = lists.groupBy(*_LIST).agg(
         F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))).alias("_ranked")
     ).select(*_LIST, F.transform("_ranked", lambda e: F.struct(e["item_id"].alias("item_id"), e["score"].alias("score"))).alias("_personal"))
     is_popular = F.col("model_type").isin("baseline", "fallback")
-    keyed = routed.withColumn("reranked", F.col("model_type") == "rerank")
+    is_personal = F.coalesce(F.col("model_type").isin("als", "rerank"), F.lit(False))
+    personal = routed.filter(is_personal).withColumn("reranked", F.col("model_type") == "rerank")
+    others = routed.filter(~is_personal).withColumn("_personal", F.lit(None).cast(nested.schema["_personal"].dataType))
     return (
-        keyed.join(nested, list(_LIST), "left")
+        personal.join(nested, list(_LIST), "left")
+        .drop("reranked")
+        .unionByName(others)
         .withColumn("_popular", popular_array(popular))  # after the join, so that no array is shuffled
         .withColumn("recommendations", F.when(is_popular, popular_answer()).otherwise(F.col("_personal")))
         .withColumn("cold", F.when(F.col("model_type").isNotNull(), is_popular))

@@ -158,7 +158,7 @@ def validate_model(
     actions = source.filter(F.col("event").isin("addtocart", "transaction"))
     k = config.evaluation.k
     n = max(config.evaluation.recall_k, 4 * k)
-    recs, counts = recommend.generate_recommendations(model, matrix, held_out, top, n, metadata, before)
+    recs, counts = recommend.generate_recommendations(model, matrix, held_out, top, n, metadata, features.events_of_pairs(before, train))
     recs = rerank.category_rerank(
         recs,
         features.user_history(train, metadata),

@@ -30,7 +30,8 @@ ARTIFACT_COLUMNS = {
 CACHE_SIZE = 5
 METRICS_SCHEMA = "metric string, value double"
 
-_cache: OrderedDict[str, DataFrame] = OrderedDict()
+_Files = tuple[int, str]
+_cache: OrderedDict[tuple[str, str], tuple[_Files, DataFrame]] = OrderedDict()
 
 
 def _table(folder: str, name: str) -> str:
@@ -38,20 +39,40 @@ def _table(folder: str, name: str) -> str:
 
 
 def load_artifact_cached(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table kept in the executors' cache; the least recently used of six leaves."""
-    if path in _cache:
-        _cache.move_to_end(path)
-        return _cache[path]
-    _cache[path] = spark.read.parquet(path).cache()
-    if len(_cache) > CACHE_SIZE:
-        _, oldest = _cache.popitem(last=False)
-        oldest.unpersist()
-    return _cache[path]
-
-
-def clear_artifact_cache() -> None:
+    """A parquet table kept in the executors' cache; the least recently used of six leaves.
+
+    An entry belongs to one application and to the files it was read from: a rewritten table is read anew.
+    """
+    fresh = spark.read.parquet(path)
+    files = _files(fresh)
+    key = (spark.sparkContext.applicationId, path)
+    if key in _cache and _cache[key][0] != files:
+        _cache.pop(key)[1].unpersist()
+    if key not in _cache:
+        _cache[key] = (files, fresh.cache())
+    _cache.move_to_end(key)
+    while len(_cache) > CACHE_SIZE:
+        (application, _), (_, oldest) = _cache.popitem(last=False)
+        if application == key[0]:  # another application's cache ended with it
+            oldest.unpersist()
+    return _cache[key][1]
+
+
+def _files(table: DataFrame) -> _Files:
+    """Number of a table's files, and a digest of their names, sizes and times of change."""
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    names = table.select(F.to_json(file).alias("f")).distinct()
+    row = names.agg(F.count("f").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("f")), " ")).alias("d")).first()
+    return row["n"], row["d"]
+
+
+def clear_artifact_cache(spark: SparkSession | None = None) -> None:
+    """Empty the cache; frames of an application that has ended are only forgotten."""
+    current = spark or SparkSession.getActiveSession()
     while _cache:
-        _cache.popitem()[1].unpersist()
+        (application, _), (_, table) = _cache.popitem()
+        if current is not None and application == current.sparkContext.applicationId:
+            table.unpersist()
 
 
 def load_artifact(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -208,7 +208,7 @@ class ShopViews:
         """Personal lists from deterministic candidates: unseen popular items, scored by popularity."""
         people = self.routed.filter(F.col("model_type").isin("als", "rerank"))
         scores = F.broadcast(self.popular.select("item_id", "score"))  # k rows
-        candidates = popular.popular_unseen(people, self.popular, self.train, serving.candidate_depth(20)).join(
+        candidates = popular.popular_unseen(people, self.popular, self.train, serving.batch_depth(self.routed)).join(
             scores, "item_id"
         )
         history = self.train.join(self.categories, "item_id", "left").select("user_id", "item_id", "category_id")

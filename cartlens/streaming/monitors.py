@@ -77,31 +77,39 @@ def minute_counts(log: DataFrame) -> DataFrame:
     return monitoring.minute_windows(watermarked(log))
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
+def checkpoint_of(path: str) -> str:
+    """Where a query that writes to ``path`` keeps its progress: next to its output, the same for every start.
+
+    The output remembers which batches it has, so it must never be written with the progress of another run.
+    """
+    return f"{path.rstrip('/')}.checkpoint"
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/cartlens/stream-{name}-{uuid.uuid4().hex}"
 
 
 def write_closed_windows(
     result: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = False, every: str = "1 minute"
 ) -> StreamingQuery:
-    """Append each window to parquet once the watermark has closed it."""
+    """Append each window to parquet once the watermark has closed it; a restart goes on where the last run ended."""
     writer = (
         result.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
-        .option("checkpointLocation", checkpoint or _checkpoint(result.sparkSession, "windows"))
+        .option("checkpointLocation", checkpoint or checkpoint_of(path))
     )
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def write_dashboard(
-    result: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str | None = None, every: str = "10 seconds"
+    result: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds"
 ) -> StreamingQuery:
     """Hand changed windows to ``publish(batch, batch_id)`` in update mode, for sinks that replace rows by key."""
     return (
         result.writeStream.outputMode("update")
         .foreachBatch(publish)
-        .option("checkpointLocation", checkpoint or _checkpoint(result.sparkSession, "dashboard"))
+        .option("checkpointLocation", checkpoint)
         .trigger(processingTime=every)
         .start()
     )
@@ -110,7 +118,7 @@ def write_dashboard(
 def split_business_events(
     posted: DataFrame, accepted_path: str, rejected_path: str, available_now: bool = False
 ) -> tuple[StreamingQuery, StreamingQuery]:
-    """Valid business events to one folder, the rest to a reject folder."""
+    """Valid business events to one folder, the rest to a reject folder; each keeps its progress next to its output."""
     accepted, rejected = abtest.business_events(posted)
     return (
         write_closed_windows(accepted, accepted_path, available_now=available_now),
@@ -121,7 +129,7 @@ def split_business_events(
 def run_available(result: DataFrame, name: str) -> DataFrame:
     """Run a stream over all files present now and read back its closed windows."""
     spark = result.sparkSession
-    path = _checkpoint(spark, f"{name}-out")
+    path = _new_path(spark, f"{name}-out")
     query = write_closed_windows(result, path, available_now=True)
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(path)
@@ -135,7 +143,7 @@ def run_available_totals(result: DataFrame, name: str) -> DataFrame:
         result.writeStream.outputMode("complete")
         .format("memory")
         .queryName(table)
-        .option("checkpointLocation", _checkpoint(spark, name))
+        .option("checkpointLocation", _new_path(spark, name))
         .trigger(availableNow=True)
         .start()
     )
