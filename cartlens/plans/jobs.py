@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.config import PRODUCTION, EventWeights, JobConfig
-from cartlens.operators import abtest, features, metrics, popular, recommend, rerank, splits, validation
-from cartlens.operators.als import train_als
+from cartlens.operators import abtest, features, metrics, popular, recommend, rerank, serving, splits, validation
+from cartlens.operators.als import top_unseen, train_als
 from cartlens.operators.matrix import build_user_item_matrix
 from cartlens.sources import artifacts, readers
-from cartlens.session import configure, stage
+from cartlens.session import cleans_up, configure, stage
 
 
 def clean_events(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def clean_events(spark: SparkSession, data_dir: str) -> DataFrame:
     return stage(validation.clean_events(readers.load_events(spark, data_dir)), "clean-events")
 
 
+@cleans_up
 def create_artifacts(
     spark: SparkSession, data_dir: str, artifacts_dir: str, weights: EventWeights = EventWeights()
 ) -> dict[str, Any]:
@@ -63,6 +64,7 @@ def _params(config: JobConfig) -> dict[str, Any]:
     return dataclasses.asdict(config)
 
 
+@cleans_up
 def train_and_report(
     spark: SparkSession,
     data_dir: str,
@@ -106,6 +108,7 @@ def train_and_report(
     return report
 
 
+@cleans_up
 def train_production(
     spark: SparkSession, data_dir: str, artifacts_dir: str, config: JobConfig = PRODUCTION
 ) -> dict[str, Any]:
@@ -120,6 +123,7 @@ def train_production(
     return artifacts.load_json(spark, f"{artifacts_dir}/metadata.json")
 
 
+@cleans_up
 def validate_model(
     spark: SparkSession,
     data_dir: str,
@@ -181,6 +185,38 @@ def validate_model(
     return {"metrics": {r["metric"]: r["value"] for r in current.collect()}, **counts.first().asDict()}
 
 
+@cleans_up
+def serve_requests(
+    spark: SparkSession, model_dir: str, catalogue_dir: str, requests_path: str, answers_path: str, config: JobConfig = PRODUCTION
+) -> dict[str, int]:
+    """Answer a table of requests from a saved model and catalogue; returns the answers by route.
+
+    Candidates go as deep as the longest list that the batch asks for.
+    """
+    configure(spark)
+    saved = artifacts.load_model_artifacts(spark, model_dir)
+    matrix, metadata = saved.matrix, artifacts.get_item_metadata(spark, catalogue_dir)
+    routed = stage(serving.route_requests(spark.read.parquet(requests_path), matrix.users), "routed")
+    people = routed.filter(F.col("model_type").isin("als", "rerank")).select("user_id")
+    best = stage(top_unseen(saved.model, matrix, people, serving.batch_depth(routed)), "candidates")
+    pairs = matrix.coordinates.join(matrix.users.join(people.distinct(), "user_id", "left_semi"), "user_idx").join(matrix.items, "item_idx")
+    lists = serving.personal_lists(
+        routed,
+        best.withColumnRenamed("rank", "cand_rank"),
+        saved.purchases,
+        F.lit(matrix.items.agg(F.count(F.lit(1)).alias("n")).scalar()),
+        features.user_history(pairs, metadata),
+        metadata,
+        artifacts.get_category_stats(spark, catalogue_dir),
+        artifacts.get_category_tree(spark, catalogue_dir),
+    )
+    serving.answer_requests(routed, lists, saved.popular).write.mode("overwrite").parquet(answers_path)
+    answers = spark.read.parquet(answers_path)
+    counts = answers.groupBy(F.coalesce("model_type", F.lit("rejected")).alias("route")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["route"]: r["n"] for r in counts}  # one row per route
+
+
+@cleans_up
 def ab_report(spark: SparkSession, events_path: str, output_path: str | None = None) -> dict[str, Any]:
     """Metrics by arm, their comparison and the text summary, saved as JSON when a path is given."""
     events = abtest.adapt_service_log(readers.load_ab_events(spark, events_path))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +45,37 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``, else a local one for tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = os.path.join(tempfile.gettempdir(), "cartlens-stages")
     return folder
 
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def cleans_up(job: Callable) -> Callable:
+    """Let a job stage its frames in a folder of its own, and remove that folder when the job has ended, well or not.
+
+    For jobs that have written or collected all they return. A job called by another one uses the caller's folder.
+    """
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **kwargs):
+        if _run.get():
+            return job(spark, *args, **kwargs)
+        folder = f"{shared_folder(spark).rstrip('/')}/cartlens/run-{uuid.uuid4().hex}"
+        token = _run.set(folder)
+        try:
+            return job(spark, *args, **kwargs)
+        finally:
+            _run.reset(token)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # any file system Spark can write
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return run
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -55,6 +83,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     and unlike a row checkpoint keep column pruning and filter pushdown for the readers.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cartlens/{label}-{uuid.uuid4().hex}"
+    folder = _run.get() or f"{shared_folder(spark).rstrip('/')}/cartlens"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,15 @@
+import json
+import os
 import random
 
 import numpy as np
 import pytest
 
+from cartlens import __main__ as command
 from cartlens.config import AlsConfig, EvalConfig, InteractionConfig, JobConfig
 from cartlens.operators import als, matrix, popular
 from cartlens.plans import jobs
+from cartlens.session import shared_folder
 from cartlens.sources import artifacts, readers
 
 START = 1_400_000_000_000
@@ -177,3 +181,51 @@ def test_popular_list_of_unknown_users(spark, frame):
         5,
     )
     assert sorted(tuple(r) for r in lists.collect()) == [(1, 2, 1), (2, 1, 1), (2, 2, 2)]
+
+
+def test_served_requests_from_saved_artifacts(spark, shop, catalogue, tmp_path):
+    jobs.train_production(spark, shop, f"{tmp_path}/model", CONFIG)
+    rows = [(1, 1, 5, True, False, "als"), (2, 1, 500, False, False, "als"), (3, 10**6, 7, None, False, "als"), (4, 2, 3, None, True, None), (5, 2, 0, None, False, None), (6, -1, 5, None, False, None), (7, 3, 500, True, False, None)]
+    schema = "request_id bigint, user_id bigint, top_k int, use_rerank boolean, use_baseline boolean, ab_test_group string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/requests")
+    before = set(_staged(spark))
+    counts = jobs.serve_requests(spark, f"{tmp_path}/model", catalogue, f"{tmp_path}/requests", f"{tmp_path}/answers", CONFIG)
+    assert set(_staged(spark)) == before  # nothing is left behind
+    assert counts == {"rerank": 2, "als": 1, "fallback": 1, "baseline": 1, "rejected": 2}
+    saved = artifacts.load_model_artifacts(spark, f"{tmp_path}/model")
+    bought = {(r["user_id"], r["item_id"]) for r in saved.purchases.collect()}
+    n_items, seen = saved.matrix.items.count(), {}
+    for r in saved.matrix.coordinates.join(saved.matrix.users, "user_idx").join(saved.matrix.items, "item_idx").collect():
+        seen.setdefault(r["user_id"], set()).add(r["item_id"])
+    answers = {r["request_id"]: r for r in spark.read.parquet(f"{tmp_path}/answers").collect()}
+    for r in answers.values():
+        items = [x["item_id"] for x in r["recommendations"] or []]
+        assert len(items) == len(set(items)) <= max(r["top_k"], 0)
+        if r["model_type"] in ("als", "rerank"):
+            assert not {(r["user_id"], i) for i in items} & bought and not set(items) & seen[r["user_id"]]
+            assert len(items) == min(r["top_k"], n_items - len(seen[r["user_id"]]))
+    assert [answers[i]["status"] for i in range(1, 8)] == [200, 200, 200, 200, 400, 404, 200]
+    assert [answers[i]["cold"] for i in range(1, 8)] == [False, False, True, True, None, None, False]
+
+
+def _staged(spark):
+    folder = f"{shared_folder(spark)}/cartlens"
+    return os.listdir(folder) if os.path.isdir(folder) else []
+
+
+def test_settings_from_file_and_command(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"als": {"factors": 12, "alpha": 3}, "interactions": {"weights": {"view": 2.0}}}))
+    made = command.settings(spark, JobConfig(), str(tmp_path / "c.json"), ["als.factors=9", "rerank.adaptive=false", "test_size=0.5"])
+    assert (made.als.factors, made.als.alpha, made.interactions.weights.view, made.rerank.adaptive, made.test_size) == (9, 3.0, 2.0, False, 0.5)
+    assert made.als.iterations == JobConfig().als.iterations
+    for wrong in ("als.factor=9", "als.factors=1.5", "rerank.adaptive=1", "test_size=true"):
+        with pytest.raises(ValueError):
+            command.settings(spark, JobConfig(), None, [wrong])
+
+
+def test_commands_run(spark, shop, tmp_path, capsys):
+    command.main(["artifacts", shop, f"{tmp_path}/catalogue"])
+    small = [x for a in ("als.factors=4", "als.iterations=2", "interactions.min_user_interactions=2", "interactions.min_item_interactions=2") for x in ("--set", a)]
+    command.main(["experiments", shop, f"{tmp_path}/catalogue", *small])
+    command.main(["validate", shop, f"{tmp_path}/catalogue", f"{tmp_path}/report", "--targets-after-cutoff", "yes", *small])
+    assert "recall@20" in capsys.readouterr().out

@@ -49,3 +49,33 @@ def test_business_events_are_split(spark, tmp_path):
     accepted = spark.read.parquet(f"{tmp_path}/ok").collect()
     assert [(r["event_type"], r["revenue"], r["ts"] is not None) for r in accepted] == [("click", 0.0, True)]
     assert spark.read.parquet(f"{tmp_path}/bad").count() == 2
+
+
+def test_business_events_survive_restarts(spark, tmp_path):
+    """Three runs with one new file each lose and repeat nothing."""
+    folder = f"{tmp_path}/posted"
+    for i in range(3):
+        rows = [(i, 1, "click", 0.0, "als"), (i, 2, "hover", 0.0, "als")]
+        spark.createDataFrame(rows, monitors.POSTED_SCHEMA).write.mode("append").parquet(folder)
+        posted = spark.readStream.schema(monitors.POSTED_SCHEMA).parquet(folder)
+        for query in monitors.split_business_events(posted, f"{tmp_path}/ok", f"{tmp_path}/bad", available_now=True):
+            query.awaitTermination()
+    assert sorted(r["user_id"] for r in spark.read.parquet(f"{tmp_path}/ok").collect()) == [0, 1, 2]
+    assert sorted(r["user_id"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == [0, 1, 2]
+
+
+def test_good_traffic_closes_error_windows(spark, tmp_path):
+    folder = f"{tmp_path}/log"
+    schema = "ts timestamp, user_id bigint, item_id bigint, event string, revenue double, model_type string, status int, endpoint string, latency_s double, cold boolean, n_recs bigint"
+    row = lambda minute, status, cold, label: (f"2026-01-01 {minute // 60:02d}:{minute % 60:02d}:00", status, cold, label)
+    rows = [row(0, 500, False, "als"), row(1, 503, True, "als_v2"), row(2, 200, True, None)] + [row(m, 200, False, "als") for m in range(3, 240, 5)]
+    log = spark.createDataFrame(rows, "ts string, status int, cold boolean, model_type string").selectExpr(
+        "cast(ts as timestamp) ts", "1L user_id", "1L item_id", "'impression' event", "0D revenue", "model_type", "status", "'/r' endpoint", "0.1D latency_s", "cold", "1L n_recs"
+    )
+    log.write.parquet(folder)
+    stream = monitors.read_log(spark, folder)
+    assert stream.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    errors = monitors.run_available(monitors.errors_by_status(stream), "errors-test")
+    assert sorted((r["status"], r["errors"]) for r in errors.collect()) == [(500, 1), (503, 1)]
+    cold = monitors.run_available(monitors.cold_user_rate(stream), "cold-test")
+    assert sorted((r["model_type"], r["cold_users"], r["requests"]) for r in cold.collect()) == [("als_v2", 1, 6), ("unknown", 1, 6)]
