@@ -130,7 +130,8 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, n_ranges: int) -> Dat
 
     ranks = ids.mapInArrow(ranked, "rank long")
     levels = [i / n_ranges for i in range(1, n_ranges)]
-    edges = np.unique(np.asarray(ranks.approxQuantile("rank", levels, 0.25 / n_ranges) if levels else [], np.float64)).astype(np.int64)
+    cuts_ = np.asarray(ranks.approxQuantile("rank", levels, 0.25 / n_ranges) if levels else [], np.float64)
+    edges = np.unique(cuts_[np.isfinite(cuts_)]).astype(np.int64)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
