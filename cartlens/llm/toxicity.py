@@ -304,7 +304,8 @@ def labelled(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
             yield batch.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["id", "text"])
 
     rows = docs.filter("id is not null").select("id", F.col(text_col).alias("text"), at.alias("at"))
-    return rows.mapInArrow(listed, "id long, text string").join(known, "id")
+    # Labels grow with the documents, so both sides are dealt by id at every size.
+    return rows.mapInArrow(listed, "id long, text string").join(known.hint("merge"), "id")
 
 
 def train(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
