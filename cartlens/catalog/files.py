@@ -82,7 +82,12 @@ def _(s):
     return _ab_totals(abtest.adapt_service_log(readers.load_ab_events(s.spark, path)))
 
 
-@query("required_input_sizes")
+@query(
+    "required_input_sizes",
+    """
+SELECT * FROM (VALUES ('category_tree.csv', true), ('events.csv', true), ('item_properties_part1.csv', true),
+  ('item_properties_part2.csv', true)) v(file, has_bytes)""",
+)
 def _(s):
     folder = new_folder(s, "raw")
     write_raw_events(s, folder)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cartlens.catalog.quality import _catalogue
 from cartlens.catalog.registry import query
 from cartlens.config import AlsConfig
-from cartlens.operators import features, metrics, recommend, rerank, serving
+from cartlens.functions.columns import distinct_total
+from cartlens.operators import features, metrics, recommend, rerank, serving, transforms
 from cartlens.operators.als import top_unseen, train_als
 from cartlens.operators.matrix import build_user_item_matrix
 from cartlens.session import stage
@@ -138,6 +139,53 @@ def _(s):
     return _als_served(s).select("request_id", "model_type", "cold", F.size("recommendations").alias("n_recs"))
 
 
+@query(
+    "als_served_routes",
+    """
+SELECT r.request_id, r.status, r.model_type, r.ab_test_group, r.model_type IN ('baseline', 'fallback') AS cold,
+       CASE WHEN r.model_type IN ('baseline', 'fallback') THEN least(r.top_k, (SELECT count(*) FROM popular)) END AS popular_recs,
+       0 AS too_many
+FROM routed r""",
+)
+def _(s):
+    """What an answer has whatever the factors are; no list is longer than asked for."""
+    size = F.coalesce(F.size("recommendations"), F.lit(0))
+    is_popular = F.col("model_type").isin("baseline", "fallback")
+    return _als_served(s).select(
+        "request_id",
+        "status",
+        "model_type",
+        "ab_test_group",
+        "cold",
+        F.when(is_popular, size).cast("long").alias("popular_recs"),
+        (size > F.greatest("top_k", F.lit(0))).cast("int").alias("too_many"),
+    )
+
+
+@query(
+    "als_decayed_training_pairs",
+    """
+SELECT count(*) AS pairs, count(*) AS positive_pairs, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items,
+       count(DISTINCT user_id) AS users_with_factors, count(DISTINCT item_id) AS items_with_factors
+FROM train""",
+)
+def _(s):
+    """No pair leaves training when its rating has decayed."""
+    built = build_user_item_matrix(transforms.apply_time_decay(s.train))
+    coordinates = stage(built.coordinates, "decayed")
+    model = train_als(coordinates, QUERY_ALS)
+    nonzero = lambda factors: factors.filter(F.exists("features", lambda x: x != 0)).agg(F.count(F.lit(1))).scalar()
+    return coordinates.agg(
+        F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("rating") > 0, F.lit(1))).alias("positive_pairs")
+    ).select(
+        "*",
+        distinct_total(coordinates, "user_idx").alias("users"),
+        distinct_total(coordinates, "item_idx").alias("items"),
+        F.lit(nonzero(model.userFactors)).alias("users_with_factors"),
+        F.lit(nonzero(model.itemFactors)).alias("items_with_factors"),
+    )
+
+
 @query(
     "als_served_bought_items",
     """
