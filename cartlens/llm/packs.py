@@ -48,6 +48,41 @@ class Strings:
         return rank_pairs(self.ids, self.hashes)
 
 
+#: Bits of a bitmap of frequent values.
+MARK_BITS = 1 << 23
+
+
+def repeats(values: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, n): the values that occur more than once, for `frequent`."""
+    key, n = np.unique(np.concatenate(values), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(key[n > 1].astype(np.uint64).view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+
+def frequent(counted: DataFrame, least: int) -> np.ndarray:
+    """Bitmap of the keys whose counts n come to at least that many, by their low bits.
+
+    It only decides where work goes, never a result, so keys that share a bit do no harm. MARK_BITS / 64 words reach the
+    driver, whatever the table's size.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy().view(np.uint64) & np.uint64(MARK_BITS - 1)
+            bit = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], ["w", "b"])
+
+    keys = counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+    table = keys.mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(MARK_BITS // 64, np.uint64)
+    out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = values & values.dtype.type(MARK_BITS - 1)
+    return (marks[at >> at.dtype.type(6)] >> (at & at.dtype.type(63)).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def rank_pairs(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Dense rank of (id, hash)."""
     if len(ids) == 0:
@@ -68,7 +103,7 @@ def pack(s: Strings, runs: Runs) -> bytes:
     sizes = np.diff(s.offsets).astype(np.int64)
     parts = [head, s.ids, s.hashes, s.place, sizes, *runs]
     raw = b"".join([np.ascontiguousarray(p, np.int64).tobytes() for p in parts] + [s.data.tobytes()])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unpack(blobs: list[bytes]) -> tuple[Strings, Runs]:

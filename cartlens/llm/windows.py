@@ -1,6 +1,9 @@
 """Removal of repeated word windows by super-k-mer partitioning.
 
-A window is `size` consecutive words of one document. Its minimiser is the least hash of its groups of GROUP words.
+A window is `size` consecutive words of one document. Its minimiser is the least of its groups of GROUP words, by hash,
+with frequent groups behind all others: those that begin FREQUENT packed strings or more, by counts over all documents. So
+the windows on the rim of a passage that very many documents share go by the words around it to many buckets, and only
+those inside it, which are alike everywhere, to the buckets of its own groups.
 Consecutive windows that share a minimiser leave their document as one packed string, for the bucket of that minimiser;
 equal windows have equal minimisers, so a bucket sees every copy. There the windows are sorted by two independent
 64-bit hashes of their words, each group of equal ones keeps its first (smallest document, then start), and the others
@@ -23,9 +26,10 @@ from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, ranges, with_columns, word_hashes, words
 from cartlens.llm.frames import schema_with, set_aside
-from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, keyed, packed, rank_pairs, row_runs, with_runs
+from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, frequent, keyed, marked, packed, rank_pairs, repeats, row_runs, with_runs
 
-GROUP = 4
+GROUP = 3
+FREQUENT = 256
 _NO_RUNS: Runs = tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[assignment]
 
 
@@ -81,11 +85,44 @@ def runs_of(marked: np.ndarray, start: np.ndarray, row: np.ndarray, also: np.nda
     return at[first], at[np.append(first[1:], len(at)) - 1]
 
 
+def minimisers(hashes: np.ndarray, size: int, marks: np.ndarray | None) -> np.ndarray:
+    """Minimiser of the window at each word; frequent groups have the top bit."""
+    groups = gram_hashes(hashes, GROUP) >> np.uint64(1)
+    if marks is not None:
+        groups = groups | (marked(groups, marks).astype(np.uint64) << np.uint64(63))
+    return sliding_min(groups, size - GROUP + 1)
+
+
+def count_minimisers(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(key, n) of minimisers that begin several strings within CHUNK_BYTES of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for block in blocks(batch.column(text_col)):
+                w = words(block)
+                at, row = window_starts(w.rows, size)
+                if len(at):
+                    least = minimisers(word_hashes(block, w), size, None)[at]
+                    new = np.ones(len(at), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                    heads.append(least[new])
+                held += len(block.data)
+                if held >= CHUNK_BYTES and heads:
+                    yield repeats(heads)
+                    heads, held = [], 0
+        if heads:
+            yield repeats(heads)
+
+    return docs.select(text_col).mapInArrow(run, "key long, n long")
+
+
 class Chunk:
     """Windows of consecutive blocks, kept until CHUNK_BYTES of text are there."""
 
-    def __init__(self, size: int, n_buckets: int) -> None:
-        self.size, self.n_buckets = size, n_buckets
+    def __init__(self, size: int, n_buckets: int, marks: np.ndarray) -> None:
+        self.size, self.n_buckets, self.marks = size, n_buckets, marks
         self.clear()
 
     def clear(self) -> None:
@@ -97,7 +134,7 @@ class Chunk:
         at, row = window_starts(w.rows, self.size)
         if len(at):
             a, b = word_hashes(block, w, 0), word_hashes(block, w, 1)
-            least = sliding_min(gram_hashes(a, GROUP), self.size - GROUP + 1)
+            least = minimisers(a, self.size, self.marks)
             put = self.fields
             put["h"].append(gram_hashes(a, self.size)[at])
             put["g"].append(gram_hashes(b, self.size, 1)[at])
@@ -170,10 +207,11 @@ def without_repeats(
     """Add n_words, n_removed and the kept words joined by one space."""
     n_buckets = n_buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs, restore = set_aside(docs, "_id", "_th", "_runs")
-    marked = keyed(docs, id_col, text_col)
+    named = keyed(docs, id_col, text_col)
+    marks = frequent(count_minimisers(docs, size, text_col), FREQUENT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(size, n_buckets)
+        chunk = Chunk(size, n_buckets, marks)
         for batch in batches:
             ids, hashes = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             for block in blocks(batch.column(text_col)):
@@ -183,8 +221,8 @@ def without_repeats(
                     yield from chunk.out()
         yield from chunk.out()
 
-    runs = bucket_runs(marked.select("_id", "_th", text_col), cut, lambda s: settle(s, size))
-    joined = with_runs(marked, runs)
+    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size))
+    joined = with_runs(named, runs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

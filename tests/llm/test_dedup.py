@@ -103,6 +103,7 @@ def brute_windows(rows, size):
 @pytest.mark.parametrize("chunk", [8 << 20, 4000])
 def test_windows_equal_brute_force(docs, rows, monkeypatch, chunk):
     monkeypatch.setattr(windows, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(windows, "FREQUENT", 2 if chunk == 4000 else 256)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in windows.without_repeats(docs, n_buckets=7).collect()}
     assert got == brute_windows(rows, 20)
 
@@ -126,6 +127,7 @@ def brute_bytes(rows, size):
 @pytest.mark.parametrize("chunk", [8 << 20, 4000])
 def test_byte_strings_equal_brute_force(docs, rows, monkeypatch, chunk):
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffixes, "FREQUENT", 2 if chunk == 4000 else 256)
     small = [(i, t) for i, t in rows if len(t or "") < 20000]
     ids = [i for i, _ in small]
     kept = suffixes.without_repeats(docs.filter(F.col("doc_id").isin(ids)), n_buckets=5)
