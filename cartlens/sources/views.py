@@ -113,7 +113,8 @@ class ShopViews:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return features.latest_categories(self.properties)
+        """Written once: one row per item, which most chains join several times."""
+        return stage(features.latest_categories(self.properties), "categories")
 
     @cached_property
     def mixed_categories(self) -> DataFrame:
@@ -127,7 +128,8 @@ class ShopViews:
 
     @cached_property
     def category_stats(self) -> DataFrame:
-        return features.category_stats(self.stored_events, self.categories)
+        """Written once: one row per category."""
+        return stage(features.category_stats(self.stored_events, self.categories), "category-stats")
 
     def interactions(self, config: InteractionConfig = PRODUCTION.interactions) -> DataFrame:
         return features.build_interactions(self.stored_events, config)
@@ -167,7 +169,8 @@ class ShopViews:
 
     @cached_property
     def popular(self) -> DataFrame:
-        return popular.top_popular_items(self.train, PRODUCTION.evaluation.popular_k)
+        """Written once: a hundred rows that lists, fallbacks and scalars read again and again."""
+        return stage(popular.top_popular_items(self.train, PRODUCTION.evaluation.popular_k), "popular")
 
     @cached_property
     def recs(self) -> DataFrame:
