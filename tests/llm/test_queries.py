@@ -68,11 +68,12 @@ def test_held_out_accuracy(spark):
     assert hits / sum(toxic[r["doc_id"]] for r in rows) > 0.85 and hits / sum(r["predicted"] for r in rows) > 0.75
 
 
-def test_url_query_equals_sql(spark):
+@pytest.mark.parametrize("name,table", [("op5_url_filter", "pages"), ("op3_substring_dedup", "documents")])
+def test_query_equals_sql(spark, name, table):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{FOLDER}/pages.parquet'")
-    want = con.execute(entry.oracle_sql()["op5_url_filter"]).fetchall()
-    got = [tuple(r) for r in entry.queries()["op5_url_filter"](spark, FOLDER).collect()]
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, FOLDER).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
