@@ -2,7 +2,9 @@
 
 Every string of `size` bytes has a least anchor: the smallest rolling hash of its groups of ANCHOR bytes. Consecutive
 strings with the same least anchor leave their document as one piece, for the bucket of that anchor; equal strings have
-equal anchors, so a bucket sees every copy. A bucket first merges identical pieces: their strings all repeat. In the
+equal anchors, so a bucket sees every copy. Frequent anchors, those that begin FREQUENT pieces or more by counts over all
+documents, come behind all others, so the strings on the rim of a passage that very many documents share go by the bytes
+around it to many buckets. A bucket first merges identical pieces: their strings all repeat. In the
 rest it sorts, anchor by anchor, the suffixes that begin at the anchors, and likewise the reversed prefixes that end
 there. The mergesort compares two suffixes by the length of their common beginning, found by binary search over prefix
 polynomial hashes, so a comparison takes a logarithmic number of steps. The extensions that neighbours in the two
@@ -25,10 +27,11 @@ from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, mix, powers, prefix_hash, ranges, span_hash, with_columns
 from cartlens.llm.frames import schema_with, set_aside
-from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, keyed, packed, rank_pairs, row_runs, with_runs
+from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, frequent, keyed, marked, packed, rank_pairs, repeats, row_runs, with_runs
 from cartlens.llm.windows import _NO_RUNS, sliding_min, window_starts
 
 ANCHOR = 32
+FREQUENT = 256
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 
@@ -45,6 +48,36 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
+def anchors(data: np.ndarray, marks: np.ndarray | None) -> np.ndarray:
+    """Order of the anchor at each place; frequent ones have the top bit."""
+    h = anchor_hashes(data) >> np.uint32(1)
+    return h if marks is None else h | (marked(h, marks).astype(np.uint32) << np.uint32(31))
+
+
+def count_anchors(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(key, n) of least anchors of several pieces within CHUNK_BYTES of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for block in blocks(batch.column(text_col)):
+                at, row = window_starts(block.offsets, size)
+                if len(at):
+                    least = sliding_min(anchors(block.data, None), size - ANCHOR + 1)[at]
+                    new = np.ones(len(at), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                    heads.append(least[new])
+                held += len(block.data)
+                if held >= CHUNK_BYTES and heads:
+                    yield repeats(heads)
+                    heads, held = [], 0
+        if heads:
+            yield repeats(heads)
+
+    return docs.select(text_col).mapInArrow(run, "key long, n long")
+
+
 class Comparer:
     """Longest common beginnings of suffixes, up to `cap` bytes, by prefix hashes."""
 
@@ -148,7 +181,7 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, end: np.ndarray, group: np
     raise ArithmeticError("both hash bases collide on these texts")
 
 
-def repeated_starts(s: Strings, size: int) -> np.ndarray:
+def repeated_starts(s: Strings, size: int, marks: np.ndarray | None = None) -> np.ndarray:
     """Marks of the bytes of s.data at which a string begins that also begins elsewhere in s.
 
     The pieces differ from one another. Anchors: all places in a piece with the piece's least anchor hash.
@@ -156,7 +189,7 @@ def repeated_starts(s: Strings, size: int) -> np.ndarray:
     out = np.zeros(len(s.data), bool)
     if len(s) == 0:
         return out
-    h = anchor_hashes(s.data)
+    h = anchors(s.data, marks)
     row = np.repeat(np.arange(len(s)), np.diff(s.offsets))[: len(h)]
     inside = np.arange(len(h)) + ANCHOR <= s.offsets[1:][row]
     # The least anchor of a piece is that of its first string.
@@ -263,29 +296,29 @@ def identical(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b
     return first, twin
 
 
-def settle(strings: Strings, size: int) -> Runs:
+def settle(strings: Strings, size: int, marks: np.ndarray | None = None) -> Runs:
     """Runs of removed bytes in one bucket's pieces."""
     if len(strings) == 0:
         return _NO_RUNS
     lo, hi = strings.offsets[:-1], strings.offsets[1:]
     parts = []
-    for i in range(0, len(strings), 4096):  # hash tables stay small
-        a, b = int(lo[i]), int(hi[min(i + 4096, len(strings)) - 1])
-        parts.append(piece_hashes(strings.data[a:b], lo[i : i + 4096] - a, hi[i : i + 4096] - a))
+    for i in range(0, len(strings), 1024):  # hash tables stay small
+        a, b = int(lo[i]), int(hi[min(i + 1024, len(strings)) - 1])
+        parts.append(piece_hashes(strings.data[a:b], lo[i : i + 1024] - a, hi[i : i + 1024] - a))
     a, b = (np.concatenate(p) for p in zip(*parts, strict=True))
     # The same piece of the same document counts once: rows that repeat id and text are one document.
     own = mix(strings.ids.view(np.uint64)) ^ mix(strings.hashes.view(np.uint64) + np.uint64(1)) ^ mix(strings.place.view(np.uint64) + np.uint64(2))
     _, once = np.unique(own, return_index=True)
     if len(once) < len(strings):
         once.sort()
-        return settle(strings.take(once), size)
+        return settle(strings.take(once), size, marks)
     first, twin = identical(strings.data, lo, hi, a, b)
     whole = np.flatnonzero(twin)
     kinds = np.flatnonzero(first & ~twin)
     # A piece with copies stays in the sort once: others may hold some of its strings.
     heads = np.flatnonzero(first)
     rest = strings.take(heads)
-    row, x, y = covered_runs(repeated_starts(rest, size), rest.offsets, size)
+    row, x, y = covered_runs(repeated_starts(rest, size, marks), rest.offsets, size)
     single = np.isin(heads[row], kinds)
     row, x, y = heads[row[single]], x[single], y[single]
     place = strings.place
@@ -300,8 +333,8 @@ def settle(strings: Strings, size: int) -> Runs:
 class Chunk:
     """Pieces of consecutive blocks, kept until CHUNK_BYTES of text are there."""
 
-    def __init__(self, size: int, n_buckets: int) -> None:
-        self.size, self.n_buckets = size, n_buckets
+    def __init__(self, size: int, n_buckets: int, marks: np.ndarray) -> None:
+        self.size, self.n_buckets, self.marks = size, n_buckets, marks
         self.clear()
 
     def clear(self) -> None:
@@ -312,7 +345,7 @@ class Chunk:
         at, row = window_starts(block.offsets, self.size)
         if len(at) == 0:
             return
-        least = sliding_min(anchor_hashes(block.data), self.size - ANCHOR + 1)[at]
+        least = sliding_min(anchors(block.data, self.marks), self.size - ANCHOR + 1)[at]
         new = np.ones(len(at), bool)
         new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
         first = np.flatnonzero(new)
@@ -363,10 +396,11 @@ def without_repeats(
     """Add n_bytes, n_removed, n_spans (maximal removed runs) and the remaining bytes."""
     n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs, restore = set_aside(docs, "_id", "_th", "_runs")
-    marked = keyed(docs, id_col, text_col)
+    named = keyed(docs, id_col, text_col)
+    marks = frequent(count_anchors(docs, size, text_col), FREQUENT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(size, n_buckets)
+        chunk = Chunk(size, n_buckets, marks)
         for batch in batches:
             ids, hashes = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             for block in blocks(batch.column(text_col)):
@@ -376,8 +410,8 @@ def without_repeats(
                     yield from chunk.out()
         yield from chunk.out()
 
-    runs = bucket_runs(marked.select("_id", "_th", text_col), cut, lambda s: settle(s, size))
-    joined = with_runs(marked, runs)
+    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size, marks))
+    joined = with_runs(named, runs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
