@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, prefix_hash, ranges, span_hash, word_hashes, words
 from cartlens.llm.components import components
-from cartlens.llm.packs import CHUNK_BYTES
+from cartlens.llm.packs import CHUNK_BYTES, frequent, marked
 from cartlens.llm.windows import window_starts
 from cartlens.session import stage
 
@@ -46,7 +46,6 @@ MIN_BITS, MAX_BITS = 256, 1 << 17
 TILE = 256
 #: Documents with an element, as counted below, from which it is marked as frequent.
 FREQUENT = 64
-MARK_BITS = 1 << 23
 
 
 def sets_of(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,28 +187,6 @@ def bitmap(hashes: DataFrame, column: str, n_bits: int) -> np.ndarray:
     return out
 
 
-def element_marks(counted: DataFrame) -> np.ndarray:
-    """Bitmap of frequent elements, by the elements' low bits."""
-    frequent = counted.groupBy("sid").agg(F.sum("_id").alias("k")).filter(F.col("k") >= FREQUENT)
-
-    def words_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("sid").to_numpy().view(np.uint64) & np.uint64(MARK_BITS - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["w", "b"]
-            )
-
-    table = frequent.select("sid").mapInArrow(words_, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(MARK_BITS // 64, np.uint64)
-    out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def marked(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    at = values & np.uint64(MARK_BITS - 1)
-    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 _FIELDS = (("key", np.int64), ("sid", np.int64), ("n", np.int32), ("pos", np.int32), ("rare", np.int32), ("mark", np.int8))
 
 
@@ -358,9 +335,9 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, rows)), pa.array(lists, pa.binary())], ["sid", "items"])
 
     items = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, items binary")
-    both = pairs.select("a", "b").join(items.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(
-        items.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b"
-    )
+    # Pairs and arrays grow with the documents, so both are dealt by set at every size.
+    side = lambda c, name: items.select(F.col("sid").alias(c), F.col("items").alias(name)).hint("merge")
+    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,7 +430,7 @@ def groups(
     rows = described.filter("n >= 0")
     # Equal sets are one node; its first document is the smallest id.
     sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.first("sig").alias("sig"), F.min("_id").alias("first")).filter("first is not null"), "nodes")
-    marks = element_marks(described.filter("n < 0").select("_id", "sid"))
+    marks = frequent(described.filter("n < 0").select(F.col("sid").alias("key"), F.col("_id").alias("n")), FREQUENT)
     met = stage(prefixes(texts, marks, text_col, size, n_buckets).groupBy("bucket").applyInArrow(meet, _MEETING), "meetings")
     members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n", "rare")
     pivots = members.groupBy("key").agg(F.min(F.struct("rare", "n", "sid")).alias("p")).select("key", F.col("p.sid").alias("p"))
