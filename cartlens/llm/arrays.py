@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))

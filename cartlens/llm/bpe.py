@@ -60,9 +60,18 @@ def text_ids(encoding, text: str) -> np.ndarray:
 
 
 def encode(
-    docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids"
+    docs: DataFrame,
+    rank_file: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    bytes_col: str | None = None,
 ) -> DataFrame:
-    """Add the token ids of the whole text as an array of int."""
+    """Add the token ids of the whole text as an array of int and, in bytes_col, what these ids decode to.
+
+    Decoding in the same pass keeps one Python worker per task; `decode` is for ids that are stored.
+    """
+    added = [(ids_col, T.ArrayType(T.IntegerType()))] + ([(bytes_col, T.BinaryType())] if bytes_col else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(rank_file, pattern)
@@ -71,9 +80,12 @@ def encode(
                 ids = [text_ids(encoding, block.text(i)) for i in range(len(block))]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                yield with_columns(batch.slice(block.first, len(block)), {ids_col: lists})
+                new = {ids_col: lists}
+                if bytes_col:
+                    new[bytes_col] = pa.array([encoding.decode_bytes(x.tolist()) for x in ids], pa.binary())
+                yield with_columns(batch.slice(block.first, len(block)), new)
 
-    return docs.mapInArrow(run, schema_with(docs, [(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, schema_with(docs, added))
 
 
 def decode(

@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it; clusters get it by --py-files."""
+    """Let Python workers on this machine import the package from where the driver has it; clusters get it by --py-files.
+
+    Rows here hold whole texts or arrays, so no more than BATCH_ROWS of them go to a worker at once.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]

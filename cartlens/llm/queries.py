@@ -36,8 +36,7 @@ def split_pattern() -> str:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the bytes they decode to."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.encode(docs, rank_file(), split_pattern()).drop("text")
-    both = bpe.decode(coded, rank_file(), split_pattern())
+    both = bpe.encode(docs, rank_file(), split_pattern(), bytes_col="decoded")
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -48,14 +48,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    masked = pii.redact(pii.find(docs, plain_col="_plain", added_col="_added"), plain_col="_plain", added_col="_added")
+    masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), rank_file(), split_pattern())
-    back = bpe.decode(coded, rank_file(), split_pattern())
+    texts = docs.select("doc_id", "lang", "source", "text")
+    back = bpe.encode(texts, rank_file(), split_pattern(), bytes_col="decoded")
     return back.select(
         "doc_id",
         "lang",

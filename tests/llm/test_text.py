@@ -23,6 +23,8 @@ def test_tokens_round_trip(docs, rows, monkeypatch):
     both = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
     got = {r["doc_id"]: (r["token_ids"], bytes(r["decoded"])) for r in both.select("doc_id", "token_ids", "decoded").collect()}
     assert got == {i: (encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
+    once = bpe.encode(docs, RANKS, PATTERN, bytes_col="decoded").select("doc_id", "token_ids", "decoded").collect()
+    assert {r["doc_id"]: (r["token_ids"], bytes(r["decoded"])) for r in once} == got
 
 
 def test_pieces_keep_matches():
@@ -117,6 +119,7 @@ def test_pii_table(spark, docs, empty):
     got = [[(s["kind"], s["start"], s["end"]) for s in r["plain_spans"] + r["added_spans"]] for r in found.collect()]
     assert got == [[("email", 0, 6), ("email", 9, 15), ("ip", 16, 24)], [], [], [("email", 0, 11)], [("email", 0, 6)]]
     assert [r["text"] for r in pii.redact(found).collect()] == ["[EMAIL] é [EMAIL] [IP]", None, "", "[EMAIL]", "[EMAIL]"]
+    assert pii.mask(df).collect() == pii.redact(found).select("doc_id", "text").collect()
     assert pii.find(docs).count() == docs.count() and pii.find(empty).count() == 0
 
 
