@@ -335,8 +335,7 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, rows)), pa.array(lists, pa.binary())], ["sid", "items"])
 
     items = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, items binary")
-    # Pairs and arrays grow with the documents, so both are dealt by set at every size.
-    side = lambda c, name: items.select(F.col("sid").alias(c), F.col("items").alias(name)).hint("merge")
+    side = lambda c, name: items.select(F.col("sid").alias(c), F.col("items").alias(name))
     both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
