@@ -46,6 +46,8 @@ MIN_BITS, MAX_BITS = 256, 1 << 17
 TILE = 256
 #: Documents with an element, as counted below, from which it is marked as frequent.
 FREQUENT = 64
+#: Bits of the bitmap of first documents whose arrays are wanted.
+WANTED_BITS = 1 << 22
 
 
 def sets_of(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,26 +317,50 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, first_a long, first_b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The pairs whose sorted arrays have enough in common. docs: _id and text; pairs: a written table.
+def wanted_arrays(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(sid, items) of every set of the pairs, one row each.
 
-    Arrays are made for the documents that the bitmap of wanted first documents lets through. The table may repeat a link
-    where rows repeat.
+    Arrays are made for the documents that the bitmap of wanted first documents lets through. The more ids are wanted,
+    the more copies of a set pass; only the array of the set's first document goes on, and only once where rows repeat.
+    Set and document are the key, so that copies are dealt evenly.
     """
-    wanted = pairs.select(F.explode(F.array("first_a", "first_b")).alias("d"))
-    bits = bitmap(wanted, "d", 1 << 22)
+    one = lambda c: F.struct(F.col(c).alias("sid"), F.col(f"first_{c}").alias("_id"))
+    wanted = pairs.select(F.explode(F.array(one("a"), one("b"))).alias("w")).select("w.sid", "w._id").distinct()
+    bits = bitmap(wanted, "_id", WANTED_BITS)
     n_bits = len(bits) * 64
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
+        held = 0
         for batch in batches:
             at = batch.column("_bit").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for block in blocks(batch.column(text_col)):
                 values, rows = sets_of(block, size)
-                lists = [values[rows[i] : rows[i + 1]].tobytes() for i in range(len(block))]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, rows)), pa.array(lists, pa.binary())], ["sid", "items"])
+                sid = set_ids(values, rows)
+                ids = batch.column("_id").slice(block.first, len(block)).to_pylist()
+                take = []
+                for i, (s, d) in enumerate(zip(sid.tolist(), ids, strict=True)):
+                    # A copy behind a smaller id is not the first document.
+                    if d is not None and (s not in least or d < least[s]):
+                        least[s] = d
+                        take.append(i)
+                lists = [values[rows[i] : rows[i + 1]].tobytes() for i in take]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sid[take]), pa.array([ids[i] for i in take], pa.int64()), pa.array(lists, pa.binary())], ["sid", "_id", "items"]
+                )
+                held += len(block.data)
+                if held >= CHUNK_BYTES:
+                    least.clear()
+                    held = 0
+
+    made = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, _id long, items binary")
+    return made.join(wanted, ["sid", "_id"], "left_semi").dropDuplicates(["sid", "_id"]).select("sid", "items")
 
-    items = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, items binary")
+
+def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """The pairs whose sorted arrays have enough in common. docs: _id and text; pairs: a written table."""
+    items = wanted_arrays(pairs, docs, text_col, size)
     side = lambda c, name: items.select(F.col("sid").alias(c), F.col("items").alias(name))
     both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
 

@@ -65,6 +65,22 @@ def test_links_at_exactly_three_quarters(spark):
     assert found == {(5, 100): 3, (3, 75): 3, (9, 75): 3, (7, 100): 7, (1, 74): 1, (None, 100): None, (5, 1): 5}
 
 
+@pytest.mark.parametrize("n_bits", [64, 1 << 22])
+def test_copies_give_one_array_per_set(spark, monkeypatch, n_bits):
+    """Also when the bitmap of wanted documents lets every copy through, and where rows repeat."""
+    monkeypatch.setattr(jaccard, "WANTED_BITS", n_bits, raising=False)
+    a, b = [f"w{i}" for i in range(104)], [f"w{i}" for i in range(90)] + [f"v{i}" for i in range(14)]
+    rows = [(i, a) for i in range(100)] + [(i, b) for i in range(100, 200)] + [(0, a), (0, a), (100, b), (None, a)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "_id long, text string").repartition(7)
+    heads = {r["_id"]: r["sid"] for r in jaccard.describe(texts, "text", 5).filter("_id in (0, 100) and n >= 0").collect()}
+    low, high = sorted((sid, first) for first, sid in heads.items())
+    pairs = spark.createDataFrame([(low[0], high[0], low[1], high[1])], "a long, b long, first_a long, first_b long")
+    # Any real bitmap passes all where it is full; 64 bits hold two ids, so fill it with ids of other pairs.
+    fill = spark.createDataFrame([(k, k + 1, k + 10**6, k + 2 * 10**6) for k in range(2000)], pairs.schema)
+    links = jaccard.linked(pairs.union(fill), texts, "text", 5).collect()
+    assert [tuple(r) for r in links] == [(low[0], high[0])]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(50):
