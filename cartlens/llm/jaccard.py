@@ -16,9 +16,10 @@ which is a Jaccard similarity of 3/4. Documents with equal sets are one node.
 4. Exact test by intersection of the sorted hash arrays, computed again from the texts of the sets still in question.
    Each set is first tested against its smallest partner; pairs that this leaves in different components follow.
 5. What the first links join needs no further test. Sets of one frequent element that are still in different components
-   are compared in tiles: the sets outside the element's largest component, ordered by size and cut into bands of TILE,
-   against bands of all its sets, by the bitmap bound and then the exact test. So a family that hangs together costs
-   one test per member and element, not one per pair.
+   are compared in tiles: the sets outside the element's largest component, ordered by size and cut into bands of BAND,
+   against the bands of all its sets whose sizes can reach 3/4, by the bitmap bound and then the exact test. So a family
+   that hangs together costs one test per member and element, not one per pair. Sets that share frequent elements and
+   link with nothing are all outside; those of like size are compared pair by pair.
 
 A document without words has the empty set and links with nothing; with fewer words than a shingle, its set is the
 whole sequence. A null text counts as empty, a null id keeps a null component.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, prefix_hash, ranges, span_hash, word_hashes, words
@@ -42,8 +43,10 @@ from cartlens.session import stage
 
 #: Bounds of a bitmap's width; within them it follows the set's size.
 MIN_BITS, MAX_BITS = 256, 1 << 17
-#: Sets that share an element and are compared pair by pair at once; also the width of a band.
+#: Sets that share an element and are compared pair by pair at once.
 TILE = 256
+#: Width of a band.
+BAND = 16 * TILE
 #: Documents with an element, as counted below, from which it is marked as frequent.
 FREQUENT = 64
 #: Bits of the bitmap of first documents whose arrays are wanted.
@@ -392,23 +395,52 @@ def joined_up(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> Da
     return links.union(linked(open_, docs, text_col, size))
 
 
-def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets that share a frequent element, lie in different components, and pass the bitmap bound."""
+def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, sid, n, label, outside) of the frequent elements whose sets lie in several components, with bands.
+
+    `band` cuts all sets of a key by their rank in size, `minor_band` those outside its largest component. Sets of one
+    size are ranked by hash, so a band holds about BAND sets.
+    """
     known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("parts"))
-    split = largest.filter("parts > 1").select("key", F.col("top.label").alias("main"), F.col("all").alias("total"), (F.col("all") - F.col("top.k")).alias("minor"))
-    mixed = known.join(split, "key").join(sets.select("sid", "sig"), "sid")
-    # Bands: each set is in one band of all sets; the sets outside the main component are also in one band of those.
-    width = 16 * TILE
-    bands = F.ceil(F.col("total") / width).cast("int")
-    minor_bands = F.ceil(F.col("minor") / width).cast("int")
-    mixed = mixed.withColumns({"band": F.pmod(F.hash("sid"), bands), "minor_band": F.pmod(F.hash("sid", F.lit(1)), minor_bands)})
-    every = mixed.select("key", "sid", "n", "sig", "label", F.lit(False).alias("outside"), "band", F.explode(F.sequence(F.lit(0), minor_bands - 1)).alias("against"))
-    minor = mixed.filter("label <> main").select(
-        "key", "sid", "n", "sig", "label", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), bands - 1)).alias("band"), F.col("minor_band").alias("against")
+    largest = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("parts"))
+    split = largest.filter("parts > 1").select("key", F.col("top.label").alias("main"))
+    mixed = stage(known.join(split, "key").select("key", "sid", "n", "label", (F.col("label") != F.col("main")).alias("outside")), "mixed")
+    # One row per key and size, so the window is bounded by the sizes that occur.
+    counts = mixed.groupBy("key", "n").agg(F.count("*").alias("k"), F.sum(F.col("outside").cast("long")).alias("k_minor"))
+    before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumns({c: F.coalesce(F.sum(k).over(before), F.lit(0)) for c, k in (("at", "k"), ("at_minor", "k_minor"))})
+    rank = lambda at, k, salt: F.floor((F.col(at) + F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(k))) / BAND).cast("int")
+    return mixed.join(offsets, ["key", "n"]).select(
+        "key", "sid", "n", "label", "outside", rank("at", "k", 0).alias("band"), F.when(F.col("outside"), rank("at_minor", "k_minor", 1)).alias("minor_band")
+    )
+
+
+def tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The banded members, once for every tile (key, band, against) they are compared in: a band of all sets meets the
+    bands of outside sets whose sizes reach 3/4 of its own or the other way round."""
+    rows = banded(members, labels)
+    every = rows.groupBy("key", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    minor = rows.filter("outside").groupBy("key", F.col("minor_band").alias("against")).agg(F.min("n").alias("low_m"), F.max("n").alias("high_m"))
+    near = every.join(minor, "key").filter("4 * high >= 3 * low_m and 4 * high_m >= 3 * low").select("key", "band", "against")
+    # Bands follow one another in size, so those that a band reaches do too.
+    of_band = near.groupBy("key", "band").agg(F.min("against").alias("low"), F.max("against").alias("high"))
+    of_minor = near.groupBy("key", F.col("against").alias("minor_band")).agg(F.min("band").alias("low"), F.max("band").alias("high"))
+    reach = F.explode(F.sequence("low", "high"))
+    return (
+        rows.join(of_band, ["key", "band"])
+        .select("key", "sid", "n", "label", F.lit(False).alias("outside"), "band", reach.alias("against"))
+        .union(
+            rows.filter("outside").join(of_minor, ["key", "minor_band"])
+            .select("key", "sid", "n", "label", F.lit(True).alias("outside"), reach.alias("band"), F.col("minor_band").alias("against"))
+        )
     )
 
+
+def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of sets that share a frequent element, lie in different components, and pass the bitmap bound."""
+    placed = tiles(members, labels).join(sets.select("sid", "sig"), "sid")
+
     def tile(table: pa.Table) -> pa.Table:
         outside = table.column("outside").to_numpy()
         sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
@@ -442,7 +474,7 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         none = [np.zeros(0, np.int64)]
         return pa.Table.from_arrays([pa.array(np.concatenate(low + none)), pa.array(np.concatenate(high + none))], ["a", "b"])
 
-    return every.union(minor).groupBy("key", "band", "against").applyInArrow(tile, "a long, b long")
+    return placed.groupBy("key", "band", "against").applyInArrow(tile, "a long, b long")
 
 
 def groups(

@@ -81,6 +81,26 @@ def test_copies_give_one_array_per_set(spark, monkeypatch, n_bits):
     assert [tuple(r) for r in links] == [(low[0], high[0])]
 
 
+def test_tiles_are_banded_by_size(spark, monkeypatch):
+    """Every pair of fitting size meets in a tile, and no tile joins bands out of each other's reach."""
+    monkeypatch.setattr(jaccard, "BAND", 8, raising=False)
+    rng = np.random.default_rng(5)
+    n = np.concatenate([rng.integers(20, 2000, 150), np.full(40, 300)])
+    members = spark.createDataFrame([(1, i, int(k), 0) for i, k in enumerate(n)], "key long, sid long, n int, rare int")
+    labels = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
+    cells = {}
+    for r in jaccard.tiles(members, labels).collect():
+        cells.setdefault((r["band"], r["against"]), ([], []))[r["outside"]].append(r["sid"])
+    met = set()
+    for every, outside in cells.values():
+        assert every and outside
+        assert 4 * n[every].max() >= 3 * n[outside].min() and 4 * n[outside].max() >= 3 * n[every].min()
+        met |= {(min(a, b), max(a, b)) for a in every for b in outside}
+    fits = {(a, b) for b in range(30, len(n)) for a in range(len(n)) if a != b and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b])}
+    assert {(min(p), max(p)) for p in fits} <= met
+    assert len(met) < 0.6 * len(n) * (len(n) - 1) / 2
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(50):
