@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cartlens.llm.arrays import LOWER, Block, blocks, with_columns
+from cartlens.llm.arrays import LOWER, Block, blocks, prefix_hash, span_hash, with_columns
 from cartlens.llm.frames import schema_with
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,19 +60,31 @@ _SPELLED = re.compile(
 )
 _BETWEEN_DIGITS = re.compile(r"[ ,;/_-]{0,3}")
 
-_DISGUISE_HINT = re.compile(rb"[\[({<] ?(?:at|dot|arroba|punto|arobase|point|punkt) ?[\])}>]| at [a-z0-9-]+[.][a-z]| (?:dot|punto|punkt|point) | @ ?| ?@ |@ ")
-_DIGIT_HINT = re.compile(
-    rb"(?:(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho"
-    rb"|nueve|z\xc3\xa9ro|un|deux|trois|quatre|cinq|sept|huit|neuf|null|eins|zwei|drei|vier|f\xc3\xbcnf|sechs|sieben|acht|neun)"
-    rb"(?![a-z\x80-\xff])[ ,;/.()_-]{1,4}(?:[0-9][ ,;/.()_-]{0,3})*){2}"
+# What `hints` looks for, in lower-case bytes; each covers all that _SPELLED can rewrite into a new identifier.
+_SPACED_OR_CLOSED = re.compile(
+    rb"[\[({<] *(?:at|dot|arroba|punto|arobase|point|punkt|\xc3[\xa4\x84]t) *[\])}>]"
+    rb"| at +[a-z0-9-]+[.][a-z0-9-]| (?:dot|punto|punkt|point|arroba|arobase|\xc3[\xa4\x84]t) | @|@ "
 )
-#: Cheap needles, tried before the patterns above.
-_DISGUISE_NEEDLES = (b"@", b" at ", b"dot", b"at]", b"at)", b"at}", b"at>", b"punto", b"punkt", b"point", b"arroba", b"arobase", b" at]", b"at ]", b"at )")
-_DIGIT_NEEDLES = tuple(
-    x.encode() for x in ("three", "four", "five", "seven", "eight", "nine", "zero", "cuatro", "cinco", "siete", "ocho", "nueve", "cero",
-                         "trois", "quatre", "cinq", "sept", "huit", "neuf", "zéro", "eins", "zwei", "drei", "vier", "fünf", "sechs",
-                         "sieben", "neun", "acht", "null", "seis", "tres", "deux", "six", "two", "one", "dos", "uno")
-)
+_SPELLED_NEEDLES = (b"@", b" at ", b"dot", b"punto", b"punkt", b"point", b"arroba", b"arobase", b"at]", b"at)", b"at}", b"at>", b"at ", b"\xc3\xa4t", b"\xc3\x84t")
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
+_DIGIT_BYTE = np.zeros(256, bool)
+_DIGIT_BYTE[48:58] = True
+_PHONE_BYTE = _DIGIT_BYTE.copy()
+_PHONE_BYTE[[ord(c) for c in " ().-"]] = True
+_GAP_BYTE = np.zeros(256, bool)
+_GAP_BYTE[[ord(c) for c in " ,;/_-"]] = True
+_LINK_BYTE = np.zeros(256, bool)
+_LINK_BYTE[[ord(c) for c in " .-"]] = True
+
+
+def _hashes(names: list[str]) -> np.ndarray:
+    """Hashes of words in lower-case bytes; a letter beyond ASCII counts in both cases."""
+    raw = {x.encode() for x in names} | {re.sub("[é-üá]", lambda m: m[0].upper(), x).encode() for x in names}
+    return np.array(sorted(int(span_hash(prefix_hash(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0]) for x in raw), np.uint64)
+
+
+_NAME_HASHES, _ACCENTED_HASHES, _PLUS_HASHES = _hashes(list(_DIGIT_NAMES)), _hashes([x for x in _DIGIT_NAMES if not x.isascii()]), _hashes(["plus", "más"])
 
 
 def passes_luhn(digits: str) -> bool:
@@ -221,7 +233,7 @@ def spans(text: str, hidden: bool) -> tuple[list[tuple[int, int, int]], list[tup
 
 def _believable(source: str) -> bool:
     """` at ` alone marks an address only behind a name with a digit, dot or sign in it: `meet me at x.org` is prose."""
-    if re.search(rf"[\[({{<] ?(?:{_AT}|{_DOT}) ?[\])}}>]| (?:{_DOT}) |@", source, re.IGNORECASE):
+    if re.search(rf"[\[({{<] *(?:{_AT}|{_DOT}) *[\])}}>]| (?:{_DOT}) |@", source, re.IGNORECASE):
         return True
     return re.match(r"[A-Za-z%]*[0-9._+-]", source) is not None
 
@@ -230,29 +242,74 @@ def _covered(have: list[tuple[int, int, int]], kind: int, a: int, b: int) -> boo
     return any(k == kind and x <= a and b <= y for k, x, y in have)
 
 
+def _named(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of digit names and plus words, in lower-case bytes, that may give an identifier: a name beside a digit, dot
+    or other name, or behind a plus sign and what a number may hold; a plus word before a number; a name with an accent."""
+    n = len(data)
+    inside = _WORD_BYTE[data]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:n]
+    last[:-1] &= ~inside[1:] | cut[1:n]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    short = end - start <= 8
+    start, end = start[short], end[short]
+    h = span_hash(prefix_hash(data), start, end)
+    name = np.isin(h, _NAME_HASHES)
+    s, e = start[name], end[name]
+    odd = [s[np.isin(h[name], _ACCENTED_HASHES)]]
+    # Rows need no care below: what reaches into the next one only adds candidates. The border is padded.
+    pad = np.concatenate([np.zeros(4, np.uint8), data, np.zeros(4, np.uint8)])
+    at = lambda i: pad[i + 4]
+    beside = _DIGIT_BYTE[at(e)] | _DIGIT_BYTE[at(s - 1)]
+    beside |= _LINK_BYTE[at(e)] & _DIGIT_BYTE[at(e + 1)] | _LINK_BYTE[at(s - 1)] & _DIGIT_BYTE[at(s - 2)]
+    odd.append(s[beside])
+    gap = s[1:] - e[:-1]
+    k = np.flatnonzero(gap <= 3)
+    joined = np.ones(len(k), bool)
+    for d in range(3):
+        joined &= (gap[k] <= d) | _GAP_BYTE[at(e[k] + d)] | (gap[k] == 1) & (at(e[k] + d) == 46)
+    odd += [s[k[joined]], s[k[joined] + 1]]
+    if len(s) and (data == 43).any():
+        behind = np.maximum.accumulate(np.where(_PHONE_BYTE[data], -1, np.arange(n)))
+        left = np.where(s > 0, behind[s - 1], -1)
+        odd.append(s[(left >= 0) & (data[left] == 43)])
+    plus = np.isin(h, _PLUS_HASHES)
+    if plus.any():
+        filled = np.append(np.flatnonzero(data != 32), n)
+        after = filled[np.searchsorted(filled, end[plus])]
+        odd.append(start[plus][_DIGIT_BYTE[at(after)] | (at(after) == 40) | np.isin(after, s)])
+    return np.concatenate(odd)
+
+
 def hints(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: whether a detector can find anything plain, and whether it may hold a disguise."""
+    """For each row: whether a detector can find anything plain, and whether it may hold a disguise.
+
+    A row without the second mark has no spans that rewriting could add.
+    """
     n = len(block)
     data = block.data
     marks = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
     plain = np.diff(np.searchsorted(marks, block.offsets)) > 0
-    # Beyond Latin-1 (lead bytes above C3), soft hyphens and no-break spaces (C2).
-    high = np.flatnonzero((data >= 0xC4) | (data == 0xC2))
+    if len(data) == 0:
+        return plain, plain.copy()
+    # Beyond Latin-1 (lead bytes above C3), soft hyphens and no-break spaces (C2), and the two signs among C3's letters.
+    odd_byte = (data >= 0xC4) | (data == 0xC2)
+    odd_byte[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    lower = LOWER[data]
+    high = np.sort(np.concatenate([np.flatnonzero(odd_byte), _named(lower, block.offsets)]))
     odd = np.diff(np.searchsorted(high, block.offsets)) > 0
-    low = LOWER[data].tobytes()
+    low = lower.tobytes()
     for i in range(n):
         if odd[i]:
             continue
-        a, b = block.offsets[i], block.offsets[i + 1]
-        row = low[a:b]
-        if any(x in row for x in _DISGUISE_NEEDLES) and _DISGUISE_HINT.search(row):
-            odd[i] = True
-        elif any(x in row for x in _DIGIT_NEEDLES) and _DIGIT_HINT.search(row):
+        row = low[block.offsets[i] : block.offsets[i + 1]]
+        if any(x in row for x in _SPELLED_NEEDLES) and _SPACED_OR_CLOSED.search(row):
             odd[i] = True
     return plain | odd, odd
 
 
-
 def find(
     docs: DataFrame, text_col: str = "text", plain_col: str = "plain_spans", added_col: str = "added_spans"
 ) -> DataFrame:
