@@ -28,7 +28,8 @@ from cartlens.llm.frames import schema_with
 #: Length from which a text is cut, in characters.
 PIECE_CHARS = 1 << 16
 
-_SAFE_CUT = re.compile(r"\S(?=\s)")
+# White space of tiktoken's engine: Python's also holds U+001C to U+001F.
+_SAFE_CUT = re.compile(r"[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 
 
 @lru_cache(maxsize=4)

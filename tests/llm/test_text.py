@@ -37,6 +37,18 @@ def test_pieces_keep_matches():
         assert [i for p in pieces for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_pieces_keep_matches_around_separators():
+    """U+001C to U+001F are no white space to the splitting pattern."""
+    rng = random.Random(6)
+    encoding = bpe.encoder(RANKS, PATTERN)
+    whole = re.compile(r"[\S\x1c-\x1f]+")
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "!", "!", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\n", "\u0085", "é"]) for _ in range(60))
+        pieces = list(bpe.safe_pieces(text, 5))
+        assert "".join(pieces) == text and [w for p in pieces for w in whole.findall(p)] == whole.findall(text)
+        assert [i for p in pieces for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
+
+
 def test_languages(spark, empty):
     rng = random.Random(4)
     syllables = {"xx": ["ba", "lo", "mi"], "yy": ["tch", "krü", "sz"], "zz": ["ai", "oe", "ué"]}
