@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, toxicity, urls, windows
 from cartlens.llm.frames import documents, held_out, table
+from cartlens.llm.queries_mixing import OP12_SQL, op12_source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +162,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, restored_col=None)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+query(op12_source_mix)
+ORACLES["op12_source_mix"] = OP12_SQL
