@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, toxicity, urls, windows
 from cartlens.llm.frames import documents, held_out, table
 from cartlens.llm.queries_mixing import OP12_SQL, op12_source_mix
+from cartlens.llm.queries_trie import OP11_SQL, op11_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,5 +165,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+query(op11_prefix_trie)
+ORACLES["op11_prefix_trie"] = OP11_SQL
+
 query(op12_source_mix)
 ORACLES["op12_source_mix"] = OP12_SQL
