@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartlens.llm import bpe, decontaminate, fingerprint, jaccard, language, pii, suffixes, toxicity, urls, windows
 from cartlens.llm.frames import documents, held_out, table
+from cartlens.llm.queries_alignment import op13_token_alignment
 from cartlens.llm.queries_mixing import OP12_SQL, op12_source_mix
 from cartlens.llm.queries_trie import OP11_SQL, op11_prefix_trie
 
@@ -170,3 +171,5 @@ ORACLES["op11_prefix_trie"] = OP11_SQL
 
 query(op12_source_mix)
 ORACLES["op12_source_mix"] = OP12_SQL
+
+query(op13_token_alignment)
