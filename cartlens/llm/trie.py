@@ -13,7 +13,7 @@
    second aggregation, at most one row per shard and depth. Their ending members are hashed from the shards' parts in
    order, as a stream.
 
-Driver: one number per shard. Memory of a task: a shard, or the longest conversation (20 bytes a turn). Two different
+Driver: two numbers per shard. Memory of a task: a shard, or the longest conversation (20 bytes a turn). Two different
 turns count as one if all 126 bits agree, which is not looked for.
 
 Null turns come first; turns of one number are ordered by hash; repeated rows are repeated turns. Null role or text is
@@ -88,21 +88,24 @@ def _sort(conv: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.nd
     return order, shared
 
 
-def _owners(rims: dict[int, int], part: int) -> np.ndarray:
-    """Shard in which the node of each depth on the way into this shard starts, for the depths shared with the last one."""
+def _owners(rims: dict[int, int], through: dict[int, int], part: int) -> np.ndarray:
+    """Shard in which the node of each depth on the way into this shard starts, for the depths shared with the last one.
+
+    A node that leaves a shard has come into it if all its rows and the row before share that depth.
+    """
     owner = np.full(max(rims[part] + 1, 0), -1, np.int32)
     left = rims[part]
     for q in sorted((p for p in rims if p < part), reverse=True):
         if left < 0:
             break
-        low = min(left, rims[q])
+        low = min(left, rims[q], through[q])
         owner[max(low + 1, 0) : left + 1] = q
         left = low
     return owner
 
 
-def _shard(table: pa.Table, rims: dict[int, int], after: dict[int, int]) -> pa.Table:
-    """Nodes of one shard. rims: turns shared with the shard before, by shard; after: with the next one."""
+def _shard(table: pa.Table, rims: dict[int, int], through: dict[int, int]) -> pa.Table:
+    """Nodes of one shard. By shard, rims: turns its first row shares with the row before; through: turns all rows share."""
     part = table.column("part")[0].as_py()
     table = table.combine_chunks()
     conv = table.column("conv_id").to_numpy()
@@ -113,10 +116,10 @@ def _shard(table: pa.Table, rims: dict[int, int], after: dict[int, int]) -> pa.T
     points = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
     order, shared = _sort(conv, start, length, hashes)
     conv, start, length = conv[order], start[order], length[order]
-    shared[0], next_shared = rims[part], after.get(part, -1)
+    shared[0], next_shared = rims[part], rims.get(min((p for p in rims if p > part), default=-1), -1)
     leaf = np.append(shared[1:], next_shared) < length
     saves = points[start + np.maximum(shared, 0)] - points[start]
-    owners = _owners(rims, part)
+    owners = _owners(rims, through, part)
 
     out: dict[str, list] = {name: [] for name in _NODES.names}
     node_of, node_conv, node_owner, made = np.full(len(conv), -1), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
@@ -205,12 +208,18 @@ def nodes(paths: DataFrame, shards: int | None = None) -> DataFrame:
     whole = F.struct("ids", "conv_id")
     rim = dealt.groupBy("part").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
     before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("part"))  # one row per shard
-    found = rim.select("part", "low", before.alias("before")).select(
-        "part", F.when(F.col("before").isNull(), -1).otherwise(F.floor(_common(F.col("low.ids"), F.col("before.ids")) / 2)).alias("n")
+    turns_shared = lambda one, other: F.floor(_common(F.col(f"{one}.ids"), F.col(f"{other}.ids")) / 2)
+    found = (
+        rim.select("part", "low", "high", before.alias("before"))
+        .select(
+            "part",
+            F.when(F.col("before").isNull(), -1).otherwise(turns_shared("low", "before")).alias("rim"),
+            turns_shared("low", "high").alias("through"),
+        )
+        .collect()
     )
-    rims = {r["part"]: r["n"] for r in found.collect()}
-    after = {p: rims[q] for p, q in zip(sorted(rims), sorted(rims)[1:], strict=False)}
-    parts = stage(dealt.groupBy("part").applyInArrow(lambda t: _shard(t, rims, after), _NODES_SQL), "trie-parts")
+    rims, through = ({r["part"]: r[c] for r in found} for c in ("rim", "through"))
+    parts = stage(dealt.groupBy("part").applyInArrow(lambda t: _shard(t, rims, through), _NODES_SQL), "trie-parts")
 
     cut = parts.filter("owner IS NOT NULL")
     sums = cut.groupBy("owner", "depth").agg(F.min("conv_id").alias("conv_id"), *(F.sum(m).alias(m) for m in _MEASURES), F.max("parent_owner").alias("parent_owner"))
