@@ -324,7 +324,7 @@ def _scores(counts: pa.Table, lists: pa.Table) -> pa.Table:
     sums = np.zeros((2, int(row.max()) + 1), np.int64)
     np.add.at(sums[0], row, links * best[at].astype(np.int64))
     np.add.at(sums[1], row, links * docs[at])
-    block = np.full(sums.shape[1], lists.column("_block")[0].as_py(), np.int64)
+    block = np.full(sums.shape[1], lists.column("_at")[0].as_py(), np.int64)
     return pa.table([pa.array(block), pa.array(np.arange(len(block), dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], schema=kinds)
 
 
@@ -351,8 +351,8 @@ def alignment(docs: DataFrame, byte_file: str, piece_file: str, text_col: str =
     highest = totals.groupBy("a_id").agg(F.max("_docs").alias("_most"))  # at most one row per entry of the vocabulary
     known = totals.join(F.broadcast(highest), "a_id").withColumn("is_best", F.col("_docs") == F.col("_most"))
     returned = counted.select("_block", "_pair").join(known.select("_pair", "_docs", "is_best"), "_pair")
-    lists = made.filter("_lists IS NOT NULL").select("_block", "_lists")
-    scores = returned.groupBy("_block").cogroup(lists.groupBy("_block")).applyInArrow(_scores, "_block long, _row int, n_best long, count_sum long")
+    lists = made.filter("_lists IS NOT NULL").select(F.col("_block").alias("_at"), "_lists")
+    scores = returned.groupBy("_block").cogroup(lists.groupBy("_at")).applyInArrow(_scores, "_block long, _row int, n_best long, count_sum long")
     rows = made.filter("_row IS NOT NULL").drop("_pair", "_docs", "_links", "_lists").join(scores, ["_block", "_row"], "left")
     pairs = known.select(
         "a_id",
