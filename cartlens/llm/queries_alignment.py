@@ -9,11 +9,11 @@ from cartlens.llm import alignment
 from cartlens.llm.frames import documents
 
 
-def vocabularies() -> tuple[str, str]:
-    """The public files every node has with the package public_tokenizers."""
+def vocabularies() -> tuple[str, str, str]:
+    """The public files every node has with the package public_tokenizers, and the pattern of the first."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
