@@ -1,5 +1,7 @@
 """Decay, filters, sampling, splits and the coordinate matrix."""
 
+from pyspark.sql import functions as F
+
 from cartlens.catalog.registry import query
 from cartlens.config import PRODUCTION
 from cartlens.operators import features, matrix, splits, transforms
@@ -203,3 +205,26 @@ FROM clean_events""",
 )
 def _(s):
     return matrix.sparsity(s.events)
+
+
+@query(
+    "split_hot_hour",
+    """
+SELECT user_id, item_id, timestamp, event, transaction_id, r <= greatest(1.0::DOUBLE, floor(n * (1.0::DOUBLE - 0.15::DOUBLE))) AS is_train
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n,
+             row_number() OVER (PARTITION BY user_id ORDER BY timestamp, item_id, event, transaction_id NULLS FIRST) AS r
+      FROM (SELECT CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE user_id END AS user_id, item_id,
+                   CASE WHEN item_id % 3 = 1 THEN 1400000000000 + timestamp % 1800000 ELSE timestamp END AS timestamp, event, transaction_id
+            FROM clean_events))""",
+)
+def _(s):
+    """A third of all events without a user, and a third by one user within half an hour, against the plain window."""
+    kind = F.col("item_id") % 3
+    skewed = s.stored_events.select(
+        F.when(kind == 1, F.lit(1).cast("bigint")).when(kind == 2, F.col("user_id")).alias("user_id"),
+        "item_id",
+        F.when(kind == 1, F.lit(1_400_000_000_000) + F.col("timestamp") % 1_800_000).otherwise(F.col("timestamp")).alias("timestamp"),
+        "event",
+        "transaction_id",
+    )
+    return splits.mark_split_per_user(skewed, _SHARE, ("item_id", "event", "transaction_id"), heavy_rows=2000)

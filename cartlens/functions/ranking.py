@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartlens.functions.joins import join_small
 from cartlens.session import stage
 
 _PLACE_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its lower 33 bits
@@ -39,42 +40,73 @@ def positions_in_time(
     ts: str,
     ties: Sequence[str],
     heavy_rows: int = 1_000_000,
-    slice_ms: int = 3_600_000,
 ) -> DataFrame:
     """Adds ``_n`` (rows of the key, null times included) and ``_r`` (1-based place by time) to rows with a time.
 
-    Keys up to ``heavy_rows`` rows share one window and one shuffle. A heavier key would sort its whole history in
-    one task, so its rows are ranked inside (key, time slice) and the counts of earlier slices are added.
+    Keys up to ``heavy_rows`` rows, the null key among them, share one window and one shuffle. The rows of heavier keys
+    are cut into ranges of (key, time, ties), see ``_ranged_positions``, so no task sorts a whole key. Rows that agree in
+    all of these get their places by the hash of the other columns; what then still agrees are equal rows.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    # At most one heavy key per heavy_rows rows of input: a few megabytes even for trillions of rows.
-    heavy = F.broadcast(sizes.filter(F.col("_n") > heavy_rows))
-    light = df.join(heavy.select(key), key, "left_anti")
+    heavy = stage(_keyed(sizes.filter(F.col("_n") > heavy_rows), key).select("_key", "_null", "_n"), "heavy-keys")
     by_key = Window.partitionBy(key)
     place = by_key.orderBy(F.asc_nulls_last(ts), *ties)
-    ranked = (
-        light.withColumn("_r", F.row_number().over(place).cast("bigint"))
-        .withColumn("_n", F.count(F.lit(1)).over(by_key))
-        .filter(F.col(ts).isNotNull())
-    )
-    return ranked.unionByName(_sliced_positions(df.join(heavy, key), key, ts, ties, slice_ms))
 
+    def light(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("_r", F.row_number().over(place).cast("bigint"))
+        return ranked.withColumn("_n", F.count(F.lit(1)).over(by_key)).filter(F.col(ts).isNotNull())
+
+    if heavy.isEmpty():
+        return light(df)
+    marked = join_small(_keyed(df, key), heavy, ["_key", "_null"], [key, ts, *ties], "left")
+    few = marked.filter("_n IS NULL").select(*df.columns)
+    many = _ranged_positions(marked.filter("_n IS NOT NULL"), df.columns, ts, ties, heavy_rows)
+    return light(few).select(*df.columns, "_n", "_r").unionByName(many.select(*df.columns, "_n", "_r"))
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """With the key as two columns that are never null, so that null keys meet in a join."""
+    nothing = F.lit("0").cast(df.schema[key].dataType)
+    return df.withColumn("_key", F.coalesce(F.col(key), nothing)).withColumn("_null", F.col(key).isNull())
 
-def _sliced_positions(df: DataFrame, key: str, ts: str, ties: Sequence[str], slice_ms: int) -> DataFrame:
-    """Positions of heavy keys; ``df`` carries ``_n``. The join and the ranking share one shuffle by (key, slice)."""
-    sliced = df.filter(F.col(ts).isNotNull()).withColumn("_slice", F.floor(F.col(ts) / F.lit(slice_ms)))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(key, "_slice")
+
+def _ranged_positions(df: DataFrame, columns: Sequence[str], ts: str, ties: Sequence[str], limit: int) -> DataFrame:
+    """Places of the rows of heavy keys, which carry _key, _null and _n.
+
+    Equal rows shrink to one with their number before any shuffle by range. The rest is dealt by ranges of (key, time,
+    ties, hash of the row) into parts of about ``limit`` rows; a place is what stands before it in its part, plus the
+    key's rows in earlier parts. At last equal rows take consecutive places, at most ``limit`` of them in one task.
+    """
+    order = ["_key", "_null", ts, *ties, "_hash"]
+    counted = (
+        df.filter(F.col(ts).isNotNull())
+        .groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("_c"))
-        .select(key, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+        .withColumn("_hash", F.xxhash64(*columns))
+    )
+    counted = stage(counted, "heavy-rows")
+    parts = max(1, -(-2 * counted.count() // limit))
+    dealt = stage(counted.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "heavy-ranges")
+    whole = ["_key", "_null"]
+    before = Window.partitionBy(*whole).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    offsets = stage(
+        dealt.groupBy(*whole, "_part")
+        .agg(F.sum("_c").alias("_s"))
+        .select(*whole, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")),
+        "heavy-offsets",
     )
-    local = Window.partitionBy(key, "_slice").orderBy(ts, *ties)
+    inside = Window.partitionBy("_part", *whole).orderBy(ts, *ties, "_hash").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.withColumn("_at", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    placed = join_small(first, offsets, [*whole, "_part"], ["_hash"])
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / limit)))
+    spread = placed.withColumn("_run", runs)
+    long_runs = spread.filter(F.col("_c") > limit).repartition("_hash", "_run")
+    single = F.sequence(F.col("_run") * limit + 1, F.least(F.col("_c"), (F.col("_run") + 1) * limit))
     return (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [key, "_slice"])
-        .withColumn("_r", F.col("_local") + F.col("_off"))
-        .drop("_slice", "_local", "_off")
+        spread.filter(F.col("_c") <= limit)
+        .unionByName(long_runs)
+        .withColumn("_i", F.explode(single))
+        .withColumn("_r", F.col("_off") + F.col("_at") + F.col("_i"))
     )
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import values
 
+from cartlens.functions import joins, ranking
 from cartlens.functions.ranking import dense_index, positions_in_time, top_per_group
 from cartlens.operators import splits
 from cartlens.operators.transforms import filter_purchased_items, subsample_views
@@ -27,14 +28,47 @@ def test_share_must_be_inside(frame, share):
         splits.temporal_split_global(frame([], INTER), share)
 
 
-def test_heavy_keys_rank_like_light_ones(frame):
+WIDE = "user_id bigint, item_id bigint, timestamp bigint, note string"
+
+
+def skewed(kind):
+    """A heavy user's rows in one hour, at one time, or without an id; all with nulls, ties and equal rows."""
     rnd = random.Random(3)
-    rows = [(u, i, 1.0, rnd.randrange(40) * 1000 if rnd.random() > 0.1 else None) for u in (1, 2) for i in range(300)]
-    df = frame(rows, INTER)
+    hot = {"hour": lambda: (1, rnd.randrange(9), 3_600_000 + rnd.randrange(50)), "time": lambda: (1, rnd.randrange(300), 7), "null": lambda: (None, rnd.randrange(40), rnd.randrange(10**7)), "equal": lambda: (2, 5, 11)}[kind]
+    rows = [(*hot(), rnd.choice("ab")) for _ in range(400)]
+    rows += [(rnd.choice([3, 4, None]), rnd.randrange(5), rnd.randrange(40) if rnd.random() > 0.1 else None, "c") for _ in range(120)]
+    return rows + [(1, 1, None, "d")] * 3
+
+
+def placed(df):
+    """Places as far as the order decides them: rows that tie get the set of their places."""
+    out = {}
+    for r in df.collect():
+        out.setdefault((r["user_id"], r["timestamp"], r["item_id"]), []).append((r["_r"], r["_n"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("kind", ["hour", "time", "null", "equal"])
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_heavy_keys_rank_like_light_ones(spark, frame, monkeypatch, kind, broadcast_rows):
+    rows = skewed(kind)
+    df = frame(rows, WIDE).repartition(5)
     light = positions_in_time(df, "user_id", "timestamp", ["item_id"])
-    heavy = positions_in_time(df, "user_id", "timestamp", ["item_id"], heavy_rows=10, slice_ms=3000)
-    columns = ["user_id", "item_id", "_n", "_r"]
-    assert values(light, *columns) == values(heavy, *columns)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    heavy = positions_in_time(df, "user_id", "timestamp", ["item_id"], heavy_rows=60)
+    assert placed(heavy) == placed(light)
+    assert values(heavy, *df.columns) == values(light, *df.columns) == sorted((r for r in rows if r[2] is not None), key=lambda t: tuple((v is None, str(type(v)), v) for v in t))
+
+
+def test_parts_of_a_heavy_key_stay_below_the_bound(frame, monkeypatch):
+    """No window over a heavy key's rows is larger than its bound, whatever they share; equal rows count once."""
+    seen = []
+    real = ranking.stage
+    monkeypatch.setattr(ranking, "stage", lambda df, label: seen.append((label, out := real(df, label))) or out)
+    for kind in ("hour", "time", "null", "equal"):
+        positions_in_time(frame(skewed(kind), WIDE), "user_id", "timestamp", ["item_id"], heavy_rows=60).count()
+    parts = [df.groupBy("_part").count().agg(F.max("count")).first()[0] for label, df in seen if label == "heavy-ranges"]
+    assert len(parts) == 4 and max(parts) <= 60
 
 
 @pytest.mark.parametrize("share,cut", [(0.01, 20), (0.99, 20), (0.5, 20)])
