@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from cartlens.catalog.quality import _catalogue
 from cartlens.catalog.registry import query
-from cartlens.config import AlsConfig
+from cartlens.config import PRODUCTION, AlsConfig
 from cartlens.functions.columns import distinct_total
 from cartlens.operators import features, metrics, recommend, rerank, serving, transforms
-from cartlens.operators.als import top_unseen, train_als
+from cartlens.operators.als import FactorModel, top_unseen, train_als
 from cartlens.operators.matrix import build_user_item_matrix
 from cartlens.session import stage
 from cartlens.sources import artifacts
@@ -22,11 +22,11 @@ QUERY_ALS = AlsConfig(factors=16, iterations=5, regularization=0.1, alpha=4.0)
 class Trained:
     """A model fitted on the training side of one folder."""
 
-    def __init__(self, s) -> None:
+    def __init__(self, s, config: AlsConfig = QUERY_ALS) -> None:
         self.s = s
         built = build_user_item_matrix(s.train)
         self.matrix = type(built)(stage(built.coordinates, "coordinates"), built.users, built.items)
-        self.model = train_als(self.matrix.coordinates, QUERY_ALS)
+        self.model = train_als(self.matrix.coordinates, config)
 
     @cached_property
     def lists(self):
@@ -56,6 +56,36 @@ def _shape(lists, train):
     )
 
 
+@query(
+    "planted_top_n",
+    """
+SELECT user_id, item_id, score, rank FROM (
+  SELECT u.user_id, i.item_id, CAST(row_number() OVER (PARTITION BY u.user_id ORDER BY score DESC, i.item_id) AS INTEGER) AS rank, score
+  FROM (SELECT DISTINCT user_id FROM test WHERE user_id IN (SELECT user_id FROM train)) u
+  CROSS JOIN (SELECT DISTINCT item_id FROM train) i
+  CROSS JOIN LATERAL (SELECT ((u.user_id % 5 - 2) * (i.item_id % 7 - 3) + (u.user_id % 11 - 5) * (i.item_id % 13 - 6)
+                              + (u.user_id % 3 - 1) * (i.item_id % 17 - 8))::DOUBLE AS score)
+  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = i.item_id))
+WHERE rank <= 20""",
+)
+def _(s):
+    """Block products and their masks against all pairs, on factors whose scores are whole numbers with many ties."""
+    built = build_user_item_matrix(s.train)
+
+    def factors(ids, key: str, moduli: tuple[int, ...]):
+        vector = F.array(*((F.col(f"{key}_id") % m - m // 2).cast("double") for m in moduli))
+        return ids.select(F.col(f"{key}_idx").alias("idx"), vector.alias("features"))
+
+    planted = FactorModel(factors(built.users, "user", (5, 11, 3)), factors(built.items, "item", (7, 13, 17)))
+    return top_unseen(planted, built, s.test.select("user_id"), recommend.MIN_LIST)
+
+
+@query("als_production_list_shape", _LENGTHS.format(n=20))
+def _(s):
+    """The production setting: 256 factors in 25 iterations."""
+    return _shape(Trained(s, PRODUCTION.als).lists, s.train)
+
+
 @query("als_list_shape", _LENGTHS.format(n=20))
 def _(s):
     return _shape(Trained(s).lists, s.train)
@@ -181,8 +211,8 @@ def _(s):
         "*",
         distinct_total(coordinates, "user_idx").alias("users"),
         distinct_total(coordinates, "item_idx").alias("items"),
-        F.lit(nonzero(model.userFactors)).alias("users_with_factors"),
-        F.lit(nonzero(model.itemFactors)).alias("items_with_factors"),
+        F.lit(nonzero(model.user_factors)).alias("users_with_factors"),
+        F.lit(nonzero(model.item_factors)).alias("items_with_factors"),
     )
 
 
@@ -227,8 +257,8 @@ def _(s):
         "user_item": saved.matrix.coordinates,
         "popular": saved.popular,
         "purchases": saved.purchases,
-        "user_factors": saved.model.userFactors,
-        "item_factors": saved.model.itemFactors,
+        "user_factors": saved.model.user_factors,
+        "item_factors": saved.model.item_factors,
     }
     out = None
     for name, part in parts.items():

@@ -33,7 +33,8 @@ class AlsConfig:
     regularization: float = 0.05
     alpha: float = 2.0
     seed: int = 42
-    blocks: int = 10  # of users and of items; decides the initial factors, so it is not taken from the cluster
+    precision: str = "float64"  # of stored factors; sums are always of doubles
+    block_mb: int = 64  # of factors that one task gathers at most, which bounds the ratings it takes on
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,6 @@ class JobConfig:
 
 PRODUCTION = JobConfig(
     interactions=InteractionConfig(min_user_interactions=5, min_item_interactions=5),
-    als=AlsConfig(factors=256, iterations=25, regularization=0.1, alpha=4.0),
+    als=AlsConfig(factors=256, iterations=25, regularization=0.1, alpha=4.0, precision="float32"),
     rerank=RerankConfig(alpha=0.6, beta=0.4, adaptive=True),
 )

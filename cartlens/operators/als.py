@@ -1,88 +1,335 @@
-"""Implicit-feedback ALS on Spark ML, and exact top-N with seen items left out."""
+"""Implicit-feedback ALS by blocks of ratings, and exact top-N by products of factor blocks.
+
+The objective is the sum over all user-item pairs of c (p - x.y)^2 plus ``regularization`` times the squared norms, with
+c = alpha * |r| for observed pairs, 1 for the others, and p = 1 where r > 0. With Y the other side's factors, a row solves
+(Y'Y + regularization I + sum (c - 1) y y') x = sum c y: one matrix shared by all rows, and a correction per rating.
+
+Ratings are dealt once for each side to blocks of whole rows. A half step sends every factor vector once to each block
+that needs it, not once per rating. A row with more ratings than a block takes is split over blocks; their corrections
+are added in two levels before it is solved. What a task holds is a block's ratings, the vectors they need, and matrices
+of factors x factors. The driver holds at most 64 of those.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.recommendation import ALS, ALSModel
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.config import AlsConfig
+from cartlens.functions.joins import join_small
 from cartlens.functions.ranking import top_per_group
 from cartlens.operators.matrix import UserItemMatrix
-from cartlens.session import stage
+from cartlens.session import remove, ship_package, stage, stage_at
+
+_SPREAD = 64  # partial sums of one matrix, and so the matrices the driver adds up
+_CHUNK_BYTES = 32 << 20  # of normal matrices solved at once
+_SOLVED, _GRAM, _PART = 0, 1, 2
+_STEP = "kind int, idx long, spread int, data binary"
+_STEP_ARROW = pa.schema([("kind", pa.int32()), ("idx", pa.int64()), ("spread", pa.int32()), ("data", pa.binary())])
+
+#: Users and items of one block product: 64 MB of scores.
+USER_BLOCK, ITEM_BLOCK = 2048, 4096
+
+
+@dataclass(frozen=True)
+class FactorModel:
+    user_factors: DataFrame  # idx, features
+    item_factors: DataFrame
+
+
+def _rows(kind: int, idx: np.ndarray, data: list[bytes], spread: int = 0) -> pa.RecordBatch:
+    n = len(idx)
+    arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(idx.astype(np.int64)), pa.array(np.full(n, spread, np.int32)), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, schema=_STEP_ARROW)
+
+
+def _packed(vectors: np.ndarray, precision: str) -> list[bytes]:
+    return [v.tobytes() for v in vectors.astype(precision)]
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width).astype(np.float64, copy=False)
+
 
-MIN_RATING = 1e-3  # least rating a positive observation trains with
-_LARGEST_INDEX = 2**31 - 1
+def _initial(config: AlsConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Small uniform factors from a counter-based hash of seed, index and position, the same on any cluster."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, gram = config.factors, np.zeros((config.factors, config.factors))
+        for batch in batches:
+            idx = batch.column(0).to_numpy()
+            start = np.uint64(config.seed * 0x9E3779B97F4A7C15 % 2**64)
+            x = idx.astype(np.uint64)[:, None] * np.uint64(f) + np.arange(f, dtype=np.uint64) + start
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            vectors = ((x >> np.uint64(11)) * 2.0**-53 * 0.01).astype(config.precision).astype(np.float64)
+            gram += vectors.T @ vectors
+            yield _rows(_SOLVED, idx, _packed(vectors, config.precision))
+        yield _rows(_GRAM, np.zeros(1), [gram.tobytes()])
 
-def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig()) -> ALSModel:
-    """Fit on (user_idx, item_idx, rating).
+    return run
 
-    Spark weighs an observation 1 + alpha * r and takes a rating of 0 for no observation. The intended weight is
-    alpha * r, so ratings shrink by 1 / alpha, which agrees wherever alpha * r >= 1; weaker ones keep MIN_RATING and with
-    it a weight just above 1, so that none leaves training. Spark also scales the regularisation by a row's rating count,
-    so metrics, not factors, are comparable with other solvers. Factor blocks, which decide the initial factors, come
-    from the settings. Indexes beyond 32 bits, which Spark ML cannot hold, are refused before training.
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One row for a block: its rows, the end of each, and for every rating the place of its vector among the needed."""
+    row, col, rating = (table.column(c).to_numpy() for c in ("row", "col", "rating"))
+    order = np.lexsort((col, row))
+    rows, counts = np.unique(row, return_counts=True)
+    needs, at = np.unique(col[order], return_inverse=True)
+    binary = [pa.array([x.tobytes()], pa.binary()) for x in (rows, np.cumsum(counts), at.astype(np.int32), rating[order])]
+    return pa.table([table.column("block")[:1], *binary, pa.array([needs], pa.list_(pa.int64()))], names=["block", "rows", "ends", "at", "ratings", "needs"])
+
+
+def _blocks(pairs: DataFrame, row: str, col: str, total: int, config: AlsConfig) -> tuple[DataFrame, int, bool]:
+    """The side's packed blocks, their number, and whether rows are split. Split rows' blocks have negative numbers."""
+    limit = max(1, config.block_mb * (1 << 20) // (8 * config.factors))
+    n_blocks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
+    sides = pairs.select(F.col(row).alias("row"), F.col(col).alias("col"), "rating")
+    sizes = sides.groupBy("row").agg(F.count(F.lit(1)).alias("_n"))
+    hot = stage(sizes.filter(F.col("_n") > limit).select("row", F.ceil(F.col("_n") / limit).alias("_parts")), "split-rows")
+    split = not hot.isEmpty()
+    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks))
+    if split:
+        part = F.pmod(F.xxhash64("col"), F.col("_parts"))
+        own = -F.shiftrightunsigned(F.xxhash64("row", part), 1) - 1
+        sides = join_small(sides, hot, ["row"], ["col"], "left")
+        block = F.when(F.col("_parts").isNull(), block).otherwise(own)
+    dealt = sides.select(block.alias("block"), "row", "col", "rating")
+    schema = "block long, rows binary, ends binary, at binary, ratings binary, needs array<long>"
+    return stage(dealt.groupBy("block").applyInArrow(_pack, schema), f"blocks-{row}"), n_blocks, split
+
+
+def _solved(base: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(base, right[..., None])[..., 0]
+
+
+def _half_step(gram: np.ndarray, config: AlsConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Solve the rows of a block, or give the partial sums of split ones.
+
+    Rows of equal length are worked out together. With B = Y'Y + regularization I, a row of n < f ratings with vectors V,
+    corrections D = diag(c - 1) and targets t is V B^-1 applied to the s of (I + D V B^-1 V') s = t: a system of n, not f.
     """
-    largest = coordinates.agg(F.greatest(F.max("user_idx"), F.max("item_idx")).alias("most")).first()["most"]
-    if largest is not None and largest > _LARGEST_INDEX:
-        raise ValueError(f"index {largest} is beyond what the factor model can hold ({_LARGEST_INDEX})")
-    shifted = F.greatest(F.col("rating") - F.lit(1.0 / config.alpha), F.lit(MIN_RATING))
-    ratings = coordinates.select(
-        F.col("user_idx").cast("int").alias("user_idx"),
-        F.col("item_idx").cast("int").alias("item_idx"),
-        F.when(F.col("rating") > 0, shifted).otherwise(F.lit(0.0)).cast("float").alias("rating"),
-    )
-    als = ALS(
-        rank=config.factors,
-        maxIter=config.iterations,
-        regParam=config.regularization,
-        alpha=config.alpha,
-        seed=config.seed,
-        implicitPrefs=True,
-        userCol="user_idx",
-        itemCol="item_idx",
-        ratingCol="rating",
-        coldStartStrategy="drop",
-        numUserBlocks=config.blocks,
-        numItemBlocks=config.blocks,
-        intermediateStorageLevel="MEMORY_AND_DISK",
-        finalStorageLevel="MEMORY_AND_DISK",
+    f = config.factors
+    base = gram + config.regularization * np.eye(f)
+
+    def run(block: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not block.num_rows or not vectors.num_rows:
+            return _STEP_ARROW.empty_table()
+        number = block.column("block")[0].as_py()
+        rows, ends, at, ratings = (
+            np.frombuffer(block.column(c)[0].as_py(), kind)
+            for c, kind in (("rows", np.int64), ("ends", np.int64), ("at", np.int32), ("ratings", np.float64))
+        )
+        other = _unpacked(vectors.column("data"), config.precision, f)[np.argsort(vectors.column("idx").to_numpy())]
+        weight = config.alpha * np.abs(ratings)
+        target = np.where(ratings > 0, weight, 0.0)
+        starts = np.concatenate([[0], ends[:-1]])
+        spread, out, total = number % _SPREAD, [], np.zeros((f, f))
+        counts = ends - starts
+        whole = number >= 0
+        short = whole & (config.regularization > 0) & (counts < f)
+        times_inverse = np.linalg.solve(base, other.T).T if short.any() else other
+        for n in np.unique(counts).tolist():
+            same = np.flatnonzero(counts == n)
+            chunk = max(1, _CHUNK_BYTES // (8 * (2 * n * f + max(n * n, f * f))))
+            for i in range(0, len(same), chunk):
+                here = same[i : i + chunk]
+                mine = starts[here][:, None] + np.arange(n)
+                v, d, t = other[at[mine]], weight[mine][..., None] - 1.0, target[mine]
+                if short[here[0]]:
+                    w = times_inverse[at[mine]]
+                    share = _solved(np.eye(n) + d * np.matmul(w, v.transpose(0, 2, 1)), t)
+                    found = np.matmul(share[:, None], w)[:, 0]
+                else:
+                    left, right = np.matmul((v * d).transpose(0, 2, 1), v), np.matmul(t[:, None], v)[:, 0]
+                    if not whole:
+                        sums = [x.tobytes() + y.tobytes() for x, y in zip(left, right, strict=True)]
+                        out.append(_rows(_PART, rows[here], sums, spread))
+                        continue
+                    found = _solved(left + base, right)
+                found = found.astype(config.precision).astype(np.float64)
+                total += found.T @ found
+                out.append(_rows(_SOLVED, rows[here], _packed(found, config.precision)))
+        if whole:
+            out.append(_rows(_GRAM, np.array([number]), [total.tobytes()], spread))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of the group's matrices, as a row like its first."""
+    total: np.ndarray | int = 0
+    for data in table.column("data"):
+        total = total + np.frombuffer(data.as_py(), np.float64)
+    return table.slice(0, 1).set_column(3, "data", pa.array([total.tobytes()], pa.binary()))
+
+
+def _joined(gram: np.ndarray, config: AlsConfig) -> Callable[[pa.Table], pa.Table]:
+    """Add up the parts of a split row and solve it."""
+    f = config.factors
+    base = gram + config.regularization * np.eye(f)
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(_added(table).column("data")[0].as_py(), np.float64)
+        x = _solved((total[: f * f].reshape(f, f) + base)[None], total[None, f * f :]).astype(config.precision).astype(np.float64)
+        idx = np.array([table.column("idx")[0].as_py()])
+        return pa.Table.from_batches([_rows(_SOLVED, idx, _packed(x, config.precision)), _rows(_GRAM, idx, [(x.T @ x).tobytes()], int(idx[0] % _SPREAD))])
+
+    return run
+
+
+def _gram(step: DataFrame, parts: int, config: AlsConfig) -> np.ndarray:
+    """The factors' Gram matrix: partial ones of tasks and blocks, added in tasks first if there are many."""
+    rows = step.filter(F.col("kind") == _GRAM)
+    if parts > _SPREAD:
+        rows = rows.groupBy("spread").applyInArrow(_added, _STEP)
+    total = np.zeros(config.factors**2)
+    for row in sorted(rows.collect(), key=lambda r: (r["spread"], r["idx"])):  # _SPREAD matrices at most
+        total += np.frombuffer(row["data"], np.float64)
+    return total.reshape(config.factors, config.factors)
+
+
+def _update(step: DataFrame, gram: np.ndarray, side: tuple[DataFrame, int, bool], config: AlsConfig) -> tuple[DataFrame, list[str], np.ndarray]:
+    """One side's factors from the other's: the written step, its folders, and its Gram matrix."""
+    blocks, n_blocks, split = side
+    factors = step.filter(F.col("kind") == _SOLVED).select("idx", "data")
+    sent = blocks.select(F.col("block").alias("to"), F.explode("needs").alias("idx")).join(factors, "idx")
+    solved = blocks.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(_half_step(gram, config), _STEP)
+    new, folder = stage_at(solved, "factors")
+    folders = [folder]
+    if split:
+        parts = new.filter(F.col("kind") == _PART).groupBy("idx", "spread").applyInArrow(_added, _STEP)
+        rest, folder = stage_at(parts.groupBy("idx").applyInArrow(_joined(gram, config), _STEP), "split-factors")
+        new, folders = new.filter(F.col("kind") != _PART).unionByName(rest), [*folders, folder]
+        n_blocks = _SPREAD + 1  # one partial matrix for every split row
+    return new, folders, _gram(new, n_blocks, config)
+
+
+def _features(step: DataFrame, config: AlsConfig, label: str) -> DataFrame:
+    kind = "float" if config.precision == "float32" else "double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = pa.array(np.frombuffer(b"".join(batch.column("data").to_pylist()), config.precision))
+            ends = np.arange(0, len(flat) + 1, config.factors, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.ListArray.from_arrays(ends, flat)], ["idx", "features"])
+
+    solved = step.filter(F.col("kind") == _SOLVED).select("idx", "data")
+    return stage(solved.mapInArrow(run, f"idx long, features array<{kind}>"), label)
+
+
+def train_als(coordinates: DataFrame, config: AlsConfig = AlsConfig()) -> FactorModel:
+    """Fit on (user_idx, item_idx, rating), one row per pair; a rating of 0 is no observation, a negative one a dislike.
+
+    One seed gives one model on any cluster, up to the order of sums. No observation leaves training however weak.
+    """
+    ship_package(coordinates.sparkSession)
+    pairs = stage(
+        coordinates.filter("rating <> 0").select(*(F.col(c).cast("long").alias(c) for c in ("user_idx", "item_idx")), F.col("rating").cast("double").alias("rating")),
+        "pairs",
     )
-    return als.fit(ratings)
+    total = pairs.count()
+    users, items = _blocks(pairs, "user_idx", "item_idx", total, config), _blocks(pairs, "item_idx", "user_idx", total, config)
+    start = pairs.select("item_idx").distinct().mapInArrow(_initial(config), _STEP)
+    right, old = stage_at(start, "factors")
+    gram, old = _gram(right, right.filter(F.col("kind") == _GRAM).count(), config), [old]
+    left = right.limit(0)
+    for _ in range(config.iterations):
+        left, left_folders, gram = _update(right, gram, users, config)
+        right, right_folders, gram = _update(left, gram, items, config)
+        for folder in old:
+            remove(pairs.sparkSession, folder)
+        old = [*left_folders, *right_folders]
+    model = FactorModel(_features(left, config, "user-factors"), _features(right, config, "item-factors"))
+    for folder in old:
+        remove(pairs.sparkSession, folder)
+    return model
+
+
+def _best(n: int, width: int, dtype: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Each user's n best items of a block that are not among the seen; equal scores in the order of the index."""
+    schema = pa.schema([("user_idx", pa.int64()), ("item_idx", pa.int64()), ("score", pa.float64())])
+
+    def run(sides: pa.Table, seen: pa.Table) -> pa.Table:
+        found = {}
+        for row in sides.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            order = np.argsort(ids)
+            found[row["side"]] = ids[order], np.frombuffer(row["data"], dtype).reshape(-1, width)[order].astype(np.float64)
+        if len(found) < 2:
+            return schema.empty_table()
+        (users, x), (items, y) = found["user"], found["item"]
+        scores = x @ y.T
+        pair = [column.to_numpy() for column in (seen.column("user_idx"), seen.column("item_idx"))]
+        place = [np.minimum(np.searchsorted(ids, p), len(ids) - 1) for ids, p in zip((users, items), pair, strict=True)]
+        known = (users[place[0]] == pair[0]) & (items[place[1]] == pair[1])
+        scores[place[0][known], place[1][known]] = -np.inf
+        wanted = np.isfinite(scores)
+        if n < len(items):
+            least = np.partition(scores, len(items) - n, axis=1)[:, [len(items) - n]]
+            above, level = scores > least, scores == least
+            room = n - above.sum(1, keepdims=True)
+            tied = np.flatnonzero(level.sum(1) > room[:, 0])
+            level[tied] &= np.cumsum(level[tied], axis=1) <= room[tied]
+            wanted &= above | level
+        u, i = np.nonzero(wanted)
+        return pa.table([pa.array(users[u]), pa.array(items[i]), pa.array(scores[u, i])], schema=schema)
 
+    return run
 
-def top_unseen_by_index(model: ALSModel, coordinates: DataFrame, users: DataFrame, n: int) -> DataFrame:
+
+def _blob(side: str) -> Callable[[pa.Table], pa.Table]:
+    """A block's factors as one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        features = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids = table.column("idx").to_numpy()
+        made = [pa.array([side]), table.column("block")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in (ids, features))]
+        return pa.table(made, names=["side", "block", "ids", "data"])
+
+    return run
+
+
+def top_unseen_by_index(model: FactorModel, coordinates: DataFrame, users: DataFrame, n: int) -> DataFrame:
     """(user_idx, item_idx, score, rank): n best items per user outside the user's coordinates.
 
-    Users whose histories lie between the same powers of two are scored together, for n plus the largest history among
-    them; so a list is asked for at most twice as many seen items as its user has, and all scores come from one path.
+    The listed users, in blocks, are multiplied with all items, in blocks; pairs a user has seen are masked inside the
+    product, so nothing is scored beyond n and nothing is taken out afterwards. Blocks meet by their numbers in one
+    exchange together with the seen pairs of the two blocks; a user's best n of all blocks are merged at last.
     """
-    wanted = users.select("user_idx").distinct()
-    seen = coordinates.select("user_idx", "item_idx").join(wanted, "user_idx", "left_semi")
-    sizes = seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_seen"))
-    group = F.ceil(F.log2(F.greatest(F.col("n_seen"), F.lit(32)))).cast("int")
-    profile = stage(
-        wanted.join(sizes, "user_idx", "left").fillna({"n_seen": 0}).withColumn("seen_group", group), "seen-sizes"
+    ship_package(coordinates.sparkSession)
+    wanted = stage(users.select(F.col("user_idx").cast("long").alias("user_idx")).distinct(), "wanted")
+    n_blocks = max(1, -(-wanted.count() // USER_BLOCK))
+    user_block = F.pmod(F.xxhash64("user_idx"), F.lit(n_blocks))
+    item_block = F.floor(F.col("item_idx") / ITEM_BLOCK)
+    blob = "side string, block long, ids binary, data binary"
+    people = model.user_factors.join(wanted.withColumnRenamed("user_idx", "idx"), "idx", "left_semi").withColumnRenamed("idx", "user_idx")
+    left = people.select(user_block.alias("block"), F.col("user_idx").alias("idx"), "features").groupBy("block").applyInArrow(_blob("user"), blob)
+    things = model.item_factors.withColumnRenamed("idx", "item_idx")
+    right = stage(things.select(item_block.alias("block"), F.col("item_idx").alias("idx"), "features").groupBy("block").applyInArrow(_blob("item"), blob), "item-blocks")
+    last = right.agg(F.max("block").alias("b")).first()["b"]
+    each = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    columns = "side", "ids", "data", "user_block", "item_block"
+    sides = left.withColumnRenamed("block", "user_block").withColumn("item_block", each(last or 0)).select(*columns).unionByName(
+        right.withColumnRenamed("block", "item_block").withColumn("user_block", each(n_blocks - 1)).select(*columns)
     )
-    largest = {
-        row["seen_group"]: row["most"] for row in profile.groupBy("seen_group").agg(F.max("n_seen").alias("most")).collect()
-    }
-    candidates = None
-    for i, most in sorted(largest.items()):  # at most one group per power of two
-        members = profile.filter(F.col("seen_group") == i).select(F.col("user_idx").cast("int").alias("user_idx"))
-        listed = model.recommendForUserSubset(members, n + int(most)).select(
-            "user_idx", F.explode("recommendations").alias("r")
-        )
-        part = listed.select("user_idx", F.col("r.item_idx").alias("item_idx"), F.col("r.rating").cast("double").alias("score"))
-        candidates = part if candidates is None else candidates.unionByName(part)
-    if candidates is None:
-        return profile.select("user_idx", F.col("user_idx").alias("item_idx"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    fresh = candidates.join(seen, ["user_idx", "item_idx"], "left_anti")
-    return top_per_group(fresh, ["user_idx"], [F.desc("score"), F.asc("item_idx")], n, "rank")
+    seen = coordinates.select(*(F.col(c).cast("long").alias(c) for c in ("user_idx", "item_idx"))).join(wanted, "user_idx", "left_semi")
+    seen = seen.select("user_idx", "item_idx", user_block.alias("ub"), item_block.alias("ib"))
+    element = model.item_factors.schema["features"].dataType.elementType.simpleString()
+    size = model.item_factors.select(F.size("features").alias("n")).first()
+    best = _best(n, size["n"] if size else 1, "float32" if element == "float" else "float64")
+    listed = sides.groupBy("user_block", "item_block").cogroup(seen.groupBy("ub", "ib")).applyInArrow(best, "user_idx long, item_idx long, score double")
+    return top_per_group(listed, ["user_idx"], [F.desc("score"), F.asc("item_idx")], n, "rank")
 
 
-def top_unseen(model: ALSModel, matrix: UserItemMatrix, users: DataFrame, n: int) -> DataFrame:
+def top_unseen(model: FactorModel, matrix: UserItemMatrix, users: DataFrame, n: int) -> DataFrame:
     """(user_id, item_id, score, rank) for the given user ids that the model knows."""
     known = matrix.users.join(users.select("user_id").distinct(), "user_id", "left_semi")
     ranked = top_unseen_by_index(model, matrix.coordinates, known, n)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.operators.als import top_unseen
+from cartlens.operators.als import FactorModel, top_unseen
 from cartlens.operators.matrix import UserItemMatrix
 from cartlens.operators.popular import popular_by_user_categories, popular_for_users
 
@@ -21,7 +20,7 @@ def warm_cold_users(test: DataFrame, known_users: DataFrame) -> tuple[DataFrame,
 
 
 def als_recommendations(
-    model: ALSModel, matrix: UserItemMatrix, test: DataFrame, eval_k: int, least: int = MIN_LIST
+    model: FactorModel, matrix: UserItemMatrix, test: DataFrame, eval_k: int, least: int = MIN_LIST
 ) -> DataFrame:
     warm, _ = warm_cold_users(test, matrix.users)
     return top_unseen(model, matrix, warm, max(eval_k, least)).select("user_id", "item_id", "rank")
@@ -40,7 +39,7 @@ def cold_recommendations(
 
 
 def generate_recommendations(
-    model: ALSModel,
+    model: FactorModel,
     matrix: UserItemMatrix,
     test: DataFrame,
     popular: DataFrame,

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,20 +71,39 @@ def cleans_up(job: Callable) -> Callable:
             return job(spark, *args, **kwargs)
         finally:
             _run.reset(token)
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # any file system Spark can write
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, folder)
 
     return run
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on any file system Spark can write."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it; clusters get it by --py-files."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several branches read the same expensive result. The files outlive lost executors, cut the lineage,
     and unlike a row checkpoint keep column pruning and filter pushdown for the readers.
     """
+    return stage_at(df, label)[0]
+
+
+def stage_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Like ``stage``, with the folder, for loops that remove what they have read for the last time."""
     spark = df.sparkSession
     folder = _run.get() or f"{shared_folder(spark).rstrip('/')}/cartlens"
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path

@@ -10,11 +10,11 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.functions.columns import require_columns
+from cartlens.operators.als import FactorModel
 from cartlens.operators.matrix import UserItemMatrix
 
 logger = logging.getLogger(__name__)
@@ -107,7 +107,7 @@ def save_artifact_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[s
 
 @dataclass(frozen=True)
 class ModelArtifacts:
-    model: ALSModel
+    model: FactorModel
     matrix: UserItemMatrix
     popular: DataFrame
     purchases: DataFrame | None
@@ -116,18 +116,24 @@ class ModelArtifacts:
 
 def save_model_artifacts(
     folder: str,
-    model: ALSModel,
+    model: FactorModel,
     matrix: UserItemMatrix,
     popular: DataFrame,
     params: Mapping[str, Any],
     purchases: DataFrame | None = None,
 ) -> None:
-    """Model, coordinates, both id mappings and the popular list as tables; parameters and shapes as one JSON row.
+    """Factors, coordinates, both id mappings and the popular list as tables; parameters and shapes as one JSON row.
 
     Purchases are written only when there are any.
     """
-    model.write().overwrite().save(f"{folder}/als_model")
-    tables = {"user_item": matrix.coordinates, "user_index": matrix.users, "item_index": matrix.items, "popular": popular}
+    tables = {
+        "user_factors": model.user_factors,
+        "item_factors": model.item_factors,
+        "user_item": matrix.coordinates,
+        "user_index": matrix.users,
+        "item_index": matrix.items,
+        "popular": popular,
+    }
     if purchases is not None and not purchases.isEmpty():
         tables["user_purchases"] = purchases
     paths = save_artifact_tables(tables, folder)
@@ -146,7 +152,7 @@ def load_model_artifacts(spark: SparkSession, folder: str) -> ModelArtifacts:
         return spark.read.parquet(_table(folder, name))
 
     return ModelArtifacts(
-        model=ALSModel.load(f"{folder}/als_model"),
+        model=FactorModel(read("user_factors"), read("item_factors")),
         matrix=UserItemMatrix(read("user_item"), read("user_index"), read("item_index")),
         popular=read("popular"),
         purchases=read("user_purchases") if metadata["has_purchases"] else None,

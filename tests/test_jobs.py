@@ -7,7 +7,7 @@ import pytest
 
 from cartlens import __main__ as command
 from cartlens.config import AlsConfig, EvalConfig, InteractionConfig, JobConfig
-from cartlens.operators import als, matrix, popular
+from cartlens.operators import popular
 from cartlens.plans import jobs
 from cartlens.session import shared_folder
 from cartlens.sources import artifacts, readers
@@ -131,38 +131,6 @@ def test_ab_report(spark, tmp_path):
     assert artifacts.load_json(spark, f"{tmp_path}/report.json")["comparison"] == report["comparison"]
 
 
-def test_long_histories_get_exact_lists(spark, frame, monkeypatch):
-    """Lists of users on either side of the group bounds equal a full product of the factors without the seen items."""
-    sizes = {1: 31, 2: 32, 3: 33, 4: 127, 5: 128, 6: 129, 7: 200, 8: 1}
-    rows = [(u, i, float(1 + (u * i) % 5)) for u, n in sizes.items() for i in range(1, n + 1)]
-    rows += [(9, i, 1.0) for i in range(1, 260, 7)]
-    built = matrix.build_user_item_matrix(frame(rows, "user_id bigint, item_id bigint, rating double"))
-    model = als.train_als(built.coordinates, AlsConfig(factors=6, iterations=4))
-    got = {}
-    for r in als.top_unseen(model, built, built.users.select("user_id"), 5).collect():
-        got.setdefault(r["user_id"], []).append((r["rank"], r["item_id"], r["score"]))
-    users = {r["user_idx"]: r["user_id"] for r in built.users.collect()}
-    items = {r["item_idx"]: r["item_id"] for r in built.items.collect()}
-    left = {users[r["id"]]: np.array(r["features"]) for r in model.userFactors.collect()}
-    right = {items[r["id"]]: np.array(r["features"]) for r in model.itemFactors.collect()}
-    seen = {(u, i) for u, i, _ in rows}
-    for u, vector in left.items():
-        scores = sorted(((float(vector @ f), i) for i, f in right.items() if (u, i) not in seen), reverse=True)[:5]
-        assert [s for s, _ in scores] == pytest.approx([s for _, _, s in sorted(got[u])], abs=1e-5)
-        assert not seen & {(u, i) for _, i, _ in got[u]}
-
-
-def test_weak_observations_stay_in_training(frame):
-    """Pairs whose decayed rating is below 1 / alpha keep factors, and their items can be recommended."""
-    rows = [(u, i, 0.01 if i > 6 else 2.0) for u in range(1, 9) for i in range(1, 10) if (u + i) % 3]
-    built = matrix.build_user_item_matrix(frame(rows, "user_id bigint, item_id bigint, rating double"))
-    model = als.train_als(built.coordinates, AlsConfig(factors=4, iterations=5, alpha=4.0))
-    norms = [float(np.linalg.norm(r["features"])) for r in model.itemFactors.collect()]
-    assert len(norms) == 9 and min(norms) > 0.01
-    with pytest.raises(ValueError, match="beyond"):
-        als.train_als(frame([(2**31, 0, 1.0)], "user_idx bigint, item_idx bigint, rating double"))
-
-
 def test_artifact_cache_sees_rewritten_tables(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.range(3).write.parquet(path)
