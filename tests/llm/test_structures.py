@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from cartlens.llm import alignment, mixing, queries, small, trie
+from cartlens.functions import joins
+from cartlens.llm import alignment, mixing, queries, trie
 from cartlens.llm.queries_alignment import vocabularies
 from cartlens.llm.queries_trie import rebuilt
 from samples import corpus, docs, empty, rows  # noqa: F401  fixtures
@@ -185,7 +186,7 @@ def test_mix_beyond_the_broadcast_bound(spark, monkeypatch):
     weights = mixing.cyclic_weights(df, [2, 5])
     key = lambda r: tuple(str(r[c]) for c in sorted(r.asDict()))
     want = sorted(map(key, mixing.mix(df, weights).collect()))
-    monkeypatch.setattr(small, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert sorted(map(key, mixing.mix(df, weights).collect())) == want
 
 
