@@ -1,7 +1,10 @@
 """Exploratory aggregates."""
 
+from pyspark.sql import functions as F
+
+from cartlens.catalog.files import new_folder
 from cartlens.catalog.registry import query
-from cartlens.operators import eda, features
+from cartlens.operators import eda, features, sketches
 
 
 @query(
@@ -164,3 +167,19 @@ def _(s):
 )
 def _(s):
     return eda.top_categories(features.category_stats(s.events, s.categories))
+
+
+@query(
+    "category_audience_from_sketches",
+    "SELECT category_id, n_events, true AS users_near, true AS items_near FROM cat_stats",
+)
+def _(s):
+    """Users and items of categories from monthly sketches, saved in two halves and the second one twice, within 5 %."""
+    folder, events = new_folder(s, "audience"), s.stored_events
+    early = F.floor(F.col("timestamp") / (30 * 86_400_000)) % 2 == 0
+    for half in (early, ~early, ~early):
+        sketches.save_spans(sketches.audience_sketches(events.filter(half), s.categories, span_days=30), folder)
+    found = sketches.audience(s.spark.read.parquet(folder))
+    exact = s.category_stats.select("category_id", F.col("n_users").alias("u"), F.col("n_items").alias("i"))
+    near = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05)
+    return found.join(exact, "category_id").select("category_id", "n_events", near("n_users", "u").alias("users_near"), near("n_items", "i").alias("items_near"))

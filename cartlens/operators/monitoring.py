@@ -7,6 +7,8 @@ watermark first. A rate is a count over the window's seconds, without counter-re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +46,28 @@ def _start() -> Column:
     return F.unix_millis("w.start").alias("window_start_ms")
 
 
+def _window_sums(log: DataFrame, width_s: int, slide_s: int | None, sums: list[Column]) -> DataFrame:
+    """window_start_ms and sums per window. Sliding windows add up panes, so no row of the log is copied.
+
+    A stream keeps Spark's sliding window, whose result can also be updated before it is final.
+    """
+    if slide_s is None or slide_s == width_s or log.isStreaming:
+        windows = _windowed(log, width_s, slide_s).agg(*sums)
+        return windows.select(_start(), *[c for c in windows.columns if c != "w"])
+    panes = _windowed(log, math.gcd(width_s, slide_s)).agg(*sums)
+    names = [c for c in panes.columns if c != "w"]
+    width, slide = F.lit(width_s * 1000), F.lit(slide_s * 1000)
+    at = F.unix_millis("w.start")
+    first, last = (F.floor((at - width) / slide) + 1) * slide, F.floor(at / slide) * slide
+    starts = panes.select(F.explode(F.sequence(first, last, slide.cast("long"))).alias("window_start_ms"), *names)
+    return starts.groupBy("window_start_ms").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def request_rates(log: DataFrame, width_s: int = RATE_WINDOW_S, slide_s: int | None = 60) -> DataFrame:
     """Requests and re-ranked answers per second."""
-    counts = _windowed(log, width_s, slide_s).agg(
-        F.count(F.lit(1)).alias("requests"),
-        _n(_event("impression") & (F.col("model_type") == "rerank")).alias("reranks"),
-    )
-    return counts.select(
-        _start(),
+    sums = [F.count(F.lit(1)).alias("requests"), _n(_event("impression") & (F.col("model_type") == "rerank")).alias("reranks")]
+    return _window_sums(log, width_s, slide_s, sums).select(
+        "window_start_ms",
         "requests",
         (F.col("requests") / width_s).alias("request_rate"),
         (F.col("reranks") / width_s).alias("rerank_rate"),
@@ -60,16 +76,16 @@ def request_rates(log: DataFrame, width_s: int = RATE_WINDOW_S, slide_s: int | N
 
 def business_rates(log: DataFrame, width_s: int = RATE_WINDOW_S, slide_s: int | None = 60) -> DataFrame:
     """Click, conversion and cart rates per request, and revenue per second."""
-    counts = _windowed(log, width_s, slide_s).agg(
+    sums = [
         F.count(F.lit(1)).alias("requests"),
         _n(_event("click")).alias("clicks"),
         _n(_event("transaction")).alias("transactions"),
         _n(_event("addtocart")).alias("addtocart"),
         F.coalesce(F.sum(F.when(_event("transaction"), F.col("revenue"))), F.lit(0.0)).alias("revenue"),
-    )
+    ]
     requests = F.col("requests")
-    return counts.select(
-        _start(),
+    return _window_sums(log, width_s, slide_s, sums).select(
+        "window_start_ms",
         "requests",
         ratio(F.col("clicks"), requests).alias("request_ctr"),
         ratio(F.col("transactions"), requests).alias("request_conversion"),
