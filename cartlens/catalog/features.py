@@ -74,14 +74,14 @@ def _(s):
     return f.item_popularity(s.events)
 
 
-@query(
-    "item_metadata",
-    """
+_METADATA = """
 SELECT c.item_id, c.category_id, l.level, a.available_value, coalesce(p.n_events, 0) AS n_events,
        coalesce(p.n_users, 0) AS n_users, round(coalesce(p.weighted_score, 0.0), 6) AS weighted_score
 FROM item_categories c LEFT JOIN tree_levels l ON l.category_id = c.category_id
-LEFT JOIN item_available a ON a.item_id = c.item_id LEFT JOIN item_pop p ON p.item_id = c.item_id""",
-)
+LEFT JOIN item_available a ON a.item_id = c.item_id LEFT JOIN item_pop p ON p.item_id = c.item_id"""
+
+
+@query("item_metadata", _METADATA)
 def _(s):
     return f.item_metadata(
         s.categories, f.category_levels(s.tree), f.item_availability(s.properties), f.item_popularity(s.events)

@@ -105,6 +105,11 @@ def category_stats(events: DataFrame, categories: DataFrame, approximate: bool =
     are combined before any shuffle by category. Users and items are counted in grouped steps of their own.
     """
     pairs = events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
+    return category_stats_of_pairs(pairs, categories, events.select("item_id").distinct(), approximate)
+
+
+def category_stats_of_pairs(pairs: DataFrame, categories: DataFrame, seen: DataFrame, approximate: bool = False) -> DataFrame:
+    """The same from (user_id, item_id, _n) and the items seen."""
     known = categories.filter(F.col("category_id").isNotNull()).select("item_id", "category_id")
     categorised = pairs.join(known, "item_id")
     if approximate:
@@ -114,7 +119,6 @@ def category_stats(events: DataFrame, categories: DataFrame, approximate: bool =
     else:
         per_user = categorised.groupBy("category_id", "user_id").agg(F.sum("_n").alias("_n"))
         users = per_user.groupBy("category_id").agg(F.sum("_n").alias("n_events"), F.count("user_id").alias("n_users"))
-    seen = events.select("item_id").distinct()
     items = known.distinct().join(seen, "item_id", "left_semi").groupBy("category_id").agg(F.count("item_id").alias("n_items"))
     return users.join(items, "category_id").select("category_id", "n_events", "n_users", "n_items")
 
@@ -124,6 +128,10 @@ def item_popularity(events: DataFrame, weights: EventWeights = EventWeights()) -
     pairs = events.groupBy("item_id", "user_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(event_weight("event", weights)).alias("_w")
     )
+    return popularity_of_pairs(pairs)
+
+
+def popularity_of_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("item_id").agg(
         F.sum("_n").alias("n_events"), F.count("user_id").alias("n_users"), F.sum("_w").alias("weighted_score")
     )

@@ -82,6 +82,11 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it; clusters get it by --py-files."""
     root = str(Path(__file__).resolve().parents[1])

@@ -43,13 +43,12 @@ def load_artifact_cached(spark: SparkSession, path: str) -> DataFrame:
 
     An entry belongs to one application and to the files it was read from: a rewritten table is read anew.
     """
-    fresh = spark.read.parquet(path)
-    files = _files(fresh)
+    files = _files(spark, path)
     key = (spark.sparkContext.applicationId, path)
     if key in _cache and _cache[key][0] != files:
         _cache.pop(key)[1].unpersist()
     if key not in _cache:
-        _cache[key] = (files, fresh.cache())
+        _cache[key] = (files, spark.read.parquet(path).cache())
     _cache.move_to_end(key)
     while len(_cache) > CACHE_SIZE:
         (application, _), (_, oldest) = _cache.popitem(last=False)
@@ -58,10 +57,10 @@ def load_artifact_cached(spark: SparkSession, path: str) -> DataFrame:
     return _cache[key][1]
 
 
-def _files(table: DataFrame) -> _Files:
-    """Number of a table's files, and a digest of their names, sizes and times of change."""
-    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    names = table.select(F.to_json(file).alias("f")).distinct()
+def _files(spark: SparkSession, path: str) -> _Files:
+    """Number of a table's files, and a digest of their names, sizes and times of change. Files are listed, not read."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    names = listed.select(F.to_json(F.struct("*")).alias("f"))
     row = names.agg(F.count("f").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("f")), " ")).alias("d")).first()
     return row["n"], row["d"]
 

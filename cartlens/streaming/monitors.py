@@ -103,16 +103,15 @@ def write_closed_windows(
 
 
 def write_dashboard(
-    result: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds"
+    result: DataFrame,
+    publish: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    every: str = "10 seconds",
+    available_now: bool = False,
 ) -> StreamingQuery:
     """Hand changed windows to ``publish(batch, batch_id)`` in update mode, for sinks that replace rows by key."""
-    return (
-        result.writeStream.outputMode("update")
-        .foreachBatch(publish)
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=every)
-        .start()
-    )
+    writer = result.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def split_business_events(
