@@ -14,12 +14,13 @@ which is a Jaccard similarity of 3/4. Documents with equal sets are one node.
    narrower ones. Two bitmaps differ in at most as many bits as their sets differ in elements, so a pair with more than
    (n + m) / 7 differing bits is out.
 4. Exact test by intersection of the sorted hash arrays, computed again from the texts of the sets still in question.
-   Each set is first tested against its smallest partner; pairs that this leaves in different components follow.
-5. What the first links join needs no further test. Sets of one frequent element that are still in different components
-   are compared in tiles: the sets outside the element's largest component, ordered by size and cut into bands of BAND,
-   against the bands of all its sets whose sizes can reach 3/4, by the bitmap bound and then the exact test. So a family
-   that hangs together costs one test per member and element, not one per pair. Sets that share frequent elements and
-   link with nothing are all outside; those of like size are compared pair by pair.
+   Each set is first tested against its smallest partner. What these links join needs no further test; pairs that
+   this leaves in different components follow.
+5. Sets of one frequent element that are still in different components are compared in tiles: the sets outside the
+   element's largest component, ordered by size and cut into bands of BAND, against the bands of all its sets whose sizes
+   can reach 3/4, by the places of the element, the bitmap bound and then the exact test. So a family that hangs together
+   costs one test per member and element, not one per pair. Sets that share frequent elements and link with nothing are
+   all outside; those of like size are compared pair by pair.
 
 A document without words has the empty set and links with nothing; with fewer words than a shingle, its set is the
 whole sequence. A null text counts as empty, a null id keeps a null component.
@@ -36,19 +37,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, prefix_hash, ranges, span_hash, word_hashes, words
-from cartlens.llm.components import components
+from cartlens.llm.components import SMALL, components, extended, slim, with_components
 from cartlens.llm.packs import CHUNK_BYTES, frequent, marked
 from cartlens.llm.windows import window_starts
 from cartlens.session import stage
 
 #: Bounds of a bitmap's width; within them it follows the set's size.
 MIN_BITS, MAX_BITS = 256, 1 << 17
-#: Sets that share an element and are compared pair by pair at once.
-TILE = 256
+#: Sets that share an element and give all their pairs at once.
+TILE = 32
 #: Width of a band.
-BAND = 16 * TILE
+BAND = 4096
 #: Documents with an element, as counted below, from which it is marked as frequent.
 FREQUENT = 64
+#: Partners of a set, on average, up to which all pairs are tested at once.
+FEW_PARTNERS = 3
 #: Bits of the bitmap of first documents whose arrays are wanted.
 WANTED_BITS = 1 << 22
 
@@ -255,7 +258,7 @@ def prefixes(docs: DataFrame, marks: np.ndarray, text_col: str, size: int, n_buc
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-_MEETING = "kind int, a long, b long, n int, rare int"
+_MEETING = "kind int, a long, b long, n int, rare int, pos int"
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -301,14 +304,16 @@ def meet(table: pa.Table) -> pa.Table:
         np.concatenate([high, x["sid"][m]]),
         np.concatenate([zero, x["n"][m]]).astype(np.int32),
         np.concatenate([zero, x["rare"][m]]).astype(np.int32),
+        np.concatenate([zero, x["pos"][m]]).astype(np.int32),
     ]
-    return pa.Table.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "n", "rare"])
+    return pa.Table.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "n", "rare", "pos"])
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a < b that the sizes and the bitmaps let through, with the first document of each set."""
+    """Pairs a < b that the sizes and the bitmaps let through, with the first document of each set. sets: a written table."""
+    pairs = slim(stage(pairs.select("a", "b").distinct(), "candidates"))
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"), F.col("first").alias(f"first_{c}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    both = side("a").join(pairs, "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,21 +328,25 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def wanted_arrays(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """(sid, items) of every set of the pairs, one row each.
 
-    Arrays are made for the documents that the bitmap of wanted first documents lets through. The more ids are wanted,
-    the more copies of a set pass; only the array of the set's first document goes on, and only once where rows repeat.
-    Set and document are the key, so that copies are dealt evenly.
+    Arrays are made for the wanted first documents: few ids are broadcast, many are looked up in a bitmap, which lets some
+    others through. Only the array of the set's first document goes on, and only once where rows repeat.
     """
     one = lambda c: F.struct(F.col(c).alias("sid"), F.col(f"first_{c}").alias("_id"))
-    wanted = pairs.select(F.explode(F.array(one("a"), one("b"))).alias("w")).select("w.sid", "w._id").distinct()
-    bits = bitmap(wanted, "_id", WANTED_BITS)
-    n_bits = len(bits) * 64
+    wanted = stage(pairs.select(F.explode(F.array(one("a"), one("b"))).alias("w")).select("w.sid", "w._id").distinct(), "wanted")
+    few = wanted.count() <= SMALL
+    if few:
+        texts = docs.join(F.broadcast(wanted.select("_id").distinct()), "_id", "left_semi")
+    else:
+        bits = bitmap(wanted, "_id", WANTED_BITS)
+        texts = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(WANTED_BITS)))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
         held = 0
         for batch in batches:
-            at = batch.column("_bit").to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            if not few:
+                at = batch.column("_bit").to_numpy()
+                batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for block in blocks(batch.column(text_col)):
                 values, rows = sets_of(block, size)
                 sid = set_ids(values, rows)
@@ -357,15 +366,15 @@ def wanted_arrays(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -
                     least.clear()
                     held = 0
 
-    made = docs.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(n_bits))).mapInArrow(arrays, "sid long, _id long, items binary")
-    return made.join(wanted, ["sid", "_id"], "left_semi").dropDuplicates(["sid", "_id"]).select("sid", "items")
+    made = texts.mapInArrow(arrays, "sid long, _id long, items binary")
+    return made.join(slim(wanted), ["sid", "_id"], "left_semi").dropDuplicates(["sid"]).select("sid", "items")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """The pairs whose sorted arrays have enough in common. docs: _id and text; pairs: a written table."""
     items = wanted_arrays(pairs, docs, text_col, size)
     side = lambda c, name: items.select(F.col("sid").alias(c), F.col("items").alias(name))
-    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = side("a", "x").join(slim(pairs).select("a", "b"), "a").join(side("b", "y"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,23 +389,33 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataF
     return stage(both.mapInArrow(test, "a long, b long"), "linked")
 
 
-def joined_up(pairs: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """Links among the pairs that have the same components as all links among them.
+def still_open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of sets in different components."""
+    known = with_components(pairs, labels)
+    return known.filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b", "first_a", "first_b")
+
+
+def joined_up(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(node, component) under the links among the pairs and those behind the labels.
 
     Each set is first tested against its smallest partner. Then only pairs that are still in different components are.
+    Where sets have few partners, all are tested at once.
     """
     pairs = stage(pairs, "pairs")
+    every = lambda links: stage(components(links) if labels is None else extended(labels, links), "components")
     first = stage(pairs.groupBy("b").agg(F.min(F.struct("a", "first_a", "first_b")).alias("p")).select("p.a", "b", "p.first_a", "p.first_b"), "pairs")
-    links = linked(first, docs, text_col, size)
-    labels = components(links)
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    open_ = stage(rest.filter("c_a is null or c_b is null or c_a <> c_b").select("a", "b", "first_a", "first_b"), "pairs")
-    return links.union(linked(open_, docs, text_col, size))
+    if pairs.count() <= FEW_PARTNERS * first.count():
+        return every(linked(pairs, docs, text_col, size))
+    labels = every(linked(first, docs, text_col, size))
+    rest = pairs.join(slim(first).select("a", "b"), ["a", "b"], "left_anti")
+    open_ = stage(still_open(rest, labels), "pairs")
+    if open_.isEmpty():
+        return labels
+    return stage(extended(labels, linked(open_, docs, text_col, size)), "components")
 
 
 def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, sid, n, label, outside) of the frequent elements whose sets lie in several components, with bands.
+    """Members (key, sid, n, pos, label, outside) of the frequent elements whose sets lie in several components, with bands.
 
     `band` cuts all sets of a key by their rank in size, `minor_band` those outside its largest component. Sets of one
     size are ranked by hash, so a band holds about BAND sets.
@@ -405,14 +424,14 @@ def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("parts"))
     split = largest.filter("parts > 1").select("key", F.col("top.label").alias("main"))
-    mixed = stage(known.join(split, "key").select("key", "sid", "n", "label", (F.col("label") != F.col("main")).alias("outside")), "mixed")
+    mixed = stage(known.join(split, "key").select("key", "sid", "n", "pos", "label", (F.col("label") != F.col("main")).alias("outside")), "mixed")
     # One row per key and size, so the window is bounded by the sizes that occur.
     counts = mixed.groupBy("key", "n").agg(F.count("*").alias("k"), F.sum(F.col("outside").cast("long")).alias("k_minor"))
     before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({c: F.coalesce(F.sum(k).over(before), F.lit(0)) for c, k in (("at", "k"), ("at_minor", "k_minor"))})
     rank = lambda at, k, salt: F.floor((F.col(at) + F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(k))) / BAND).cast("int")
     return mixed.join(offsets, ["key", "n"]).select(
-        "key", "sid", "n", "label", "outside", rank("at", "k", 0).alias("band"), F.when(F.col("outside"), rank("at_minor", "k_minor", 1)).alias("minor_band")
+        "key", "sid", "n", "pos", "label", "outside", rank("at", "k", 0).alias("band"), F.when(F.col("outside"), rank("at_minor", "k_minor", 1)).alias("minor_band")
     )
 
 
@@ -429,22 +448,26 @@ def tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
     reach = F.explode(F.sequence("low", "high"))
     return (
         rows.join(of_band, ["key", "band"])
-        .select("key", "sid", "n", "label", F.lit(False).alias("outside"), "band", reach.alias("against"))
+        .select("key", "sid", "n", "pos", "label", F.lit(False).alias("outside"), "band", reach.alias("against"))
         .union(
             rows.filter("outside").join(of_minor, ["key", "minor_band"])
-            .select("key", "sid", "n", "label", F.lit(True).alias("outside"), reach.alias("band"), F.col("minor_band").alias("against"))
+            .select("key", "sid", "n", "pos", "label", F.lit(True).alias("outside"), reach.alias("band"), F.col("minor_band").alias("against"))
         )
     )
 
 
 def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets that share a frequent element, lie in different components, and pass the bitmap bound."""
+    """Pairs of sets that share a frequent element, lie in different components, and pass the bounds.
+
+    A linked pair is found at the first element it shares, where both sets have enough elements left.
+    """
     placed = tiles(members, labels).join(sets.select("sid", "sig"), "sid")
 
     def tile(table: pa.Table) -> pa.Table:
         outside = table.column("outside").to_numpy()
-        sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
+        sid, n, pos, label = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "label"))
         n = n.astype(np.int64)
+        left = n - pos
         raw = table.column("sig").to_pylist()
         width = np.array([len(r) for r in raw])
         place = np.zeros(len(raw), np.int64)
@@ -460,7 +483,8 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         for i in np.flatnonzero(outside):
             a, b = np.searchsorted(sizes_, [(3 * n[i] + 3) // 4, 4 * n[i] // 3 + 1])
             near = rows[a:b]
-            near = near[label[near] != label[i]]
+            need = overlap_needed(n[near], n[i])
+            near = near[(label[near] != label[i]) & (left[near] >= need) & (left[i] >= need)]
             apart = np.zeros(len(near), np.int64)
             for w in np.unique(width[near]).tolist():
                 some = np.flatnonzero(width[near] == w)
@@ -489,15 +513,14 @@ def groups(
     sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.first("sig").alias("sig"), F.min("_id").alias("first")).filter("first is not null"), "nodes")
     marks = frequent(described.filter("n < 0").select(F.col("sid").alias("key"), F.col("_id").alias("n")), FREQUENT)
     met = stage(prefixes(texts, marks, text_col, size, n_buckets).groupBy("bucket").applyInArrow(meet, _MEETING), "meetings")
-    members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n", "rare")
+    members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n", "rare", "pos")
     pivots = members.groupBy("key").agg(F.min(F.struct("rare", "n", "sid")).alias("p")).select("key", F.col("p.sid").alias("p"))
     stars = members.join(pivots, "key").filter("sid <> p").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b"))
-    links = joined_up(bounded(met.filter("kind = 0").select("a", "b").union(stars), sets), texts, text_col, size)
-    labels = components(links)
+    candidates = met.filter("kind = 0").select("a", "b").union(stars)
+    labels = joined_up(bounded(candidates, sets), None, texts, text_col, size)
     more = stage(across(members, sets, labels), "across")
     if not more.isEmpty():
-        links = links.union(joined_up(bounded(more, sets), texts, text_col, size))
-        labels = components(links)
+        labels = joined_up(bounded(more, sets), labels, texts, text_col, size)
     of_set = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "first", F.coalesce("component", "sid").alias("c"))
     least = of_set.groupBy("c").agg(F.min("first").alias("component_id"))
     named = of_set.join(least, "c").select("sid", "component_id")
