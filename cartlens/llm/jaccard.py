@@ -50,6 +50,8 @@ TILE = 32
 BAND = 4096
 #: Documents with an element, as counted below, from which it is marked as frequent.
 FREQUENT = 64
+#: Frequent elements of a set by which a pair is known to meet sooner.
+EARLY = 8
 #: Partners of a set, on average, up to which all pairs are tested at once.
 FEW_PARTNERS = 3
 #: Bits of the bitmap of first documents whose arrays are wanted.
@@ -415,7 +417,8 @@ def joined_up(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, text_
 
 
 def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, sid, n, pos, label, outside) of the frequent elements whose sets lie in several components, with bands.
+    """Members (key, sid, n, pos, early, label, outside) of the frequent elements whose sets lie in several components, with
+    bands and the first EARLY such elements of each set.
 
     `band` cuts all sets of a key by their rank in size, `minor_band` those outside its largest component. Sets of one
     size are ranked by hash, so a band holds about BAND sets.
@@ -425,13 +428,15 @@ def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("parts"))
     split = largest.filter("parts > 1").select("key", F.col("top.label").alias("main"))
     mixed = stage(known.join(split, "key").select("key", "sid", "n", "pos", "label", (F.col("label") != F.col("main")).alias("outside")), "mixed")
+    placed = F.sort_array(F.collect_list(F.struct("pos", "key")))  # at most a set's prefix
+    early = mixed.groupBy("sid").agg(F.slice(F.transform(placed, lambda e: e["key"]), 1, EARLY).alias("early"))
     # One row per key and size, so the window is bounded by the sizes that occur.
     counts = mixed.groupBy("key", "n").agg(F.count("*").alias("k"), F.sum(F.col("outside").cast("long")).alias("k_minor"))
     before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({c: F.coalesce(F.sum(k).over(before), F.lit(0)) for c, k in (("at", "k"), ("at_minor", "k_minor"))})
     rank = lambda at, k, salt: F.floor((F.col(at) + F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(k))) / BAND).cast("int")
-    return mixed.join(offsets, ["key", "n"]).select(
-        "key", "sid", "n", "pos", "label", "outside", rank("at", "k", 0).alias("band"), F.when(F.col("outside"), rank("at_minor", "k_minor", 1)).alias("minor_band")
+    return mixed.join(offsets, ["key", "n"]).join(early, "sid").select(
+        "key", "sid", "n", "pos", "early", "label", "outside", rank("at", "k", 0).alias("band"), F.when(F.col("outside"), rank("at_minor", "k_minor", 1)).alias("minor_band")
     )
 
 
@@ -448,10 +453,10 @@ def tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
     reach = F.explode(F.sequence("low", "high"))
     return (
         rows.join(of_band, ["key", "band"])
-        .select("key", "sid", "n", "pos", "label", F.lit(False).alias("outside"), "band", reach.alias("against"))
+        .select("key", "sid", "n", "pos", "early", "label", F.lit(False).alias("outside"), "band", reach.alias("against"))
         .union(
             rows.filter("outside").join(of_minor, ["key", "minor_band"])
-            .select("key", "sid", "n", "pos", "label", F.lit(True).alias("outside"), reach.alias("band"), F.col("minor_band").alias("against"))
+            .select("key", "sid", "n", "pos", "early", "label", F.lit(True).alias("outside"), reach.alias("band"), F.col("minor_band").alias("against"))
         )
     )
 
@@ -459,7 +464,8 @@ def tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
 def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of sets that share a frequent element, lie in different components, and pass the bounds.
 
-    A linked pair is found at the first element it shares, where both sets have enough elements left.
+    A linked pair is found at the first element it shares, where both sets have enough elements left; a pair that shares
+    one of its early elements before the tile's is left to that one.
     """
     placed = tiles(members, labels).join(sets.select("sid", "sig"), "sid")
 
@@ -468,6 +474,13 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         sid, n, pos, label = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "label"))
         n = n.astype(np.int64)
         left = n - pos
+        key = table.column("key")[0].as_py()
+        lists = table.column("early").to_pylist()
+        early = np.zeros((len(sid), EARLY), np.int64)
+        filled = np.zeros((len(sid), EARLY), bool)
+        for k, keys in enumerate(lists):
+            before = keys[: keys.index(key)] if key in keys else keys
+            early[k, : len(before)], filled[k, : len(before)] = before, True
         raw = table.column("sig").to_pylist()
         width = np.array([len(r) for r in raw])
         place = np.zeros(len(raw), np.int64)
@@ -485,6 +498,8 @@ def across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
             near = rows[a:b]
             need = overlap_needed(n[near], n[i])
             near = near[(label[near] != label[i]) & (left[near] >= need) & (left[i] >= need)]
+            sooner = ((early[near][:, :, None] == early[i][filled[i]]) & filled[near][:, :, None]).any((1, 2))
+            near = near[~sooner]
             apart = np.zeros(len(near), np.int64)
             for w in np.unique(width[near]).tolist():
                 some = np.flatnonzero(width[near] == w)
