@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm import bpe, decontaminate, jaccard, language, pii
-from cartlens.llm.frames import documents, held_out, importable, table
+from cartlens.llm.frames import documents, held_out, importable, set_aside, table
 from cartlens.llm.queries import rank_file, split_pattern
 from cartlens.session import stage
 
@@ -30,8 +30,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Languages are learnt from the rows that the language query does not hold out either."""
     importable(spark)
     model = language.train(docs.filter(~held_out(3, 1)))
-    found = language.identify(docs, model, lang_col="_lang", score_col="_share", mix_col="_mix")
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_share") >= MIN_SHARE)).select(*docs.columns)
+    own, back = set_aside(docs, "_lang", "_share", "_mix")
+    found = language.identify(own, model, lang_col="_lang", score_col="_share", mix_col="_mix")
+    kept = found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_share") >= MIN_SHARE))
+    return back(kept.select(*own.columns)).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
