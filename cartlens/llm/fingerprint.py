@@ -130,8 +130,13 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, n_ranges: int) -> Dat
 
     ranks = ids.mapInArrow(ranked, "rank long")
     levels = [i / n_ranges for i in range(1, n_ranges)]
-    cuts_ = np.asarray(ranks.approxQuantile("rank", levels, 0.25 / n_ranges) if levels else [], np.float64)
-    edges = np.unique(cuts_[np.isfinite(cuts_)]).astype(np.int64)
+    # Null ids, all of one rank, are a range of their own and have no say in the others.
+    last = np.iinfo(np.int64).max
+    known = ranks.filter(F.col("rank") < int(last))
+    cuts_ = np.asarray(known.approxQuantile("rank", levels, 0.25 / n_ranges) if levels else [], np.float64)
+    # The largest doubles below 2 ** 63 are the largest that are integers of 64 bits.
+    inner = np.clip(cuts_[np.isfinite(cuts_)], -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+    edges = np.append(np.unique(inner), last)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
