@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import types as T
 
 from cartlens.functions import joins
-from cartlens.llm import alignment, mixing, queries, trie
+from cartlens.llm import alignment, fingerprint, mixing, queries, trie
 from cartlens.llm.queries_alignment import vocabularies
 from cartlens.llm.queries_trie import rebuilt
 from samples import corpus, docs, empty, rows  # noqa: F401  fixtures
@@ -305,3 +305,16 @@ def test_queries_of_new_operators(spark):
         assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"]) == (n_a, n_b, n_groups, n_links, n_best, count_sum)
         assert r["groups_sha256"] == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
     assert len(got) == len(texts)
+
+
+@pytest.mark.parametrize("nulls,repeats,n_ranges", [(0, 0, 8), (25, 0, 8), (60, 0, 1), (60, 30, 8), (3, 30, 40)])
+def test_next_documents_with_null_and_repeated_ids(spark, nulls, repeats, n_ranges):
+    """The edited text of every row takes its end from the next one by descending id, then text; null ids come last."""
+    rng = random.Random(nulls)
+    word = lambda: "".join(rng.choices("abcdef ", k=rng.randint(3, 60)))
+    rows = [(i, word()) for i in rng.sample([-(2**63) + 5, 2**63 - 5, *range(-50, 10**6)], 40)]
+    rows += [(None, word()) for _ in range(nulls)] + [(7, word()) for _ in range(repeats)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = sorted(hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["edited_sha256"] for r in fingerprint.with_next(df, n_ranges=n_ranges).collect()) == want
