@@ -418,11 +418,13 @@ def joined_up(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, text_
 
 def banded(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, sid, n, pos, early, label, outside) of the frequent elements whose sets lie in several components, with
-    bands and the first EARLY such elements of each set.
+    bands and the first EARLY such elements of each set. Members without a place get 0, which bounds nothing.
 
     `band` cuts all sets of a key by their rank in size, `minor_band` those outside its largest component. Sets of one
     size are ranked by hash, so a band holds about BAND sets.
     """
+    if "pos" not in members.columns:
+        members = members.withColumn("pos", F.lit(0))
     known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
     sizes = known.groupBy("key", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("parts"))
