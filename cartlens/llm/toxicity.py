@@ -1,20 +1,23 @@
 """Toxicity of texts behind noisy-channel deobfuscation.
 
-Channel. A word that mixes letters with digits or signs, repeats a letter three times, or is spaced out letter by letter
-becomes a lattice: a letter stands for itself, a sign for the letters it imitates or for nothing, a letter of a run
-of three for itself or nothing. Viterbi decoding finds the path with the best sum of channel costs and a character trigram model,
-which is counted over the words of every document. Other words have a single path and are left alone.
+Channel. A word with a digit or sign next to a letter, a letter three times in a row, or three letters alone between gaps,
+and a run of three or more words of one character, becomes a lattice: a letter stands for itself, a sign for the letters
+it imitates, for itself or for nothing, a letter of a run of three for itself or nothing, a gap for nothing or for the
+edge of a word. Viterbi decoding finds the path with the best sum of channel costs and a character trigram model, which
+is counted over the words of every document and prices the edges too. Other words have a single path and are left alone.
 
 Score. Features of the restored text are letter runs and their beginnings of 4 to 7 bytes, each with the number of
-times a text has it (once, twice, four times or more). Training rows give each feature a weight: the lower confidence
+times a text has it (once, twice, four times or more). A feature counts if its share of toxic texts is beyond chance: the
+likelihood ratio statistic against the share of all texts passes twice the log of the number of features that
+MIN_SUPPORT toxic texts have, so less than one feature in all passes by luck. Its weight is the lower confidence
 bound of its log likelihood ratio between toxic and other texts, zero when negative. A text's evidence is the largest
 weight and the log sum of all; a logistic curve over the two, fitted on training rows that gave no weights, turns them
 into a probability.
 
 Null and empty texts have no evidence and get the curve's value there. Rows without a label or with a null label teach
 nothing; a document with several labels is toxic if any says so. With no toxic or no clean training rows every text
-gets the same score. Bounds: MAX_FEATURES weights, FIT_ROWS rows for the curve (those with the smallest hash of their
-id). The trigram counts, the feature counts and the scoring cover all rows.
+gets the same score. Bounds: MAX_FEATURES weights (those with the highest bound), FIT_ROWS rows for the curve (those with the
+smallest hash of their id). The trigram counts, the feature counts and the scoring cover all rows.
 """
 
 from __future__ import annotations
@@ -29,18 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.arrays import Block, blocks, mix, prefix_hash, span_hash, with_columns, words
+from cartlens.llm.arrays import Block, blocks, mix, prefix_hash, ranges, span_hash, with_columns, words
 from cartlens.llm.frames import schema_with
 from cartlens.llm.lookup import HashTable
 from cartlens.session import stage
 
 BEGINNINGS = (4, 5, 6, 7)
 TIMES = (1, 2, 4)
-MIN_SUPPORT, SUPPORT_SHARE = 3, 0.002
+MIN_SUPPORT = 3
 CONFIDENCE = 2.0
 MAX_FEATURES = 200_000
 FIT_ROWS = 20_000
-LABEL_BITS = 1 << 24
+BITMAP_BITS = 1 << 24
 
 # Letters that a digit or sign imitates.
 IMITATED = {
@@ -48,6 +51,7 @@ IMITATED = {
     "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y",
 }
 IMITATION_COST, DROP_SIGN_COST, DROP_REPEAT_COST, DROP_SEPARATOR_COST = 0.7, 9.0, 3.0, 0.2
+KEEP_SIGN_COST, SPACE_EDGE_COST, GAP_EDGE_COST = 4.0, 0.2, 3.0
 _SEPARATORS = frozenset(" .-_*~'`,:;/\\")
 
 # Character codes of the language model: 0 the word's edge, 1 to 26 the letters, 27 anything else.
@@ -116,9 +120,11 @@ class Channel:
             if i and word[i - 1] == c and (word[i - 2 : i - 1] == c or word[i + 1 : i + 2] == c):
                 out.append(("", DROP_REPEAT_COST))
             return out
+        if c.isspace():
+            return [("", DROP_SEPARATOR_COST), (" ", SPACE_EDGE_COST)]
         if c in _SEPARATORS:
-            return [("", DROP_SEPARATOR_COST)]
-        return [(x, IMITATION_COST) for x in IMITATED.get(c, "")] + [("", DROP_SIGN_COST)]
+            return [("", DROP_SEPARATOR_COST), (" ", GAP_EDGE_COST)]
+        return [(x, IMITATION_COST) for x in IMITATED.get(c, "")] + [("", DROP_SIGN_COST), (c, KEEP_SIGN_COST)]
 
     def decode(self, word: str) -> str:
         """The best letters for a lower-case word; recent answers are kept."""
@@ -128,7 +134,8 @@ class Channel:
             self.known[word] = self.best(word)
         return self.known[word]
 
-    def best(self, word: str) -> str:
+    def best(self, word: str, costs: list[float] | None = None) -> str:
+        """The cheapest path's letters; its cost is appended to costs."""
         p = self.table
         # State: the last two letters' codes; value: cost, and the letters as a linked list.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -136,7 +143,11 @@ class Channel:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for letter, cost in self.options(word, i):
                 for (a, b), (so_far, path) in states.items():
-                    if letter:
+                    if letter and not letter.isalpha():  # a word's edge, or a sign that stays
+                        if letter == " " and not b:
+                            continue
+                        key, value, way = (0, 0), so_far + cost - (p[a][b][0] if b else 0.0), (letter, path)
+                    elif letter:
                         c = _code(letter)
                         key, value, way = (b, c), so_far + cost - p[a][b][c], (letter, path)
                     else:
@@ -144,7 +155,10 @@ class Channel:
                     if key not in new or value < new[key][0]:
                         new[key] = (value, way)
             states = new
-        _, path = min(((v - p[a][b][0], way) for (a, b), (v, way) in sorted(states.items(), key=lambda x: x[0])), key=lambda x: x[0])
+        ends = ((v - (p[a][b][0] if b else 0.0), way) for (a, b), (v, way) in sorted(states.items(), key=lambda x: x[0]))
+        cost, path = min(ends, key=lambda x: x[0])
+        if costs is not None:
+            costs.append(cost)
         out = []
         while path is not None:
             letter, path = path
@@ -153,39 +167,51 @@ class Channel:
 
 
 def suspects(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans that need decoding: single words, and runs of four or more words of one letter."""
+    """Byte spans that need decoding: single words, and runs of three or more words of one character."""
     w = words(block)
     none = np.zeros(0, np.int64)
     if len(w.start) == 0:
         return none, none
     data = block.data
     letter, sign = _LETTER[data], _SIGN[data]
-    # A sign in front of a letter, a letter three times, or letters between single gaps.
+    body = letter | sign
+    # A sign next to a letter, or a letter three times.
     odd = np.zeros(len(data) + 1, bool)
-    odd[:-2] |= sign[:-1] & letter[1:]
+    odd[:-2] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
     low = data | 0x20
     odd[:-3] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+    inside = np.zeros(len(data) + 1, bool)  # bytes of a word that have another byte of it behind them
+    inside[:-1][ranges(w.start, w.end - w.start - 1)] = True
+    marks = _sums(odd[:-1] & inside[:-1])
+    # Letters or signs alone between gaps or the word's ends.
     gap = _GAP[data]
-    if len(data) > 4:
-        odd[:-5] |= letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]
-    marks = np.concatenate([[0], np.cumsum(odd[:-1])])
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    has = (marks[w.end] > marks[w.start]) & (letters[w.end] - letters[w.start] >= 2)
-    # Runs of one-letter words: signs count, as they imitate letters.
-    body = np.concatenate([[0], np.cumsum(letter | sign)])
-    one = (w.end - w.start == 1) & (body[w.end] - body[w.start] == 1)
+    alone = body.copy()
+    alone[1:] &= gap[:-1] | ~inside[:-2]
+    alone[:-1] &= gap[1:] | ~inside[:-2]
+    alone, letters, bodies = _sums(alone), _sums(letter), _sums(body)
+    some = letters[w.end] > letters[w.start]
+    spaced = alone[w.end] - alone[w.start] >= 3
+    has = some & ((marks[w.end] > marks[w.start]) | spaced) & (bodies[w.end] - bodies[w.start] >= 3)
+    # Runs of words of one character.
+    one = (w.end - w.start == 1) & (bodies[w.end] - bodies[w.start] == 1)
     row = w.row_of()
     new = np.ones(len(one) + 1, bool)
     new[1:-1] = (one[1:] != one[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
-    run = np.flatnonzero((np.diff(head) >= 4) & one[head[:-1]])
-    first, last = head[run], head[run + 1] - 1
-    start = np.concatenate([w.start[has], w.start[first]])
-    end = np.concatenate([w.end[has], w.end[last]])
+    run = np.flatnonzero((np.diff(head) >= 3) & one[head[:-1]])
+    first, last = w.start[head[run]], w.end[head[run + 1] - 1]
+    some = letters[last] > letters[first]
+    start = np.concatenate([w.start[has], first[some]])
+    end = np.concatenate([w.end[has], last[some]])
     order = np.argsort(start, kind="stable")
     return start[order], end[order]
 
 
+def _sums(marks: np.ndarray) -> np.ndarray:
+    """Number of marks before each place."""
+    return np.concatenate([[0], np.cumsum(marks)])
+
+
 def restored(block: Block, channel: Channel) -> Block:
     """The block with its suspect words decoded; what stands around a word's letters and signs stays."""
     start, end = suspects(block)
@@ -283,25 +309,35 @@ class ToxicityModel:
         return clear, 1 / (1 + np.exp(-(self.curve[0] + self.weights.evidence(clear) @ self.curve[1:])))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
-    """(id, text, toxic) of documents with a label. docs: id, text. A bitmap of fixed size keeps most others from the join."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
-    at = F.pmod(F.xxhash64("id"), F.lit(LABEL_BITS))
-    bits = known.select(F.shiftright(at, 6).alias("w"), (F.pmod(at, F.lit(64))).alias("b"))
+def bitmap(places: DataFrame) -> np.ndarray:
+    """Bitmap of the places in column `at`, 0 to BITMAP_BITS - 1; at most BITMAP_BITS / 64 words reach the driver."""
 
     def words_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one = np.uint64(1) << batch.column("b").to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(one.view(np.int64))], ["w", "b"])
+            at = batch.column("at").to_numpy()
+            one = np.uint64(1) << (at & 63).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(one.view(np.int64))], ["w", "b"])
+
+    table = places.mapInArrow(words_, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-    table = bits.mapInArrow(words_, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(LABEL_BITS // 64, np.uint64)
-    bitmap[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+
+def labelled(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
+    """(id, text, toxic) of documents with a label. docs: id, text. A bitmap of fixed size keeps most others from the join."""
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
+    at = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    bits = bitmap(known.select(at.alias("at")))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("at").to_numpy()
-            yield batch.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["id", "text"])
+            yield batch.filter(pa.array(in_bitmap(bits, at))).select(["id", "text"])
 
     rows = docs.filter("id is not null").select("id", F.col(text_col).alias("text"), at.alias("at"))
     # Labels grow with the documents, so both sides are dealt by id at every size.
@@ -320,57 +356,56 @@ def train(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col: str
     if not n_toxic or not n_clean:
         return ToxicityModel(channel, Weights(HashTable(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros((0, len(TIMES)))), np.zeros(3))
 
-    def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                row, h = features(restored(block, shared.value))
-                _, key, times = counted(row, h)
-                for t, least in enumerate(TIMES):
-                    key_t, n = np.unique(key[times >= least], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key_t.view(np.int64)), pa.array(np.full(len(key_t), t, np.int32)), pa.array(n)], ["h", "t", "n"]
-                    )
-
-    support = max(MIN_SUPPORT, math.ceil(SUPPORT_SHARE * n_toxic))
-    toxic = weighing.filter("toxic").select("text").mapInArrow(toxic_features, "h long, t int, n long")
-    frequent = toxic.groupBy("h", "t").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
-    table = frequent.orderBy(F.desc("n"), "h", "t").limit(MAX_FEATURES).toArrow()
-    hashes = np.unique(table.column("h").to_numpy().view(np.uint64))
-    with_toxic = np.zeros((len(hashes), len(TIMES)), np.int64)
-    with_toxic[np.searchsorted(hashes, table.column("h").to_numpy().view(np.uint64)), table.column("t").to_numpy()] = table.column("n").to_numpy()
-    lookup = HashTable(hashes, np.arange(len(hashes)))
-
-    def clean_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(hashes), len(TIMES)), np.int64)
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                row, h = features(restored(block, shared.value))
-                at = lookup.get(h)
-                _, at, times = counted(row[at >= 0], at[at >= 0])
-                for t, least in enumerate(TIMES):
-                    total[:, t] += np.bincount(at[times >= least], minlength=len(hashes))
-        i, t = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t.astype(np.int32)), pa.array(total[i, t])], ["i", "t", "n"])
-
-    clean = weighing.filter("not toxic").select("text").mapInArrow(clean_features, "i long, t int, n long")
-    table = clean.groupBy("i", "t").agg(F.sum("n").alias("n")).toArrow()
-    with_clean = np.zeros_like(with_toxic)
-    with_clean[table.column("i").to_numpy(), table.column("t").to_numpy()] = table.column("n").to_numpy()
-    ratio = np.log((with_toxic + 0.5) / (n_toxic + 1)) - np.log((with_clean + 0.5) / (n_clean + 1))
-    bound = ratio - CONFIDENCE * np.sqrt(1 / (with_toxic + 0.5) + 1 / (with_clean + 0.5))
-    weight = np.where(with_toxic > 0, np.maximum(bound, 0), 0)
-    used = weight.max(1, initial=0) > 0
-    weights = Weights(HashTable(hashes[used], np.arange(int(used.sum()))), weight[used])
+    def counted_features(bits: np.ndarray | None):
+        """Function from texts to (h, t, n), the texts of a block with a feature; only features in the bitmap, if there is one."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch.column("text")):
+                    row, h = features(restored(block, shared.value))
+                    if bits is not None:
+                        some = in_bitmap(bits, (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64))
+                        row, h = row[some], h[some]
+                    _, key, times = counted(row, h)
+                    for t, least in enumerate(TIMES):
+                        key_t, n = np.unique(key[times >= least], return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key_t.view(np.int64)), pa.array(np.full(len(key_t), t, np.int32)), pa.array(n)], ["h", "t", "n"]
+                        )
+
+        return run
+
+    kind = "h long, t int, n long"
+    toxic = weighing.filter("toxic").select("text").mapInArrow(counted_features(None), kind)
+    frequent = stage(toxic.groupBy("h", "t").agg(F.sum("n").alias("k")).filter(F.col("k") >= MIN_SUPPORT), "features")
+    bits = bitmap(frequent.select((F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("at")))
+    clean = weighing.filter("not toxic").select("text").mapInArrow(counted_features(bits), kind)
+    both = frequent.join(clean.groupBy("h", "t").agg(F.sum("n").alias("c")).hint("merge"), ["h", "t"], "left").na.fill(0, ["c"])
+    k, c, share = F.col("k"), F.col("c"), n_toxic / (n_toxic + n_clean)
+    beyond = lambda n, part: F.when(n > 0, n * F.log(n / ((k + c) * part))).otherwise(0.0)
+    ratio = F.log((k + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    bound = ratio - CONFIDENCE * F.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))
+    chance = math.log(max(frequent.count(), 1))
+    strong = both.withColumn("bound", bound).filter((F.col("bound") > 0) & (beyond(k, share) + beyond(c, 1 - share) >= chance))
+    table = strong.orderBy(F.desc("bound"), "h", "t").limit(MAX_FEATURES).toArrow()
+    hashes, at = np.unique(table.column("h").to_numpy().view(np.uint64), return_inverse=True)
+    weight = np.zeros((len(hashes), len(TIMES)))
+    weight[at, table.column("t").to_numpy()] = table.column("bound").to_numpy()
+    weights = Weights(HashTable(hashes, np.arange(len(hashes))), weight)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 e = weights.evidence(restored(block, shared.value))
                 y = batch.column("toxic").slice(block.first, len(block))
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), y], ["a", "b", "toxic"])
-
-    fit_rows = rows.filter("fits").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(FIT_ROWS)
-    fit = fit_rows.select("text", "toxic").mapInArrow(evidence, "a double, b double, toxic boolean").toArrow()
+                k = batch.column("k").slice(block.first, len(block))
+                yield pa.RecordBatch.from_arrays([k, pa.array(e[:, 0]), pa.array(e[:, 1]), y], ["k", "a", "b", "toxic"])
+
+    # Numbers are ordered and cut, never texts: first the hash up to which rows are needed, then their evidence.
+    fits = rows.filter("fits").withColumn("k", F.xxhash64("id", F.lit(1)))
+    last = fits.select("k").orderBy("k").limit(FIT_ROWS).agg(F.max("k")).first()[0]
+    fit_rows = fits.filter(F.col("k") <= F.lit(last)).select("k", "text", "toxic")
+    fit = fit_rows.mapInArrow(evidence, "k long, a double, b double, toxic boolean").orderBy("k", "a", "b").limit(FIT_ROWS).toArrow()
     x = np.stack([fit.column("a").to_numpy(), fit.column("b").to_numpy()], 1)
     return ToxicityModel(channel, weights, fit_curve(x, fit.column("toxic").to_numpy().astype(float)))
 
