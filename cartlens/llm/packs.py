@@ -6,20 +6,28 @@ share an id only stay apart, in the order of the hash. A null id counts as the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm.arrays import Block, ranges
+from cartlens.session import stage
 
 #: Bytes of text whose strings are packed together; what repeats within them is settled before the shuffle.
 CHUNK_BYTES = 8 << 20
 
+#: Text whose strings one bucket, and one task with its buckets, is meant to get. Buckets grow in number, not in size.
+BUCKET_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
+#: Key under which the counts of `surveyed` hold the bytes of text.
+BYTES_KEY = -1
+
 RUNS = "_id long, _th long, a long, b long"
 
 
@@ -78,6 +86,24 @@ def frequent(counted: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+def text_bytes(n: int) -> pa.RecordBatch:
+    """(key, n): bytes of text read, for `surveyed`."""
+    return pa.RecordBatch.from_arrays([pa.array([BYTES_KEY]), pa.array([n])], ["key", "n"])
+
+
+def surveyed(counted: DataFrame, least: int) -> tuple[np.ndarray, int]:
+    """What `frequent` says, and the bytes of text, from one pass; counted holds the rows of `repeats` and `text_bytes`,
+    whose other keys are not negative."""
+    known = stage(counted.groupBy("key").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("key") == BYTES_KEY)), "counts")
+    size = known.filter(F.col("key") == BYTES_KEY).agg(F.sum("n")).first()[0]
+    return frequent(known.filter(F.col("key") != BYTES_KEY), least), size or 0
+
+
+def bucket_count(spark: SparkSession, size: int, per_task: int) -> int:
+    """Buckets for that many bytes of text: per_task for every shuffle partition, or more where they would get too large."""
+    return max(per_task * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+
+
 def marked(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
     at = values & values.dtype.type(MARK_BITS - 1)
     return (marks[at >> at.dtype.type(6)] >> (at & at.dtype.type(63)).astype(np.uint64)) & np.uint64(1) == 1
@@ -128,11 +154,10 @@ def packed(strings: Strings, bucket: np.ndarray, n_buckets: int, runs: Runs) ->
     home = (runs[1] % n_buckets).astype(np.int64)
     run_order = np.argsort(home, kind="stable")
     run_edge = np.searchsorted(home[run_order], np.arange(n_buckets + 1))
-    for b in range(n_buckets):
+    for b in np.flatnonzero((np.diff(edge) > 0) | (np.diff(run_edge) > 0)).tolist():
         mine, known = order[edge[b] : edge[b + 1]], run_order[run_edge[b] : run_edge[b + 1]]
-        if len(mine) or len(known):
-            blob = pack(strings.take(mine), tuple(r[known] for r in runs))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+        blob = pack(strings.take(mine), tuple(r[known] for r in runs))
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,8 +171,10 @@ def bucket_runs(
     docs: DataFrame,
     cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     settle: Callable[[Strings], Runs],
+    size: int = 0,
 ) -> DataFrame:
-    """Cut the documents into packed strings, bring each bucket together, and return the runs found there."""
+    """Cut the documents into packed strings, bring each bucket together, and return the runs found there. size: bytes
+    of all texts; there is a task for every TASK_BYTES of them, and not fewer than shuffle partitions."""
 
     def group(table: pa.Table) -> pa.Table:
         strings, known = unpack(table.column("blob").to_pylist())
@@ -156,6 +183,9 @@ def bucket_runs(
         return pa.Table.from_arrays(columns, ["_id", "_th", "a", "b"])
 
     rows = docs.mapInArrow(cut, "bucket int, blob binary")
+    tasks = math.ceil(size / TASK_BYTES)
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "bucket")  # the grouping takes these partitions as they are
     return rows.groupBy("bucket").applyInArrow(group, RUNS)
 
 

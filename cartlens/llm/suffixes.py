@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, mix, powers, prefix_hash, ranges, span_hash, with_columns
 from cartlens.llm.frames import schema_with, set_aside
-from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, frequent, keyed, marked, packed, rank_pairs, repeats, row_runs, with_runs
+from cartlens.llm.packs import (
+    CHUNK_BYTES, Runs, Strings, bucket_count, bucket_runs, keyed, marked, packed, rank_pairs, repeats, row_runs, surveyed,
+    text_bytes, with_runs,
+)
 from cartlens.llm.windows import _NO_RUNS, sliding_min, window_starts
 
 ANCHOR = 32
@@ -55,11 +58,11 @@ def anchors(data: np.ndarray, marks: np.ndarray | None) -> np.ndarray:
 
 
 def count_anchors(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(key, n) of least anchors of several pieces within CHUNK_BYTES of text."""
+    """(key, n) of least anchors of several pieces within CHUNK_BYTES of text, and the bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[np.ndarray] = []
-        held = 0
+        held = total = 0
         for batch in batches:
             for block in blocks(batch.column(text_col)):
                 at, row = window_starts(block.offsets, size)
@@ -69,11 +72,13 @@ def count_anchors(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                     new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
                     heads.append(least[new])
                 held += len(block.data)
+                total += len(block.data)
                 if held >= CHUNK_BYTES and heads:
                     yield repeats(heads)
                     heads, held = [], 0
         if heads:
             yield repeats(heads)
+        yield text_bytes(total)
 
     return docs.select(text_col).mapInArrow(run, "key long, n long")
 
@@ -394,10 +399,10 @@ def without_repeats(
     n_buckets: int | None = None,
 ) -> DataFrame:
     """Add n_bytes, n_removed, n_spans (maximal removed runs) and the remaining bytes."""
-    n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs, restore = set_aside(docs, "_id", "_th", "_runs")
     named = keyed(docs, id_col, text_col)
-    marks = frequent(count_anchors(docs, size, text_col), FREQUENT)
+    marks, n_bytes = surveyed(count_anchors(docs, size, text_col), FREQUENT)
+    n_buckets = n_buckets or bucket_count(docs.sparkSession, n_bytes, 4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(size, n_buckets, marks)
@@ -410,7 +415,7 @@ def without_repeats(
                     yield from chunk.out()
         yield from chunk.out()
 
-    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size, marks))
+    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size, marks), n_bytes)
     joined = with_runs(named, runs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,10 @@ from pyspark.sql import types as T
 
 from cartlens.llm.arrays import Block, blocks, gram_hashes, mix, ranges, with_columns, word_hashes, words
 from cartlens.llm.frames import schema_with, set_aside
-from cartlens.llm.packs import CHUNK_BYTES, Runs, Strings, bucket_runs, frequent, keyed, marked, packed, rank_pairs, repeats, row_runs, with_runs
+from cartlens.llm.packs import (
+    CHUNK_BYTES, Runs, Strings, bucket_count, bucket_runs, keyed, marked, packed, rank_pairs, repeats, row_runs, surveyed,
+    text_bytes, with_runs,
+)
 
 GROUP = 3
 FREQUENT = 256
@@ -94,11 +97,11 @@ def minimisers(hashes: np.ndarray, size: int, marks: np.ndarray | None) -> np.nd
 
 
 def count_minimisers(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(key, n) of minimisers that begin several strings within CHUNK_BYTES of text."""
+    """(key, n) of minimisers that begin several strings within CHUNK_BYTES of text, and the bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[np.ndarray] = []
-        held = 0
+        held = total = 0
         for batch in batches:
             for block in blocks(batch.column(text_col)):
                 w = words(block)
@@ -109,11 +112,13 @@ def count_minimisers(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                     new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
                     heads.append(least[new])
                 held += len(block.data)
+                total += len(block.data)
                 if held >= CHUNK_BYTES and heads:
                     yield repeats(heads)
                     heads, held = [], 0
         if heads:
             yield repeats(heads)
+        yield text_bytes(total)
 
     return docs.select(text_col).mapInArrow(run, "key long, n long")
 
@@ -205,10 +210,10 @@ def without_repeats(
     n_buckets: int | None = None,
 ) -> DataFrame:
     """Add n_words, n_removed and the kept words joined by one space."""
-    n_buckets = n_buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs, restore = set_aside(docs, "_id", "_th", "_runs")
     named = keyed(docs, id_col, text_col)
-    marks = frequent(count_minimisers(docs, size, text_col), FREQUENT)
+    marks, n_bytes = surveyed(count_minimisers(docs, size, text_col), FREQUENT)
+    n_buckets = n_buckets or bucket_count(docs.sparkSession, n_bytes, 2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(size, n_buckets, marks)
@@ -221,7 +226,7 @@ def without_repeats(
                     yield from chunk.out()
         yield from chunk.out()
 
-    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size))
+    runs = bucket_runs(named.select("_id", "_th", text_col), cut, lambda s: settle(s, size), n_bytes)
     joined = with_runs(named, runs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from samples import docs, empty, rows  # noqa: F401  fixtures
 
-from cartlens.llm import components, jaccard, suffixes, windows
+from cartlens.llm import components, jaccard, packs, suffixes, windows
 from cartlens.llm.packs import Strings
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -209,3 +209,22 @@ def test_empty_tables(empty):
     assert jaccard.groups(empty).count() == 0
     assert windows.without_repeats(empty).count() == 0
     assert suffixes.without_repeats(empty).count() == 0
+
+
+def test_buckets_follow_the_text(docs, rows, monkeypatch):
+    """More buckets and tasks than shuffle partitions, by the bytes of text; the rows stay the same."""
+    sizes = sum(len((t or "").encode()) for _, t in rows)
+    marks, n_bytes = packs.surveyed(windows.count_minimisers(docs, 20, "text"), 256)
+    assert n_bytes == sizes and packs.surveyed(suffixes.count_anchors(docs, 400, "text"), 256)[1] == sizes
+    assert packs.bucket_count(docs.sparkSession, n_bytes, 2) == 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digest = lambda df, c: sorted((r["doc_id"] or -1, r["n_removed"], bytes(r[c], "utf-8") if isinstance(r[c], str) else bytes(r[c])) for r in df.select("doc_id", "n_removed", c).collect())
+    few = digest(windows.without_repeats(docs), "kept_text"), digest(suffixes.without_repeats(docs), "kept_bytes")
+    monkeypatch.setattr(packs, "BUCKET_BYTES", sizes // 90)
+    monkeypatch.setattr(packs, "TASK_BYTES", sizes // 20)
+    assert packs.bucket_count(docs.sparkSession, n_bytes, 2) >= 90
+    many = windows.without_repeats(docs)
+    assert few == (digest(many, "kept_text"), digest(suffixes.without_repeats(docs), "kept_bytes"))
+
+
+def test_no_text_has_no_bytes(empty):
+    assert packs.surveyed(windows.count_minimisers(empty, 20, "text"), 256)[1] == 0
