@@ -137,3 +137,19 @@ def test_weak_observations_stay_in_training(frame):
     model = als.train_als(built.coordinates, AlsConfig(factors=4, iterations=3, alpha=4.0))
     norms = [float(np.linalg.norm(v)) for v in as_arrays(model.item_factors).values()]
     assert len(norms) == 9 and min(norms) > 0
+
+
+def test_blocks_list_little_below_the_best(spark, frame, monkeypatch):
+    """With many blocks of items, only scores near a user's n best leave them, not n of every block."""
+    monkeypatch.setattr(als, "USER_BLOCK", 40)
+    monkeypatch.setattr(als, "ITEM_BLOCK", 100)
+    left = []
+    merge = als.top_per_group
+    monkeypatch.setattr(als, "top_per_group", lambda df, *a: left.append(df.count()) or merge(df, *a))
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 6)), rng.normal(size=(4000, 6)) * rng.gamma(2.0, size=(4000, 1))
+    vectors = lambda m: frame([(k, v.tolist()) for k, v in enumerate(m)], "idx bigint, features array<double>")
+    monkeypatch.setattr(als, "HEAD", 400, raising=False)
+    users = frame([(u,) for u in range(80)], "user_idx bigint")
+    got = als.top_unseen_by_index(als.FactorModel(vectors(x), vectors(y)), frame([], PAIRS), users, 10).count()
+    assert got == 800 and left[0] < 3 * 800  # 40 blocks of items give 32,000 without floors
