@@ -10,7 +10,7 @@ which is a Jaccard similarity of 3/4. Documents with equal sets are one node.
 2. Elements that at most TILE sets share give all their pairs of fitting size. Sets meet at a marked or larger element
    when most of a text is frequent, as in a family of copies; there each set first meets one pivot, the one with the
    fewest unmarked elements, usually the text the others were made from.
-3. Bitmap bound. Each set has a bitmap of parities, about as many bits as elements; wider ones fold to the width of
+3. Bitmap bound. Each set has a bitmap of parities, four to eight bits an element; wider ones fold to the width of
    narrower ones. Two bitmaps differ in at most as many bits as their sets differ in elements, so a pair with more than
    (n + m) / 7 differing bits is out.
 4. Exact test by intersection of the sorted hash arrays, computed again from the texts of the sets still in question.
@@ -43,7 +43,7 @@ from cartlens.llm.windows import window_starts
 from cartlens.session import stage
 
 #: Bounds of a bitmap's width; within them it follows the set's size.
-MIN_BITS, MAX_BITS = 256, 1 << 17
+MIN_BITS, MAX_BITS = 1024, 1 << 19
 #: Sets that share an element and give all their pairs at once.
 TILE = 32
 #: Width of a band.
@@ -85,8 +85,11 @@ def set_ids(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def signature_width(n: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two from its size on, within MIN_BITS..MAX_BITS."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
+    """Bits of a set's bitmap: four times the power of two from its size on, within MIN_BITS..MAX_BITS.
+
+    At fewer bits, differing elements fall together so often that pairs well below 3/4 pass the bound.
+    """
+    return np.clip(4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
 
 
 def signatures(values: np.ndarray, rows: np.ndarray) -> list[bytes]:

@@ -228,3 +228,16 @@ def test_buckets_follow_the_text(docs, rows, monkeypatch):
 
 def test_no_text_has_no_bytes(empty):
     assert packs.surveyed(windows.count_minimisers(empty, 20, "text"), 256)[1] == 0
+
+
+def test_bitmaps_turn_down_pairs_well_below_the_bound():
+    """Sets of 400 with 0.68 in common lie further apart than (n + m) / 7 bits, not only in elements."""
+    rng = np.random.default_rng(5)
+    common, n = 324, 400
+    far = 0
+    for _ in range(50):
+        every = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        x, y = np.sort(every[:n]), np.sort(np.concatenate([every[:common], every[n:]]))
+        maps = jaccard.signatures(np.concatenate([x, y]), np.array([0, n, 2 * n]))
+        far += int(7 * jaccard.bits_apart(maps[:1], maps[1:])[0] > 2 * n)
+    assert far >= 45
