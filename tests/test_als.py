@@ -72,6 +72,34 @@ def test_factors_equal_a_dense_solve(spark, frame, monkeypatch, block_mb, precis
         assert max(abs(got[k] - expected[k]).max() for k in got) < near
 
 
+def test_a_vector_is_scaled_once_and_sent_with_others(spark, frame):
+    """Each block gets the vectors it needs in few rows, already in terms of the shared matrix."""
+    config = AlsConfig(factors=3)
+    vectors = np.random.default_rng(4).normal(size=(40, 3))
+    to = {k: sorted({k % 4, (k + 1) % 4, 0}) for k in range(40)}
+    scaling = als._scaling(vectors.T @ vectors, config)
+    df = frame([(k, to[k], bytearray(v.tobytes())) for k, v in enumerate(vectors)], "idx bigint, to array<bigint>, data binary")
+    rows = df.coalesce(1).mapInArrow(als._sent(scaling[0], config), "to long, ids binary, data binary").collect()
+    assert len(rows) <= 4 * 4  # blocks x batches, not vectors
+    got = {}
+    for r in rows:
+        ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"]).reshape(-1, 3)
+        got |= {(int(k), r["to"]): z for k, z in zip(ids, data, strict=True)}
+    assert set(got) == {(k, b) for k, blocks in to.items() for b in blocks}
+    root = np.linalg.cholesky(vectors.T @ vectors + config.regularization * np.eye(3))
+    assert all(np.allclose(root @ z, vectors[k]) for (k, _), z in got.items())
+
+
+def test_factors_without_regularization(spark, frame):
+    config = AlsConfig(factors=4, iterations=2, regularization=0.0)
+    rows = ratings(seed=5, users=30, items=20)
+    df = frame(rows, PAIRS)
+    start = as_arrays(als.train_als(df, dataclasses.replace(config, iterations=0)).item_factors)
+    model = als.train_als(df, config)
+    for got, want in zip((as_arrays(model.user_factors), as_arrays(model.item_factors)), dense(rows, config, start), strict=True):
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-6) for k in got)
+
+
 def test_split_rows_spread_over_blocks(spark, frame):
     """A row with more ratings than a block takes is in several blocks, none above twice the bound."""
     rows = [(0, i, 1.0) for i in range(3000)] + [(u, 0, 1.0) for u in range(1, 50)]
