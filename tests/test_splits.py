@@ -71,6 +71,20 @@ def test_parts_of_a_heavy_key_stay_below_the_bound(frame, monkeypatch):
     assert len(parts) == 4 and max(parts) <= 60
 
 
+def test_parts_do_not_follow_the_rows_under_a_low_bound(frame, monkeypatch):
+    """A low bound makes no task for every few rows of a large key, and the places stay right."""
+    monkeypatch.setattr(ranking, "_FEW_PARTS", 3, raising=False)
+    seen = []
+    real = ranking.stage
+    monkeypatch.setattr(ranking, "stage", lambda df, label: seen.append((label, out := real(df, label))) or out)
+    df = frame(skewed("hour"), WIDE).repartition(5)
+    heavy = positions_in_time(df, "user_id", "timestamp", ["item_id"], heavy_rows=20)
+    assert placed(heavy) == placed(positions_in_time(df, "user_id", "timestamp", ["item_id"]))
+    ranges = next(df for label, df in seen if label == "heavy-ranges")
+    assert 1 < ranges.select("_part").distinct().count() <= 3
+    assert ranking._range_parts(10**9, 2000) == 2000 and ranking._range_parts(10**9, 10**7) == 200
+
+
 @pytest.mark.parametrize("share,cut", [(0.01, 20), (0.99, 20), (0.5, 20)])
 def test_global_cut_is_clamped(frame, share, cut):
     df = frame([(1, 1, 1.0, 10), (1, 2, 1.0, 20), (1, 3, 1.0, None)], INTER)
