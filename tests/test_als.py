@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from cartlens import session
 from cartlens.config import AlsConfig
 from cartlens.functions import joins
 from cartlens.operators import als, matrix
@@ -181,3 +182,20 @@ def test_blocks_list_little_below_the_best(spark, frame, monkeypatch):
     users = frame([(u,) for u in range(80)], "user_idx bigint")
     got = als.top_unseen_by_index(als.FactorModel(vectors(x), vectors(y)), frame([], PAIRS), users, 10).count()
     assert got == 800 and left[0] < 3 * 800  # 40 blocks of items give 32,000 without floors
+
+
+def test_only_the_factors_stay_written(frame, tmp_path, monkeypatch):
+    """Pairs, blocks and routes are of the size of the ratings, so they go when training ends."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    model = als.train_als(frame(ratings(), PAIRS), AlsConfig(factors=3, iterations=2))
+    left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "cartlens").iterdir())
+    assert left == ["item-factors", "user-factors"] and model.user_factors.count() > 0
+
+
+def test_blocks_are_few_where_lists_are_long():
+    """What is exchanged is a side's factors times the other side's blocks."""
+    for n, most in ((20, 2.2e9), (100, 1e9)):
+        n_users, n_items = (900_000, 1_200_000) if n == 20 else (90_000, 1_200_000)
+        users, items = als._grid(n_users, n_items, 16, n, 48)
+        assert users * items >= 48 and 128 * (n_users * items + n_items * users) < most
+        assert n_users / users * 8 * 2 * n <= als.BLOCK_BYTES and n_items / items * 8 * 16 <= als.BLOCK_BYTES
