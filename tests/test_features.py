@@ -54,3 +54,13 @@ def test_metadata_fills_counts(frame):
         frame([(1, 3, 2, 4.0)], "item_id bigint, n_events bigint, n_users bigint, weighted_score double"),
     )
     assert values(built) == [(1, 10, 1, "1", 3, 2, 4.0), (2, 11, None, None, 0, 0, 0.0)]
+
+
+def test_written_pairs_serve_interactions_and_category_counts(frame):
+    """Nothing is aggregated from the events again: here they are empty."""
+    rows = [(u, i, "view", t) for t, u, i in ((1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 2, 1), (5, 2, 2), (6, 3, 3))]
+    events, categories = frame(rows, EVENTS), frame([(1, 7), (2, 7), (3, 8)], "item_id bigint, category_id bigint")
+    pairs = f.user_item_pairs(events)
+    assert values(f.build_interactions(frame([], EVENTS), InteractionConfig(2, 2), pairs)) == values(f.build_interactions(events, InteractionConfig(2, 2)))
+    assert values(f.category_stats(frame([], EVENTS), categories, pairs=pairs)) == [(7, 5, 2, 2), (8, 1, 1, 1)]
+    assert values(f.item_popularity(frame([], EVENTS), pairs=pairs)) == values(f.item_popularity(events))

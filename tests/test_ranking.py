@@ -2,6 +2,7 @@ from conftest import values
 
 from cartlens.operators import diversity, popular, rerank
 from cartlens.operators.transforms import filter_purchased_categories
+from pyspark.sql import functions as F
 
 RECS = "user_id bigint, item_id bigint, rank int"
 CATS = "item_id bigint, category_id bigint"
@@ -96,3 +97,12 @@ def test_popular_ties_by_id(frame):
     assert values(popular.top_popular_items(inter, 2), "pop_rank", "item_id") == [(1, 6), (2, 4)]
     no_carts = frame([(1, "view")], "item_id bigint, event string")
     assert popular.top_popular_items_by_cart(no_carts, 5).count() == 0
+
+
+def test_popular_lists_are_dealt_to_several_tasks(frame):
+    """A list per user is a hundred times the user's bytes, so the few bytes of the users do not set the tasks."""
+    top = frame([(i, float(100 - i), i) for i in range(1, 101)], "item_id bigint, score double, pop_rank int")
+    users = frame([(u,) for u in range(400)], "user_id bigint")
+    listed = popular.popular_for_users(users, top, 100)
+    assert listed.count() == 40_000
+    assert listed.select(F.spark_partition_id().alias("p")).distinct().count() == 4

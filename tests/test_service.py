@@ -82,3 +82,19 @@ def test_drop_alert_needs_ten_minutes(spark):
     # from minute 151 the 5-minute sum is below 0.8 of the hour before; ten minutes later the alert fires
     assert minutes[0] == start + 151 + 9 and minutes == list(range(minutes[0], minutes[-1] + 1))
     assert fired.filter("alert = 'error_ratio'").count() == 0
+
+
+def test_history_is_read_for_those_who_ask(frame, monkeypatch):
+    requests = frame([(1, 1, 2, True, False, "als"), (2, 2, 2, False, False, "als")], "request_id bigint, user_id bigint, top_k int, use_rerank boolean, use_baseline boolean, ab_test_group string")
+    routed = serving.route_requests(requests, frame([(1,), (2,)], "user_id bigint"))
+    candidates = frame([(u, i, 1.0 / i, i) for u in (1, 2) for i in range(1, 21)], "user_id bigint, item_id bigint, score double, cand_rank int")
+    history = frame([(u, i, 1) for u in (1, 2, 3, None) for i in range(3)], "user_id bigint, item_id bigint, category_id bigint")
+    read = []
+    rerank = serving.category_rerank
+    monkeypatch.setattr(serving, "category_rerank", lambda recs, history, *a, **k: read.append(history) or rerank(recs, history, *a, **k))
+    lists = serving.personal_lists(
+        routed, candidates, frame([(2, 1)], "user_id bigint, item_id bigint"), F.lit(100), history, frame([(1, 1)], "item_id bigint, category_id bigint"),
+        frame([(1, 4)], "category_id bigint, n_events bigint"), frame([], "category_id bigint, parent_id bigint"),
+    )
+    assert values(lists, "user_id", "rank", "item_id") == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 3)]
+    assert values(read[0].select("user_id").distinct()) == [(1,)]

@@ -139,3 +139,17 @@ def test_view_sampling(frame):
 def test_purchases_are_required(frame):
     with pytest.raises(ValueError):
         filter_purchased_items(frame([], INTER), None)
+
+
+@pytest.mark.parametrize("heavy", (3, 1000))
+def test_bounds_given_with_the_rows(frame, heavy):
+    """Upper bounds of the users' rows settle whether any is heavy; too high ones change nothing."""
+    rows = [(u, i, 1.0, None if i == 2 else 10 * i % 7) for u in (1, 2, None) for i in range(3 + (u or 4) * 2)]
+    df = frame(rows, "user_id bigint, item_id bigint, rating double, timestamp bigint")
+    at_most = frame([(1, 9), (2, 9), (None, 50)], "user_id bigint, _n bigint")
+    want = splits.mark_split_per_user(df, 0.3, heavy_rows=heavy)
+    got = splits.mark_split_per_user(df.repartition(3, "user_id"), 0.3, heavy_rows=heavy, at_most=at_most)
+    assert values(got) == values(want)
+    if heavy > 50:
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange ") == 1  # the repartition alone: nothing is counted first, nothing dealt again
