@@ -91,6 +91,30 @@ def test_a_vector_is_scaled_once_and_sent_with_others(spark, frame):
     assert all(np.allclose(root @ z, vectors[k]) for (k, _), z in got.items())
 
 
+@pytest.mark.parametrize("block_mb", [64, 0])
+def test_a_half_step_that_sends_much_is_written_in_turns(spark, frame, monkeypatch, block_mb):
+    """No write serves all blocks, so what is sent to some is gone before the next; the factors stay the same."""
+    config = AlsConfig(factors=5, iterations=2, alpha=2.0, block_mb=block_mb)
+    df = frame(ratings(), PAIRS)
+    whole = als.train_als(df, config)
+    solved, write = [], als.stage_at
+
+    def counted(step, label):
+        out = write(step, label)
+        if label == "factors":
+            solved.append(out[0].select("idx").distinct().count())
+        return out
+
+    monkeypatch.setattr(als, "stage_at", counted)
+    monkeypatch.setattr(als, "_TURN_BYTES", 1, raising=False)
+    turned = als.train_als(df, config)
+    first, *_, last = solved
+    assert first == 60 and len(solved) == 2 + 3 * 4 and max(solved[2:]) < 120
+    for side in ("user_factors", "item_factors"):
+        got, want = as_arrays(getattr(turned, side)), as_arrays(getattr(whole, side))
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in got)
+
+
 def test_factors_without_regularization(spark, frame):
     config = AlsConfig(factors=4, iterations=2, regularization=0.0)
     rows = ratings(seed=5, users=30, items=20)
