@@ -53,7 +53,7 @@ def cart_sql(k: int, recs: str = "recs") -> str:
 
 
 def _catalogue(s):
-    return s.train.agg(F.count_distinct("item_id").alias("n"))
+    return s.item_totals.agg(F.count("item_id").alias("n"))
 
 
 def _quality(k: int) -> str:
@@ -124,7 +124,7 @@ def all_metrics_sql(recs: str = "recs") -> str:
 def _all(s, recs):
     recs = stage(recs, "lists")  # read by five metrics
     return metrics.compute_all_metrics(
-        s.test, recs, s.train, _catalogue(s), 5, s.categories, s.targets, s.test_events
+        s.test, recs, s.train, _catalogue(s), 5, s.categories, s.targets, s.test_events, s.item_totals
     )
 
 

@@ -75,3 +75,31 @@ def test_all_metrics_agree_with_single_ones(frame):
         one = m.precision_recall_ndcg_at_k(test, recs, k).first()
         assert got[f"{name}@{k}"] == pytest.approx(one[f"{name}@k"])
     assert all(0.0 <= v <= 1.0 for n, v in got.items() if not n.startswith("novelty"))
+
+
+def test_all_metrics_share_their_passes_and_equal_the_single_ones(spark, frame):
+    """The lists meet targets and carts in one join, and their items are counted once; nulls and repeats included."""
+    pair = "user_id bigint, item_id bigint"
+    test = frame([(1, 10), (1, 10), (1, 11), (2, 20), (3, None), (None, 10), (5, 50)], pair)
+    events = [(1, 10, "addtocart"), (1, 12, "addtocart"), (1, 12, "addtocart"), (2, 20, "view"), (4, 40, "addtocart"), (6, 10, "addtocart"), (2, None, "addtocart")]
+    carts = frame(events, pair + ", event string")
+    lists = [(1, 10, 1), (1, 12, 2), (1, 11, 7), (2, 21, 1), (2, 20, 30), (4, 40, 6), (4, 10, 5), (None, 10, 1), (6, None, 1), (3, 10, None)]
+    recs = frame(lists, pair + ", rank int")
+    train = frame([(1, 12), (2, 12), (2, 10), (3, 40), (3, 99)], pair)
+    categories = frame([(10, 1), (12, 1), (11, 2), (21, None)], "item_id bigint, category_id bigint")
+    for counts in (None, m.item_counts(train)):
+        out = m.compute_all_metrics(test, recs, train, 4, 5, categories, None, carts, counts)
+        got = {r["metric"]: r["value"] for r in out.collect()}
+        assert len(got) == 16
+        for k in (5, 10, 20):
+            one = m.precision_recall_ndcg_at_k(test, recs, k).first()
+            for name in ("precision", "recall", "ndcg"):
+                assert got.get(f"{name}@{k}", one[f"{name}@k"]) == pytest.approx(one[f"{name}@k"])
+        for k in (5, 10):
+            assert got[f"hit_rate@{k}"] == pytest.approx(m.hit_rate_at_k(test, recs, k).first()[0])
+        assert got["coverage@k"] == pytest.approx(m.coverage_at_k(recs, 4, 5).first()[0])
+        assert got["novelty@k"] == pytest.approx(m.novelty_at_k(recs, train, 5).first()[0])
+        assert got["diversity@k"] == pytest.approx(m.diversity_at_k(recs, categories, 5).first()[0])
+        assert 0 < got["cart_prediction_rate@5"] == pytest.approx(m.cart_prediction_rate(carts, recs, 5).first()[0])
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") <= 4  # lists and pairs, users and pairs, items and counts, categories
