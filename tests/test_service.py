@@ -98,3 +98,31 @@ def test_history_is_read_for_those_who_ask(frame, monkeypatch):
     )
     assert values(lists, "user_id", "rank", "item_id") == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 3)]
     assert values(read[0].select("user_id").distinct()) == [(1,)]
+
+
+def test_bought_items_are_marked_before_lists_share_candidates(spark, frame):
+    """A candidate meets the purchases once, whatever lists take it, and the lists then stay by user in one shuffle."""
+    routed = frame([(1, 5, k, m) for k in (1, 2) for m in ("als", "rerank")] + [(2, 6, 2, "als")], "request_id bigint, user_id bigint, top_k int, model_type string")
+    candidates = frame([(u, i, 1.0 / i, i) for u in (5, 6) for i in range(1, 9)], "user_id bigint, item_id bigint, score double, cand_rank int")
+    pairs = "user_id bigint, item_id bigint"
+    bought = frame([(5, 1), (5, 1), (5, 3), (6, None), (None, 2)], pairs)
+    history = frame([(5, 1, 7)], pairs + ", category_id bigint")
+    categories = frame([(i, 7) for i in range(1, 9)], "item_id bigint, category_id bigint")
+    stats = frame([(7, 3, 1, 1)], "category_id bigint, n_events bigint, n_users bigint, n_items bigint")
+    tree = frame([(7, None)], "category_id bigint, parent_id bigint")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        lists = serving.personal_lists(routed, candidates, bought, F.lit(100), history, categories, stats, tree)
+        got = values(lists, "user_id", "top_k", "reranked", "rank", "item_id")
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one, two = [(1, 2)], [(1, 2), (2, 4)]
+    expected = [(5, k, r, *e) for k, entries in ((1, one), (2, two)) for r in (False, True) for e in entries]
+    assert got == sorted(expected + [(6, 2, False, 1, 1), (6, 2, False, 2, 2)])
+    lines = plan.splitlines()
+    below = zip(lines, lines[2:])  # a window, its sort, and what deals the rows
+    assert not any("Window [" in a and "Exchange hashpartitioning(user_id" in b and "top_k" in b for a, b in below)
