@@ -223,3 +223,33 @@ def test_blocks_are_few_where_lists_are_long():
         users, items = als._grid(n_users, n_items, 16, n, 48)
         assert users * items >= 48 and 128 * (n_users * items + n_items * users) < most
         assert n_users / users * 8 * 2 * n <= als.BLOCK_BYTES and n_items / items * 8 * 16 <= als.BLOCK_BYTES
+
+
+def test_vectors_are_read_from_files_where_workers_can_open_them(frame, monkeypatch):
+    """No vector is sent to a block then; without such a folder they are, and the factors are the same."""
+    config = AlsConfig(factors=5, iterations=2, alpha=2.0)
+    df = frame(ratings(), PAIRS)
+    labels, write = [], als.stage
+    monkeypatch.setattr(als, "stage", lambda step, label: labels.append(label) or write(step, label))
+    read = als.train_als(df, config)
+    assert not [label for label in labels if label.startswith("routes")]
+    monkeypatch.setattr(als, "local_stages", lambda spark: None, raising=False)
+    sent = als.train_als(df, config)
+    assert [label for label in labels if label.startswith("routes")]
+    for side in ("user_factors", "item_factors"):
+        got, want = as_arrays(getattr(read, side)), as_arrays(getattr(sent, side))
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in got)
+
+
+def test_laid_vectors_are_taken_by_id(spark, frame, tmp_path):
+    """From several files, one of them empty, in the order asked for and each changed once."""
+    from cartlens.operators.vectors import WRITTEN, Vectors, writer
+
+    data = np.random.default_rng(6).normal(size=(50, 3))
+    df = frame([(7 * k, bytearray(v.tobytes())) for k, v in enumerate(data)], "idx bigint, data binary")
+    laid = df.repartition(3).unionByName(df.limit(0)).mapInArrow(writer(str(tmp_path), 3, "float64", lambda v: 2.0 * v), WRITTEN)
+    files = [(r["path"], r["n"]) for r in laid.collect()]
+    assert sum(n for _, n in files) == 50
+    wanted = np.array([7 * k for k in (49, 3, 3, 0, 21)])
+    assert np.array_equal(Vectors(files, 3, "float64").take(wanted), 2.0 * data[wanted // 7])
+    assert Vectors(files, 3, "float64").take(wanted[:0]).shape == (0, 3)
