@@ -253,3 +253,30 @@ def test_laid_vectors_are_taken_by_id(spark, frame, tmp_path):
     wanted = np.array([7 * k for k in (49, 3, 3, 0, 21)])
     assert np.array_equal(Vectors(files, 3, "float64").take(wanted), 2.0 * data[wanted // 7])
     assert Vectors(files, 3, "float64").take(wanted[:0]).shape == (0, 3)
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_lists_from_files_equal_sent_blocks_and_a_full_product(spark, frame, monkeypatch, tmp_path, kind):
+    """Several blocks of items and groups of users; a vector without end, users with all seen, repeated pairs, ties."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(als, "ITEM_BLOCK", 700)
+    monkeypatch.setattr(als, "_GROUP_BYTES", 16 * 14 * 9, raising=False)
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(-3, 4, (40, 5)).astype(float), rng.integers(-3, 4, (2500, 5)).astype(float)
+    x[7], y[3] = 0.0, np.nan
+    vectors = lambda m: frame([(k, v.tolist()) for k, v in enumerate(m)], f"idx bigint, features array<{kind}>")
+    model = als.FactorModel(vectors(x), vectors(y))
+    seen = {u: {int(i) for i in rng.choice(2500, 3 * u, replace=False)} for u in range(39)} | {39: set(range(2500)), 77: {1}}
+    pairs = frame([(u, i, 1.0) for u, items in seen.items() for i in items for _ in range(1 + i % 2)], PAIRS)
+    users = frame([(u,) for u in range(45)], "user_idx bigint")
+    scores = x @ y.T
+    want = []
+    for u in range(40):
+        order = sorted((i for i in range(2500) if i != 3 and i not in seen[u]), key=lambda i: (-scores[u, i], i))[:7]
+        want += [(u, k + 1, i, scores[u, i]) for k, i in enumerate(order)]
+    read = als.top_unseen_by_index(model, pairs, users, 7)
+    assert len(list(tmp_path.glob("cartlens/items-*/*.npz"))) == 4  # written once, not once for each group of users
+    assert sorted((r["user_idx"], r["rank"], r["item_idx"], r["score"]) for r in read.collect()) == want
+    monkeypatch.setattr(als, "local_stages", lambda spark: None, raising=False)
+    sent = als.top_unseen_by_index(model, pairs, users, 7)
+    assert sorted((r["user_idx"], r["rank"], r["item_idx"], r["score"]) for r in sent.collect()) == want
